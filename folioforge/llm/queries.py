@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import byte_bpe, exact_dedup, mixing, quality_model, quality_rules, sharding, toxicity
+from . import byte_bpe, exact_dedup, license_scan, mixing, quality_model, quality_rules, sharding, toxicity
 from .common import table
 
 
@@ -23,6 +23,10 @@ def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
+def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.report(table(spark, sf_dir, "documents"))
+
+
 def op7_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
@@ -40,7 +44,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op2_byte_bpe, op4_quality_classifier, op5_exact_dedup, op7_source_mixing, op8_toxicity, op9_sharding, op10_quality_rules]
+    found = [op2_byte_bpe, op4_quality_classifier, op5_exact_dedup, op6_license_scan, op7_source_mixing, op8_toxicity, op9_sharding, op10_quality_rules]
     return {f.__name__: f for f in found}
 
 
@@ -54,6 +58,22 @@ SELECT doc_id, t[1 + ('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '')),
 FROM documents, (SELECT {slots} AS t)"""
 
 
+def _license_sql() -> str:
+    n = license_scan.SHINGLE
+    shingles = [(name, " ".join(w[i : i + n])) for name, text in license_scan.TEMPLATES.items() for w in [license_scan.words_of(text)] for i in range(len(w) - n + 1)]
+    listed = ", ".join(f"('{name}', '{s}')" for name, s in shingles)
+    marks = license_scan.PUNCTUATION.replace("'", "''")
+    return f"""
+WITH t(license, s) AS (VALUES {listed}),
+size AS (SELECT license, count(DISTINCT s) AS n FROM t GROUP BY license),
+w AS (SELECT doc_id, list_filter(string_split(translate(lower(coalesce(text, '')), '{marks}', '{" " * len(license_scan.PUNCTUATION)}'), ' '), lambda x: x <> '') AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, unnest(list_transform(range(1, len(w) - {n - 2}), lambda i: array_to_string(w[i:i + {n - 1}], ' '))) AS s FROM w),
+hit AS (SELECT doc_id, license, count(DISTINCT s) AS c FROM s JOIN t USING (s) GROUP BY doc_id, license),
+good AS (SELECT doc_id, license FROM hit JOIN size USING (license) WHERE c / n >= {license_scan.CONTAINMENT})
+SELECT d.doc_id, count(license) AS n_licenses, coalesce(string_agg(license, ',' ORDER BY license), '') AS licenses
+FROM documents d LEFT JOIN good g ON g.doc_id = d.doc_id GROUP BY d.doc_id"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {
         "op5_exact_dedup": f"""
@@ -62,5 +82,6 @@ SELECT doc_id, first_value(doc_id) OVER (PARTITION BY text_sha256 ORDER BY n DES
        count(*) OVER (PARTITION BY text_sha256) AS group_size,
        doc_id = first_value(doc_id) OVER (PARTITION BY text_sha256 ORDER BY n DESC, doc_id) AS kept, text_sha256
 FROM d""",
+        "op6_license_scan": _license_sql(),
         "op9_sharding": _sharding_sql(),
     }
