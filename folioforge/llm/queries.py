@@ -6,10 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import byte_bpe, exact_dedup, license_scan, mixing, quality_model, quality_rules, sharding, toxicity
+from . import byte_bpe, exact_dedup, license_scan, mixing, quality_model, quality_rules, sharding, suffix_dedup, toxicity
 from .common import table
 
 
+def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.strip(table(spark, sf_dir, "documents"))
+
+
 def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.encode_documents(table(spark, sf_dir, "documents"))
 
@@ -44,7 +48,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op2_byte_bpe, op4_quality_classifier, op5_exact_dedup, op6_license_scan, op7_source_mixing, op8_toxicity, op9_sharding, op10_quality_rules]
+    found = [op1_suffix_dedup, op2_byte_bpe, op4_quality_classifier, op5_exact_dedup, op6_license_scan, op7_source_mixing, op8_toxicity, op9_sharding, op10_quality_rules]
     return {f.__name__: f for f in found}
 
 
