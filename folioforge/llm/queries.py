@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import byte_bpe, exact_dedup, license_scan, mixing, quality_model, quality_rules, sharding, suffix_dedup, toxicity
+from . import byte_bpe, exact_dedup, jaccard_join, license_scan, mixing, quality_model, quality_rules, sharding, suffix_dedup, toxicity
 from .common import table
 
 
@@ -18,6 +18,10 @@ def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.encode_documents(table(spark, sf_dir, "documents"))
 
 
+def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_model.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -48,7 +52,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_suffix_dedup, op2_byte_bpe, op4_quality_classifier, op5_exact_dedup, op6_license_scan, op7_source_mixing, op8_toxicity, op9_sharding, op10_quality_rules]
+    found = [op1_suffix_dedup, op2_byte_bpe, op3_jaccard_join, op4_quality_classifier, op5_exact_dedup, op6_license_scan, op7_source_mixing, op8_toxicity, op9_sharding, op10_quality_rules]
     return {f.__name__: f for f in found}
 
 
