@@ -18,6 +18,7 @@ words are refused. Repeated rows are reported each; empty tables give empty resu
 
 from __future__ import annotations
 
+import hashlib
 import re
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -88,9 +89,22 @@ def _long(value: int) -> str:
     return f"{value}L" if value > -(2**63) else f"({value + 1}L - 1L)"
 
 
-def _band(shingles: list[Column], band: int) -> Column:
-    values = [F.when(s.isNotNull(), F.xxhash64(s, F.lit(band))) for s in shingles]
-    return F.least(*values) if len(values) > 1 else values[0]
+def _mask(band: int) -> int:
+    """The constant of a band's function, as a signed long."""
+    return int.from_bytes(hashlib.blake2b(f"band {band}".encode(), digest_size=8).digest(), "big", signed=True)
+
+
+def _band(shingles: list[str], band: int) -> str:
+    """SQL of the least of the shingles' hashes under the band's function: exclusive or with a constant.
+
+    Two hashes are ordered by the highest bit in which they differ, so each constant orders them anew.
+    """
+    return _least(_long(_mask(band)), shingles)
+
+
+def _least(mask: str, shingles: list[str] | None = None) -> str:
+    values = [f"({s} ^ {mask})" for s in shingles or [f"w.s{k}" for k in range(WINDOW)]]
+    return f"least({', '.join(values)})" if len(values) > 1 else values[0]
 
 
 def scan(docs: DataFrame, templates: dict[str, str] | None = None, bands: int = BANDS) -> DataFrame:
@@ -111,19 +125,20 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None, bands: int =
     run_rows = spark.range(1).select(F.explode(F.split(F.lit(listing), ";")).alias("e")).select(F.split("e", "[|]", 2).alias("e"))
     run_rows = run_rows.select(F.col("e")[0].alias("license"), F.split(F.col("e")[1], ",").alias("r"))
     run_rows = run_rows.select("license", *[F.expr(f"cast(get(r, {k}) AS long)").alias(f"s{k}") for k in range(WINDOW)])
-    run_bands = run_rows.select("license", *[_band([F.col(f"s{k}") for k in range(WINDOW)], b).alias(f"b{b}") for b in range(bands)])
+    run_bands = run_rows.select("license", *[F.expr(_band([f"s{k}" for k in range(WINDOW)], b)).alias(f"b{b}") for b in range(bands)])
     band_rows = run_bands.collect()
-    values = [sorted({r[f"b{b}"] for r in band_rows}) for b in range(bands)]
 
     hashes = docs.select("doc_id", words_column(F.col("text")).alias("_w")).select("doc_id", F.expr(_shingles_sql("_w")).alias("_h"))
     held = F.expr(f"filter(_h, s -> s IN ({', '.join(map(_long, every))}))")
     windows = F.expr(f"transform(sequence(0, greatest(size(_h) - 1, 0), {WINDOW}), i -> struct(" + ", ".join(f"get(_h, i + {k}) AS s{k}" for k in range(WINDOW)) + "))")
     # The outer form: for the inner one the optimizer infers a filter that repeats the hashing inside the lambda.
     cut = hashes.select("doc_id", F.array_distinct(held).alias("held"), F.explode_outer(windows).alias("w"))
-    # One array, not a column per band: a filter over many aliases makes the optimizer try all their combinations.
-    minima = cut.select("doc_id", "held", F.array(*[_band([F.col(f"w.s{k}") for k in range(WINDOW)], b) for b in range(bands)]).alias("m"))
-    hit = " OR ".join(f"m[{b}] IN ({', '.join(map(_long, values[b]))})" for b in range(bands))
-    found = minima.where(hit).withColumn("window", F.monotonically_increasing_id())
+    # A value is in a band's table if it is one of the templates' hashes under the band's mask. The test is a loop over
+    # masks: as a condition per band the generated method outgrows what the JVM compiles.
+    masks = ", ".join(_long(_mask(b)) for b in range(bands))
+    values = f"transform(array({masks}), c -> " + _least("c") + ")"
+    hit = f"exists(array({masks}), c -> ({_least('c')} ^ c) IN ({', '.join(map(_long, every))}))"
+    found = cut.where(hit).select("doc_id", "held", F.monotonically_increasing_id().alias("window"), F.expr(values).alias("m"))
     found = found.select("doc_id", "held", "window", F.posexplode("m").alias("at", "value"))
     entries = ";".join(sorted({f"{b},{r[f'b{b}']},{r.license}" for r in band_rows for b in range(bands)}))
     parts = spark.range(1).select(F.explode(F.split(F.lit(entries), ";")).alias("e")).select(F.split("e", ",", 3).alias("e"))
