@@ -38,7 +38,7 @@ from .components import components
 SHINGLE = 5
 #: The similarity as a fraction, so that the test on counts is exact.
 SIMILARITY = (4, 5)
-SMALL, DEPTH, RECALL = 64, 3, 0.995
+SMALL, DEPTH, RECALL = 256, 3, 0.995
 BLOCK = 4096
 _NULL = -(2**63)
 _PIECE = 1 << 20
@@ -194,7 +194,9 @@ def _final_buckets(heads: DataFrame, depth: int = DEPTH) -> DataFrame:
         own = nodes.where(F.col("level") == level)
         if parents is not None:
             own = own.join(parents, "parent", "left_semi")
-        own = own.select("path", "head")
+            own = materialise(own.select("path", "head"), f"split-{level}")
+        else:
+            own = own.select("path", "head")
         sizes = materialise(own.groupBy("path").agg(F.count(F.lit(1)).alias("c"), F.min("head").alias("root")).where("c > 1"), f"buckets-{level}")
         ready = sizes if level == depth else sizes.where(F.col("c") <= SMALL)
         part = own.join(ready.select("path", "root"), "path").select("root", "head")
