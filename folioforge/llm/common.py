@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -39,11 +40,14 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
 
 
 def release(*frames: DataFrame) -> None:
-    """Delete what `materialise` wrote, once nothing reads it any more."""
+    """Delete what `materialise` wrote, once nothing reads it any more, and let shuffle files go that nobody refers to."""
     for df in frames:
         spark = df.sparkSession
         path = spark._jvm.org.apache.hadoop.fs.Path(df.stored_at)
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    gc.collect()
+    for df in frames[:1]:
+        df.sparkSession._jvm.System.gc()
 
 
 def squeezed(text: Column) -> Column:
