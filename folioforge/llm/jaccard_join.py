@@ -127,31 +127,27 @@ def set_key(tokens: np.ndarray) -> tuple[int, int]:
     return int(a.astype(np.int64)), int(b.astype(np.int64))
 
 
-def chosen_paths(tokens: np.ndarray, runs: int, depth: int = DEPTH) -> list[tuple[int, int, int]]:
+def chosen_paths(tokens: np.ndarray, runs: int, depth: int = DEPTH) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(level, parent, path) of every bucket the set goes to; parents of level 1 are 0."""
     n = len(tokens)
-    if not n:
-        return []
+    none = np.zeros(0, dtype=np.uint64)
+    levels, parents, found = [none.astype(np.int32)], [none], [none]
+    paths = _mixed(np.arange(1, runs + 1, dtype=np.uint64) * _M) if n else none
     num, den = SIMILARITY
-    limit = _U(min(2**64 - 1, 2**64 * den // (num * n)))
-    out: list[tuple[int, int, int]] = []
-    paths = _mixed(np.arange(1, runs + 1, dtype=np.uint64) * _M)
-    parents = np.zeros(runs, dtype=np.uint64)
+    limit = _U(min(2**64 - 1, 2**64 * den // (num * max(n, 1))))
     for level in range(1, depth + 1):
-        found = []
-        for at in range(0, n, 1 << 16):  # in pieces, so that memory does not grow with the text
-            piece = tokens[at : at + (1 << 16)]
-            got = _mixed(piece[None, :] ^ paths[:, None])
-            which, token = np.nonzero(got <= limit)
-            found.append((which, _mixed(got[which, token] + _K1)))
-        which = np.concatenate([w for w, _ in found])
-        after = np.concatenate([p for _, p in found])
-        parents = paths[which] if level > 1 else np.zeros(len(which), dtype=np.uint64)
-        out += zip([level] * len(which), parents.astype(np.int64).tolist(), after.astype(np.int64).tolist(), strict=True)
-        paths = after
-        if not len(paths):
-            break
-    return out
+        which, after = [none.astype(np.int64)], [none]
+        for at in range(0, n if len(paths) else 0, 1 << 16):  # in pieces, so that memory does not grow with the text
+            got = _mixed(tokens[None, at : at + (1 << 16)] ^ paths[:, None])
+            path, token = np.nonzero(got <= limit)
+            which.append(path)
+            after.append(_mixed(got[path, token] + _K1))
+        here = np.concatenate(which)
+        parents.append(paths[here] if level > 1 else np.zeros(len(here), dtype=np.uint64))
+        paths = np.concatenate(after)
+        levels.append(np.full(len(paths), level, dtype=np.int32))
+        found.append(paths)
+    return np.concatenate(levels), np.concatenate(parents).view(np.int64), np.concatenate(found).view(np.int64)
 
 
 def _data(text) -> np.ndarray:
@@ -166,28 +162,31 @@ def _ids(docs: DataFrame) -> DataFrame:
 
 def sketches(docs: DataFrame, runs: int) -> DataFrame:
     """(id, a, b, n, nodes): the key and size of each set and its buckets as (level, parent, path)."""
-    node = pa.struct([("level", pa.int32()), ("parent", pa.int64()), ("path", pa.int64())])
+
+    def part(batch: pa.RecordBatch) -> pa.RecordBatch:
+        a, b, n, offsets, nodes = [], [], [], [0], []
+        for text in batch.column(1):
+            tokens = shingles(_data(text))
+            x, y = set_key(tokens)
+            a.append(x)
+            b.append(y)
+            n.append(len(tokens))
+            nodes.append(chosen_paths(tokens, runs))
+            offsets.append(offsets[-1] + len(nodes[-1][0]))
+        columns = [pa.array(np.concatenate([x[k] for x in nodes])) for k in range(3)]
+        listed = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.StructArray.from_arrays(columns, names=["level", "parent", "path"]))
+        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(n, pa.int64()), listed], names=["id", "a", "b", "n", "nodes"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            a, b, n, nodes = [], [], [], []
-            for text in batch.column(1):
-                tokens = shingles(_data(text))
-                x, y = set_key(tokens)
-                a.append(x)
-                b.append(y)
-                n.append(len(tokens))
-                nodes.append([{"level": lv, "parent": p, "path": q} for lv, p, q in chosen_paths(tokens, runs)])
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(n, pa.int64()), pa.array(nodes, pa.list_(node))],
-                names=["id", "a", "b", "n", "nodes"],
-            )
+            for at in range(0, batch.num_rows, 1000):
+                yield part(batch.slice(at, 1000))
 
     return _ids(docs).mapInArrow(run, "id long, a long, b long, n long, nodes array<struct<level int, parent long, path long>>")
 
 
 def _final_buckets(heads: DataFrame, depth: int = DEPTH) -> DataFrame:
-    """(path, head) of the buckets of two sets or more that are not split again."""
+    """(root, head): the members of the buckets of two sets or more that are not split again, by the least member of each."""
     nodes = heads.select("head", F.explode("nodes").alias("node")).select("head", "node.*")
     found, parents = None, None
     for level in range(1, depth + 1):
