@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-FLAGSHIP = "lexical_search_topk"
+from folioforge.plans import common, graph_plans, table_plans, text_plans  # noqa: F401  # the plans register themselves
 
+FLAGSHIP = text_plans.FLAGSHIP
 
-def queries() -> dict:
-    return {}
+
+def queries() -> dict[str, common.Query]:
+    return dict(common.QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(common.SQL)
