@@ -7,7 +7,7 @@ from itertools import chain
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from folioforge.functions.text import trimmed, without_extension
+from folioforge.functions.text import collapse, trimmed, without_extension
 
 MAX_BYTES = 50 * 1024 * 1024
 MAX_TOOL_BYTES = 10 * 1024 * 1024
@@ -80,7 +80,7 @@ def manual_rule(content: Column) -> Column:
     """struct(content, title, filename, reason) of a rule typed by hand."""
     text = trimmed(F.regexp_replace(content, r"\r\n?", "\n"))
     title = F.substring(trimmed(F.split_part(text, F.lit("\n"), F.lit(1))), 1, 60)
-    stem = F.substring(trimmed(F.regexp_replace(title, r'[/\\:*?"<>|\x00-\x1F]+', " ")), 1, 48)
+    stem = F.substring(collapse(F.regexp_replace(title, r'[/\\:*?"<>|\x00-\x1F]+', " ")), 1, 48)
     safe = F.when(trimmed(stem) == "", "rule").otherwise(trimmed(stem))
     reason = F.when(F.length(text).isNull() | ~F.length(text).between(1, 2000), "length")
     return F.struct(text.alias("content"), title.alias("title"), F.concat(safe, F.lit(".md")).alias("filename"), reason.alias("reason"))
