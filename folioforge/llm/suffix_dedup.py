@@ -324,23 +324,28 @@ def _hot_spans(rows: DataFrame) -> DataFrame:
 def duplicate_spans(docs: DataFrame) -> DataFrame:
     """(doc_id, begin, end) of bytes to remove; spans may overlap or repeat."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    found = docs.select("doc_id", _text_bytes().alias("text")).mapInArrow(_anchor_rows, "gram long, run long, doc_id long, place long")
-    every = materialise(found, "anchors")
+    # Computed twice rather than stored: anchors take as much room as the texts do.
+    every = docs.select("doc_id", _text_bytes().alias("text")).mapInArrow(_anchor_rows, "gram long, run long, doc_id long, place long")
     # Written first, so that the join below stands right on its exchanges and Spark can split a hot gram.
     twice = materialise(every.groupBy("gram").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("gram"), "shared-grams")
     shared = materialise(every.join(twice, "gram", "left_semi"), "shared-anchors")
-    release(every, twice)
+    release(twice)
     here = F.struct("doc_id", "place")
     first = materialise(shared.groupBy("gram", "run").agg(F.min(here).alias("first")), "first-runs")
     whole = shared.join(first, ["gram", "run"]).where(~(here == F.col("first"))).select("doc_id", "place")
     anchor = F.shiftright("place", 16)
-    copied = whole.select("doc_id", (anchor - F.shiftright("place", 8).bitwiseAND(255)).alias("begin"), (anchor - F.col("place").bitwiseAND(255) + LENGTH).alias("end"))
+    begin = (anchor - F.shiftright("place", 8).bitwiseAND(255)).alias("begin")
+    copied = materialise(whole.select("doc_id", begin, (anchor - F.col("place").bitwiseAND(255) + LENGTH).alias("end")), "copied-spans")
+    release(shared)
     several = first.groupBy("gram").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("gram", (F.col("n") > HOT).alias("hot"))
     runs = first.join(several, "gram").select("gram", "first.doc_id", "first.place", "hot")
-    fetched = materialise(_fetch(docs, materialise(runs, "runs")), "run-bytes")
+    fetched = materialise(_fetch(docs, runs), "run-bytes")
+    release(first)
     dealt = fetched.where("not hot").select("gram", "doc_id", "place", "bytes").repartition("gram").sortWithinPartitions("gram", F.col("doc_id").asc_nulls_first(), "place")
     partly = dealt.mapInArrow(_sorted_groups, "doc_id long, begin long, end long")
-    return copied.unionByName(partly).unionByName(_hot_spans(fetched.where("hot")))
+    found = materialise(partly.unionByName(_hot_spans(fetched.where("hot"))), "sorted-spans")
+    release(fetched)
+    return copied.unionByName(found)
 
 
 def strip(docs: DataFrame, texts: bool = False) -> DataFrame:
