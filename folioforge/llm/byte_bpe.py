@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 #: Entries of each of a worker's two tables of encoded pre-tokens, and the longest pre-token kept in it.
-CACHE, CACHED_LEN = 350_000, 64
+CACHE, CACHED_LEN = 240_000, 64
 VOCABULARY = "byte_bpe_50k.tiktoken"
 
 

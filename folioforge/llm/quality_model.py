@@ -57,7 +57,7 @@ _REPEAT, _LINE, _LINES, _EMPTY = code("=", "repeat"), code("=", "line"), code("=
 class Extractor:
     """Text -> (features, values), every feature once. Keeps the codes of a bounded number of words."""
 
-    def __init__(self, keep: int = 200_000) -> None:
+    def __init__(self, keep: int = 100_000) -> None:
         self.keep = keep
         self.known: dict[str, tuple[int, int]] = {}
 

@@ -145,7 +145,7 @@ def score(docs: DataFrame, weights: dict[int, float], *keep: str) -> DataFrame:
                     got = known.get(w)
                     if got is None:
                         got = tuple(c for c in codes(w) if c in learnt)
-                        if len(known) < 300_000:
+                        if len(known) < 100_000:
                             known[w] = got
                     if got:
                         seen.update(got)
