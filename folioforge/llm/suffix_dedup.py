@@ -42,6 +42,8 @@ BLOCK = 1 << 20
 SHALLOW = 32
 #: Different runs with one gram that are sorted in one place; each has fewer than 200 bytes.
 HOT = 20_000
+#: Windows that a task puts in order at once.
+AT_ONCE = 200_000
 _GRAMS = LENGTH - GRAM + 1  # grams of a window
 _U = np.uint64
 _K1, _K2, _K3, _M = _U(0x9E3779B97F4A7C15), _U(0xC2B2AE3D27D4EB4F), _U(0x165667B19E3779F9), _U(0x2545F4914F6CDD1D)
@@ -230,19 +232,34 @@ def _duplicate_windows(grams: np.ndarray, places: np.ndarray, chunks: list[bytes
     lengths = np.fromiter(map(len, chunks), dtype=np.int64, count=len(chunks))
     data = np.frombuffer(b"".join(chunks) + bytes(8), dtype=np.uint8)
     begin = np.cumsum(lengths) - lengths
-    windows = lengths - LENGTH + 1
-    row = np.repeat(np.arange(len(chunks)), windows)
-    offset = np.arange(len(row)) - np.repeat(np.cumsum(windows) - windows, windows)
-    before = ((places >> 8) & 255)[row] - offset  # distance from the window's start to its anchor
-    group = np.unique(grams, return_inverse=True)[1][row] * 256 + before
-    index, kind = equal_windows(data, begin[row] + offset, group)
-    if not len(index):
-        return index, index
-    order = np.lexsort((index, kind))
-    index, kind = index[order], kind[order]
-    later = np.concatenate([[False], kind[1:] == kind[:-1]])
-    hit = np.sort(index[later])
-    return row[hit], (places >> 16)[row[hit]] - before[hit]
+    anchor, first, last = places >> 16, (places >> 8) & 255, places & 255
+    number = np.unique(grams, return_inverse=True)[1] * 256
+    rows, starts = [], []
+
+    def sort(waiting: list[tuple[np.ndarray, int]]) -> None:
+        row = np.concatenate([r for r, _ in waiting])
+        before = np.concatenate([np.full(len(r), d) for r, d in waiting])
+        index, kind = equal_windows(data, begin[row] + first[row] - before, number[row] + before)
+        order = np.lexsort((index, kind))
+        index, kind = index[order], kind[order]
+        hit = index[1:][kind[1:] == kind[:-1]]
+        rows.append(row[hit])
+        starts.append(anchor[row[hit]] - before[hit])
+
+    # Equal windows lie equally far before their anchors, so these distances can be sorted a few at a time.
+    waiting, size = [], 0
+    for d in range(int(last.min()), int(first.max()) + 1):
+        row = np.flatnonzero((last <= d) & (d <= first))
+        waiting.append((row, d))
+        size += len(row)
+        if size >= AT_ONCE:
+            sort(waiting)
+            waiting, size = [], 0
+    if size:
+        sort(waiting)
+    row, start = np.concatenate(rows), np.concatenate(starts)
+    order = np.lexsort((start, row))
+    return row[order], start[order]
 
 
 def _spans(row: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
