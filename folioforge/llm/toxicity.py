@@ -166,5 +166,5 @@ def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 def clean_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows that are not toxic, every column kept."""
-    names = docs.columns
-    return score(docs, train(docs, labels), *names).where(F.col("score") < THRESHOLD).select(*[F.col(f"`{c}`") for c in names])
+    rows = docs.select(F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("_doc"), docs["text"])
+    return score(rows, train(docs, labels), "_doc").where(F.col("score") < THRESHOLD).select("_doc.*")
