@@ -113,6 +113,18 @@ def applied_links(used: DataFrame, links: DataFrame) -> DataFrame:
     return links.join(ids, "link_id", "left_semi")
 
 
+def rule_evidence(applied: DataFrame, chunks: DataFrame, documents: DataFrame) -> DataFrame:
+    """The chunks that applied rules come from, with titles: applied(rule_id, rule_document_id, source_chunk_id, score, position).
+
+    Where rules share a chunk the last one speaks for it.
+    """
+    order = Window.partitionBy("source_chunk_id").orderBy(F.col("position").desc())
+    last = applied.withColumn("_r", F.row_number().over(order)).where("_r = 1").drop("_r")
+    live = documents.where("coalesce(deletion_status, 'active') = 'active'") if "deletion_status" in documents.columns else documents
+    rows = last.join(chunks.withColumnRenamed("chunk_id", "source_chunk_id"), "source_chunk_id").join(live.select("document_id", "title"), "document_id")
+    return rows.withColumnRenamed("source_chunk_id", "chunk_id").withColumn("role", F.lit("rule")).orderBy(F.col("score").desc(), "rule_id")
+
+
 def source_projection(hits: DataFrame) -> DataFrame:
     """Hits as shown: a title and a heading line are always there."""
     heading = F.array_join(F.filter(F.coalesce("heading_path", F.array().cast("array<string>")), lambda h: h.isNotNull()), " › ")

@@ -213,3 +213,75 @@ def embedded_images(pages: DataFrame, key: str = "page_id", html: str = "html")
     ).where("length(data) > 0")
     first = rows.withColumn("sha256", F.sha2("data", 256)).groupBy(key, "sha256").agg(F.min_by(F.struct("n", "media_type", "data"), "n").alias("x"))
     return first.select(key, F.col("x.n").alias("image_index"), "x.media_type", "x.data", "sha256")
+
+
+#: Elements that a page shown to readers must not have.
+UNSAFE = frozenset(("script", "iframe", "object", "embed", "form", "input", "button", "textarea", "select", "option", "base", "link", "meta", "foreignobject"))
+
+
+class _Cleaner(HTMLParser):
+    def __init__(self) -> None:
+        super().__init__(convert_charrefs=False)
+        self.out: list[str] = []
+        self.skip: list[str] = []
+
+    def _tag(self, tag: str, attrs: list, end: str) -> None:
+        if self.skip or tag in UNSAFE:
+            if tag in UNSAFE and tag not in VOID and not end:
+                self.skip.append(tag)
+            return
+        kept = "".join(f' {n}="{_escaped(v or "")}"' for n, v in attrs if _safe(n.lower(), v or ""))
+        self.out.append(f"<{tag}{kept}{end}>")
+
+    def handle_starttag(self, tag: str, attrs: list) -> None:
+        self._tag(tag, attrs, "")
+
+    def handle_startendtag(self, tag: str, attrs: list) -> None:
+        self._tag(tag, attrs, "/")
+
+    def handle_endtag(self, tag: str) -> None:
+        if self.skip:
+            if tag == self.skip[-1]:
+                self.skip.pop()
+        elif tag not in UNSAFE:
+            self.out.append(f"</{tag}>")
+
+    def handle_data(self, data: str) -> None:
+        if not self.skip:
+            self.out.append(data)
+
+    def handle_entityref(self, name: str) -> None:
+        self.handle_data(f"&{name};")
+
+    def handle_charref(self, name: str) -> None:
+        self.handle_data(f"&#{name};")
+
+
+def _escaped(value: str) -> str:
+    return value.replace("&", "&amp;").replace('"', "&quot;").replace("<", "&lt;")
+
+
+def _safe(name: str, value: str) -> bool:
+    """Whether an attribute may stay: no handlers or nested documents, pictures only from data URLs, links only within the page."""
+    if name.startswith("on") or name in ("srcdoc", "srcset", "action", "formaction"):
+        return False
+    if name == "src":
+        return decode_data_url(value) is not None
+    return value.startswith("#") if name in ("href", "xlink:href") else True
+
+
+def sanitise(html: str) -> str:
+    cleaner = _Cleaner()
+    cleaner.feed(html)
+    cleaner.close()
+    return "".join(cleaner.out)
+
+
+def sanitised(pages: DataFrame, html: str = "html") -> DataFrame:
+    """pages with the column cleaned for showing, in Arrow batches."""
+
+    @F.pandas_udf("string")
+    def clean(s: pd.Series) -> pd.Series:
+        return s.map(lambda x: None if x is None else sanitise(x))
+
+    return pages.withColumn(html, clean(html))

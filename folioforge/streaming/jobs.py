@@ -136,6 +136,32 @@ def bulk_delete(selected: DataFrame, owned: DataFrame, failed: DataFrame) -> Dat
     return rows.select("document_id", F.when(F.col("_o").isNull(), "missing").when(F.col("_f"), "failed").otherwise("deleted").alias("outcome"))
 
 
+def reindex_plan(documents: DataFrame, chunks: DataFrame, points: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(points to delete, chunks to store) when the index is made anew from the current versions of active knowledge documents."""
+    live = documents.where("document_kind = 'knowledge' AND coalesce(deletion_status, 'active') = 'active' AND latest_version_id IS NOT NULL")
+    current = chunks.join(live.select("document_id", F.col("latest_version_id").alias("version_id")), ["document_id", "version_id"], "left_semi")
+    return points.join(live.select("document_id"), "document_id", "left_semi"), current
+
+
+def renamed(documents: DataFrame, chunks: DataFrame, names: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(documents, chunks) after names(document_id, new_title): titles and the text by which chunks are indexed."""
+    from folioforge.functions.text import text_for_index
+
+    to = names.select("document_id", "new_title")
+    docs = documents.join(to, "document_id", "left").withColumn("title", F.coalesce("new_title", "title")).drop("new_title")
+    rows = chunks.drop("title").join(docs.select("document_id", "title"), "document_id")
+    return docs, rows.withColumn("sparse_text", text_for_index(F.col("title"), F.col("heading_path"), F.col("text")))
+
+
+def revise_rules(rule_documents: DataFrame, jobs: DataFrame, revisions: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(rule documents after revisions(rule_document_id, content), refused revisions): none while a job of the document runs."""
+    busy = jobs.where(~F.col("status").isin("ready", "failed")).select(F.col("document_id").alias("rule_document_id")).distinct()
+    good = revisions.join(busy, "rule_document_id", "left_anti").select("rule_document_id", F.struct("content").alias("_new"))
+    rows = rule_documents.join(good, "rule_document_id", "left")
+    rows = rows.withColumn("manual_content", F.coalesce("_new.content", "manual_content")).withColumn("extraction_status", F.when(F.col("_new").isNotNull(), "pending").otherwise(F.col("extraction_status"))).drop("_new")
+    return rows, revisions.join(busy, "rule_document_id", "left_semi")
+
+
 def backfill_jobs(versions: DataFrame, jobs: DataFrame) -> DataFrame:
     """Jobs for versions that have none, in the state that the version shows."""
     s = F.col("status")
