@@ -44,8 +44,9 @@ def quality_weight(text: Column) -> Column:
 
 
 def exponential_key(doc_id: Column, weight: Column, seed: int = SEED) -> Column:
-    h = F.xxhash64(F.lit(seed), F.coalesce(doc_id.cast("string"), F.lit("")))
-    u = (F.shiftrightunsigned(h, 11).cast("double") + F.lit(0.5)) / F.lit(float(2**53))
+    """-ln(u) / weight, where u in (0, 1) comes from 52 bits of a hash of seed and id."""
+    h = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(doc_id.cast("string"), F.lit(""))).cast("binary"))
+    u = (F.conv(F.substring(h, 1, 13), 16, 10).cast("double") + F.lit(0.5)) / F.lit(float(2**52))
     return -F.log(u) / weight
 
 

@@ -82,6 +82,48 @@ SELECT d.doc_id, count(license) AS n_licenses, coalesce(string_agg(license, ','
 FROM documents d LEFT JOIN good g ON g.doc_id = d.doc_id GROUP BY d.doc_id"""
 
 
+def _mixing_sql() -> str:
+    w = mixing.WEIGHTS
+    return rf"""
+WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size,
+  greatest(0.05, 1.0 - 5.0 * (length(coalesce(text, '')) - length(translate(coalesce(text, ''), '#*$%&|<>', ''))) / greatest(length(coalesce(text, '')), 1)) AS q,
+  (('0x' || substr(md5('{mixing.SEED}:' || coalesce(doc_id::VARCHAR, '')), 1, 13))::BIGINT + 0.5) / 4503599627370496.0 AS u FROM documents),
+src AS (SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY source),
+r AS (SELECT *, ([{", ".join(map(str, w))}])[1 + (row_number() OVER (ORDER BY source NULLS LAST) - 1) % {len(w)}]::DOUBLE AS w, {mixing.CAP} * source_size AS cap, {mixing.BUDGET} * sum(source_size) OVER () AS total FROM src),
+-- the level at which what is under its cap takes what those at their caps leave
+lv AS (SELECT a.source, (any_value(a.total) - coalesce(sum(b.cap) FILTER (b.cap / b.w < a.cap / a.w OR (b.cap / b.w = a.cap / a.w AND b.source < a.source)), 0)) /
+  sum(b.w) FILTER (NOT (b.cap / b.w < a.cap / a.w OR (b.cap / b.w = a.cap / a.w AND b.source < a.source))) AS t FROM r a, r b GROUP BY a.source, a.cap, a.w),
+t AS (SELECT arg_min(lv.t, cap / w) AS t FROM lv JOIN r ON lv.source IS NOT DISTINCT FROM r.source WHERE lv.t * w < cap),
+p AS (SELECT source, source_size, least(cap, w * coalesce(t.t, 1e300)) AS target FROM r, t),
+e AS (SELECT *, CASE WHEN source_size > 0 THEN floor(target / source_size)::BIGINT ELSE 0 END AS epochs FROM p),
+k AS (SELECT d.doc_id, d.size, e.source_size, e.target, e.epochs, e.target - e.epochs * e.source_size AS rest,
+  sum(d.size) OVER (PARTITION BY d.source ORDER BY -ln(u) / q, doc_id) - d.size / 2 AS middle FROM d JOIN e ON d.source IS NOT DISTINCT FROM e.source)
+SELECT doc_id, size, source_size, target, (size * (epochs + CASE WHEN size > 0 AND middle <= rest THEN 1 ELSE 0 END))::BIGINT AS taken FROM k"""
+
+
+def _rules_sql() -> str:
+    q = quality_rules
+    p, ratio = q.ALPHA / len(q.RULES), {r: f"coalesce({x.split('/')[0]}::DOUBLE / nullif({x.split('/')[1]}, 0), 0)" for r, (x, _) in q.RULES.items()}
+    steps = ", ".join(f"('{r}', {j}, {c})" for r, (_, ladder) in q.RULES.items() for j, c in enumerate(ladder))
+    value = "CASE rule " + " ".join(f"WHEN '{r}' THEN {x}" for r, x in ratio.items()) + " END"
+    return rf"""
+WITH d AS (SELECT doc_id, lang, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w,
+  list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS ls FROM documents),
+tri AS (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, w[i], w[i + 1], w[i + 2]) AS c FROM (SELECT doc_id, w, unnest(range(1, len(w) - 1)) AS i FROM d)),
+rep AS (SELECT doc_id, count(DISTINCT pos) AS n FROM (SELECT doc_id, unnest([i, i + 1, i + 2]) AS pos FROM tri WHERE c > 1) GROUP BY doc_id),
+b AS (SELECT d.doc_id, lang, len(w)::BIGINT AS n_words, length(array_to_string(w, ''))::BIGINT AS word_chars, (length(text) - length(translate(text, '#*$%&|<>', '')))::BIGINT AS n_symbols,
+  length(text) - length(replace(text, '!', '')) AS n_bangs, len(ls) AS n_lines, (len(ls) - len(list_distinct(ls)))::BIGINT AS n_dup_lines, coalesce(rep.n, 0)::BIGINT AS n_repeat_words FROM d LEFT JOIN rep USING (doc_id)),
+f AS (SELECT *, n_words < {q.MIN_WORDS} OR 100 * n_repeat_words > {q.MAX_REPEAT_PERCENT} * n_words AS base_failed FROM b),
+good AS (SELECT doc_id FROM labels GROUP BY doc_id HAVING min(quality) = 1),
+step(rule, j, cut) AS (VALUES {steps}),
+n AS (SELECT lang, rule, j, cut, count(*) AS n, count(*) FILTER ({value} > cut) AS k FROM f SEMI JOIN good USING (doc_id), step WHERE NOT base_failed GROUP BY lang, rule, j, cut),
+tail AS (SELECT lang, rule, j, cut, CASE WHEN k > n * {p!r} THEN 1 ELSE list_sum(list_transform(range(0, k + 1), lambda i: exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln({p!r}) + (n - i) * ln(1 - {p!r})))) END AS p FROM n),
+ok AS (SELECT *, bool_and(p <= {q.DELTA} / ((SELECT count(DISTINCT coalesce(lang, chr(0))) FROM n) * {len(q.RULES)})) OVER (PARTITION BY lang, rule ORDER BY j) AS ok FROM tail),
+cut AS (SELECT lang, rule, arg_max(cut, j) AS cut FROM ok WHERE ok GROUP BY lang, rule),
+bad AS (SELECT DISTINCT doc_id FROM f JOIN cut ON f.lang IS NOT DISTINCT FROM cut.lang WHERE {value} > cut.cut)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND doc_id NOT IN (SELECT doc_id FROM bad) AS kept FROM f"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {
         "op5_exact_dedup": f"""
@@ -91,5 +133,7 @@ SELECT doc_id, first_value(doc_id) OVER (PARTITION BY text_sha256 ORDER BY n DES
        doc_id = first_value(doc_id) OVER (PARTITION BY text_sha256 ORDER BY n DESC, doc_id) AS kept, text_sha256
 FROM d""",
         "op6_license_scan": _license_sql(),
+        "op7_source_mixing": _mixing_sql(),
+        "op10_quality_rules": _rules_sql(),
         "op9_sharding": _sharding_sql(),
     }
