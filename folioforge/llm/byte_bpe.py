@@ -18,12 +18,15 @@ import hashlib
 from collections.abc import Iterator
 from functools import lru_cache
 from heapq import heappop, heappush
+from itertools import islice
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
 #: Entries of each of a worker's two tables of encoded pre-tokens, and the longest pre-token kept in it.
 CACHE, CACHED_LEN = 240_000, 64
+#: Characters from which on a text is worked through in parts.
+LONG = 1 << 20
 VOCABULARY = "byte_bpe_50k.tiktoken"
 
 
@@ -136,8 +139,20 @@ class ByteBPE:
         return tuple(out)
 
     def encode(self, text: str) -> list[int]:
+        return [i for part in self.parts(text) for i in part] if len(text) > LONG else self._ids(self.pattern.findall(text))
+
+    def parts(self, text: str) -> Iterator[list[int]]:
+        """The ids of a text in parts of bounded size."""
+        if len(text) <= LONG:
+            yield self._ids(self.pattern.findall(text))
+            return
+        found = (m[0] for m in self.pattern.finditer(text))
+        while pieces := list(islice(found, 100_000)):
+            yield self._ids(pieces)
+
+    def _ids(self, pieces: list[str]) -> list[int]:
         young, old, ids = self.young, self.old, []
-        for piece in self.pattern.findall(text):
+        for piece in pieces:
             got = young.get(piece)
             if got is None:
                 got = old.get(piece)
@@ -190,11 +205,18 @@ def encode_documents(docs: DataFrame, vocabulary: str = VOCABULARY, ids: bool =
         for batch in batches:
             out: list[list] = [[], [], [], [], []]
             for doc_id, text in zip(batch.column(0), batch.column(1), strict=True):
-                got = bpe.encode(text.as_py() or "")
+                n, sums, got = 0, (hashlib.sha256(), hashlib.sha256()), []
+                for part in bpe.parts(text.as_py() or ""):
+                    said = " ".join(map(digits.__getitem__, part)).encode()
+                    sums[0].update(b" " + said if n and part else said)
+                    sums[1].update(bpe.decode(part))
+                    n += len(part)
+                    if ids:
+                        got += part
                 out[0].append(doc_id.as_py())
-                out[1].append(len(got))
-                out[2].append(hashlib.sha256(" ".join(map(digits.__getitem__, got)).encode()).hexdigest())
-                out[3].append(hashlib.sha256(bpe.decode(got)).hexdigest())
+                out[1].append(n)
+                out[2].append(sums[0].hexdigest())
+                out[3].append(sums[1].hexdigest())
                 if ids:
                     out[4].append(pa.array(got, pa.int32()))
             arrays = [pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.string()), pa.array(out[3], pa.string())]

@@ -70,20 +70,55 @@ class Extractor:
         return got
 
     def __call__(self, text: str) -> tuple[np.ndarray, np.ndarray]:
-        words = text.split()
-        n = len(words)
+        """Long texts are counted in parts, so only the counts grow, and those have a bound."""
+        n = pairs = n_lines = 0
+        counts: list[tuple[np.ndarray, np.ndarray]] = []
+        seen: set[str] = set()
+        last: tuple[int, int] | None = None
+        for part in parts(text):
+            words = part.split()
+            found = [c for c in map(str.strip, part.split("\n")) if c]
+            n_lines += len(found)
+            seen.update(found)
+            if not words:
+                continue
+            both = np.fromiter((c for w in words for c in self.codes(w)), dtype=np.int64, count=2 * len(words))
+            one, form = both[::2], both[1::2]
+            before = np.concatenate([[last[0]], one]) if last else one
+            shapes = np.concatenate([[last[1]], form]) if last else form
+            grams = np.where(before[:-1] == before[1:], _REPEAT, (shapes[:-1] * 40503 + shapes[1:] * 9176 + 77) & _MASK)
+            counts += [(np.concatenate([one, form]), np.ones(2 * len(words))), (grams, np.full(len(grams), -1.0))]
+            n, pairs, last = n + len(words), pairs + len(grams), (int(one[-1]), int(form[-1]))
+            if len(counts) > 16:
+                counts = [_merged(counts, 1.0), _merged(counts, -1.0)]
         if not n:
             return np.array([_EMPTY]), np.array([1.0])
-        pairs = np.fromiter((c for w in words for c in self.codes(w)), dtype=np.int64, count=2 * n)
-        one, form = pairs[::2], pairs[1::2]
-        grams = (form[:-1] * 40503 + form[1:] * 9176 + 77) & _MASK
-        grams = np.where(one[:-1] == one[1:], _REPEAT, grams)
-        lines = [x for x in map(str.strip, text.split("\n")) if x]
-        again = 1.0 - len(set(lines)) / len(lines)
-        at = np.concatenate([one, form, grams, [_LINE, _LINES]])
-        value = np.concatenate([np.full(2 * n, SCALE / n), np.full(n - 1, SCALE / max(1, n - 1)), [SCALE * again, SCALE * len(lines) / n]])
-        at, inverse = np.unique(at, return_inverse=True)
-        return at, np.bincount(inverse, weights=value)
+        again = 1.0 - len(seen) / n_lines
+        scaled = [(at, np.where(v > 0, v / n, -v / max(1, pairs)) * SCALE) for at, v in counts] + [(np.array([_LINE, _LINES]), np.array([SCALE * again, SCALE * n_lines / n]))]
+        at, inverse = np.unique(np.concatenate([a for a, _ in scaled]), return_inverse=True)
+        return at, np.bincount(inverse, weights=np.concatenate([v for _, v in scaled]))
+
+
+def _merged(counts: list[tuple[np.ndarray, np.ndarray]], sign: float) -> tuple[np.ndarray, np.ndarray]:
+    """The counts of one sign added up by feature; words count upwards, pairs downwards."""
+    at, v = np.concatenate([a for a, _ in counts]), np.concatenate([v for _, v in counts])
+    keep = v * sign > 0
+    at, inverse = np.unique(at[keep], return_inverse=True)
+    return at, np.bincount(inverse, weights=v[keep])
+
+
+def parts(text: str, size: int = 1 << 20) -> Iterator[str]:
+    """The text cut at line ends, or else at blanks, into parts of about `size` characters."""
+    at = 0
+    while len(text) - at > size:
+        cut = max(text.rfind("\n", at, at + size), -1)
+        if cut <= at:
+            cut = text.rfind(" ", at, at + size)
+        if cut <= at:
+            cut = at + size - 1
+        yield text[at : cut + 1]
+        at = cut + 1
+    yield text[at:]
 
 
 def fit(rows: list[tuple[str, int]], epochs: int = EPOCHS) -> np.ndarray | None:

@@ -68,7 +68,8 @@ _NEXT = {term: kind[(i + 1) % len(kind)] for kind in IDENTITY_TERMS for i, term
 
 
 def words(text: str) -> set[str]:
-    return set(_WORD.findall(text.lower()))
+    text = text.lower()
+    return set(_WORD.findall(text)) if len(text) < 1 << 20 else {m[0] for m in _WORD.finditer(text)}
 
 
 def counterfactual(found: set[str]) -> set[str] | None:

@@ -325,3 +325,21 @@ def test_queries_are_registered():
     for n in range(1, 11):
         assert len([q for q in names if re.match(rf"op{n}_", q)]) == 1
     assert "pipeline" in names and [s for s, _ in corpus_pipeline.STAGES] == ["toxicity", "exact_dedup", "near_dedup", "mixing", "byte_bpe"]
+
+
+def test_long_texts_in_parts(monkeypatch):
+    text = "Some words here.\nAnd MORE words!! 12\n" * 60 + "tail without end " * 30
+    extract = quality_model.Extractor()
+    at, value = extract(text)
+    cut = list(quality_model.parts(text, 50))
+    assert "".join(cut) == text and len(cut) > 20
+    whole = quality_model.parts
+    monkeypatch.setattr(quality_model, "parts", lambda t: whole(t, 200))
+    at2, value2 = extract(text)
+    shared = dict(zip(at, value, strict=True)), dict(zip(at2, value2, strict=True))
+    lines = {quality_model._LINE, quality_model._LINES}
+    assert all(shared[1][k] == pytest.approx(v, rel=1e-9) for k, v in shared[0].items() if k not in lines)
+    bpe = byte_bpe.load(*byte_bpe.installed())
+    short = bpe.encode(text)
+    monkeypatch.setattr(byte_bpe, "LONG", 100)
+    assert bpe.encode(text) == short
