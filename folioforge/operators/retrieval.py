@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from folioforge.config import DEFAULTS
 from folioforge.functions.scores import cosine
 from folioforge.functions.text import query_terms
+from folioforge.operators.nearest import nearest, no_group
 
 #: Answers of the extractive composer.
 REFUSAL = "No evidence was found in the documents."
@@ -89,18 +90,11 @@ def dense_search(vectors: DataFrame, query: Sequence[float], k: int = 10, least:
     return rows.orderBy(F.col("score").desc(), tie).limit(k)
 
 
-def dense_topk_join(queries: DataFrame, vectors: DataFrame, k: int, least: float = -1.0, blocks: int = 8) -> DataFrame:
-    """(query_id, id, score, rank): the k nearest vectors (id, embedding) of each query (query_id, embedding).
-
-    Vectors are dealt into blocks and every query meets every block once; a block keeps its k best per query
-    before anything is shuffled again, so what moves is queries * blocks * k rows at most.
-    """
-    q = queries.select("query_id", F.col("embedding").alias("q")).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    v = vectors.select("id", F.col("embedding").alias("v"), F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int").alias("block"))
-    scored = q.join(v, "block").select("query_id", "block", "id", cosine(F.col("q"), F.col("v")).alias("score")).where(F.col("score") >= least)
-    order = [F.col("score").desc(), F.col("id")]
-    near = scored.withColumn("r", F.row_number().over(Window.partitionBy("query_id", "block").orderBy(*order))).where(F.col("r") <= k)
-    return near.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(*order))).where(F.col("rank") <= k).select("query_id", "id", "score", "rank")
+def dense_topk_join(queries: DataFrame, vectors: DataFrame, k: int, least: float = -1.0) -> DataFrame:
+    """(query_id, id, score, rank): the k nearest vectors (id, embedding) of each query (query_id, embedding), ids being longs."""
+    q = queries.select(F.col("query_id").alias("id"), no_group(), F.col("embedding").alias("vector"))
+    v = vectors.select("id", no_group(), F.col("embedding").alias("vector"))
+    return nearest(q, v, k, least).select("query_id", "id", "score", "rank")
 
 
 def check_vectors(vectors: DataFrame, size: int, column: str = "embedding") -> DataFrame:

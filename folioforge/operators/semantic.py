@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from folioforge.config import DEFAULTS
 from folioforge.functions.ids import link_id
-from folioforge.functions.scores import calibrated, clamp, cosine, pair_floor
+from folioforge.functions.scores import calibrated, clamp, pair_floor
+from folioforge.operators.nearest import nearest
 
 
 def representatives(chunks: DataFrame, key: str = "document_id", most: int = DEFAULTS.max_segments) -> DataFrame:
@@ -39,22 +40,15 @@ def content_hash(segments: DataFrame, key: str = "document_id", id_: str = "chun
     return rows.select(key, F.sha2(F.array_join(F.transform("xs", lambda x: x["t"]), "\n"), 256).alias("content_hash"))
 
 
-def similar_segments(segments: DataFrame, least: float, most: int = DEFAULTS.segment_hits, blocks: int = 8) -> DataFrame:
-    """(owner_id, segment, node, other, other_node, raw): the `most` nearest segments of other nodes, same owner and model.
+def similar_segments(segments: DataFrame, least: float, most: int = DEFAULTS.segment_hits) -> DataFrame:
+    """(owner_id, embedding_model, segment, node, other, other_node, raw): the `most` nearest segments of other nodes, same owner and model.
 
-    segments(owner_id, embedding_model, node_id, segment_id, embedding). Owners and models do not meet; within
-    them segments meet block by block, and a block keeps its best before the next shuffle.
+    segments(owner_id, embedding_model, node_id, segment_id, embedding), ids being longs.
     """
-    s = segments.select("owner_id", "embedding_model", "node_id", "segment_id", "embedding")
-    left = s.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    right = s.select("owner_id", "embedding_model", F.col("node_id").alias("other_node"), F.col("segment_id").alias("other"), F.col("embedding").alias("v"))
-    right = right.withColumn("block", F.pmod(F.xxhash64("other"), F.lit(blocks)).cast("int"))
-    met = left.join(right, ["owner_id", "embedding_model", "block"]).where("node_id <> other_node").withColumn("raw", cosine(F.col("embedding"), F.col("v"))).where(F.col("raw") >= least)
-    met = met.select("owner_id", "embedding_model", "block", F.col("segment_id").alias("segment"), F.col("node_id").alias("node"), "other", "other_node", "raw")
-    order = [F.col("raw").desc(), F.col("other")]
-    near = met.withColumn("r", F.row_number().over(Window.partitionBy("segment", "block").orderBy(*order))).where(F.col("r") <= most)
-    near = near.withColumn("r", F.row_number().over(Window.partitionBy("segment").orderBy(*order))).where(F.col("r") <= most)
-    return near.drop("r", "block")
+    keys = ["owner_id", "embedding_model"]
+    rows = segments.select(*keys, F.col("segment_id").alias("id"), F.col("node_id").alias("grp"), F.col("embedding").alias("vector"))
+    near = nearest(rows, rows, most, least, keys, other_group=True)
+    return near.select(*keys, F.col("query_id").alias("segment"), F.col("query_grp").alias("node"), F.col("id").alias("other"), F.col("grp").alias("other_node"), F.col("score").alias("raw"))
 
 
 def greedy_pairs(matches: Column, most: int = DEFAULTS.max_pairs_per_link) -> Column:

@@ -238,3 +238,24 @@ def test_deletion_and_cleanup(spark):
     rows = spark.sql("SELECT 'a' AS id, 'failed' AS status, timestamp '2024-01-01 00:00:00' AS cleanup_started_at UNION ALL SELECT 'b', 'failed', timestamp '2024-01-01 00:09:00' UNION ALL SELECT 'c', 'ready', null")
     got = {r.id: r.claimed for r in jobs.claim_cleanups(rows, F.lit("2024-01-01 00:10:00").cast("timestamp")).collect()}
     assert got == {"a": True, "b": False, "c": False}
+
+
+def test_nearest_in_blocks(spark, monkeypatch):
+    import numpy as np
+
+    from folioforge.operators import nearest
+
+    monkeypatch.setattr(nearest, "BLOCK", 7)
+    m = np.random.default_rng(2).normal(size=(40, 5))
+    m[3] = 0.0
+    m[9] = m[8]
+    rows = spark.createDataFrame([("o", i, i // 4, [float(x) for x in m[i]]) for i in range(40)], "owner string, id long, grp long, vector array<double>")
+    got = {}
+    for r in nearest.nearest(rows, rows, 6, 0.1, ["owner"], other_group=True).collect():
+        got.setdefault(r.query_id, {})[r.rank] = r.id
+    unit = m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-300)
+    for i in range(40):
+        s = np.round(unit @ unit[i], 9)
+        near = [int(j) for j in sorted(range(40), key=lambda j: (-s[j], j)) if j // 4 != i // 4 and s[j] >= 0.1 and 3 not in (i, j)][:6]
+        assert [got.get(i, {}).get(k) for k in range(1, len(near) + 1)] == near and len(got.get(i, {})) == len(near)
+    assert nearest.nearest(rows.limit(0), rows, 3, keys=["owner"]).count() == 0
