@@ -111,3 +111,38 @@ def connection_permissions(spark: SparkSession, sf_dir: str) -> DataFrame:
     grants = table(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("owner_id"), F.col("c_custkey").alias("client_id"))
     rights = table(spark, sf_dir, "supplier").select(F.col("s_nationkey").alias("owner_id"), F.col("s_suppkey").alias("client_id"), (F.col("s_acctbal") > 0).alias("can_upload"))
     return repository.connections(grants, rights).select(F.col("client_id").alias("c_custkey"), F.col("owner_id").alias("c_nationkey"), "can_upload")
+
+
+@query(f"""
+WITH {_N}, ways AS (SELECT link_id, l AS node_id, r AS other_node, s FROM link UNION ALL SELECT link_id, r, l, s FROM link)
+SELECT node_id, other_node, CASE WHEN other_node % 3 = 0 THEN 'rule' ELSE 'document' END AS other_kind, n_name AS title, 'text ' || other_node AS text, round(s, 6) AS semantic_score
+FROM ways JOIN nation ON n_nationkey = other_node WHERE node_id % 3 = 0""")
+def rule_relations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    nodes, links = _nation_nodes(spark, sf_dir), _nation_links(spark, sf_dir)
+    evidence = links.select("link_id", F.lit(0).alias("ordinal"), F.col("left_node_id").alias("left_chunk_id"), F.col("right_node_id").alias("right_chunk_id"))
+    chunks = nodes.select(F.col("node_id").alias("chunk_id"), F.concat(F.lit("text "), F.col("node_id").cast("string")).alias("text"))
+    titles = table(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("long").alias("document_id"), F.col("n_name").alias("title"))
+    got = repository.relations_of_rules(nodes, links, evidence, chunks, titles)
+    return got.select("node_id", "other_node", "other_kind", "title", "text", F.round("semantic_score", 6).alias("semantic_score"))
+
+
+@query("""
+WITH b AS (SELECT doc_id, text, length(text) AS n, least(20, length(text)) AS a, least(45, length(text)) AS z FROM documents WHERE length(text) > 0),
+p AS (SELECT doc_id, substr(text, 1, a) AS piece, false AS marked, 0 AS pos FROM b UNION ALL SELECT doc_id, substr(text, a + 1, z - a), true, a FROM b UNION ALL SELECT doc_id, substr(text, z + 1), false, z FROM b)
+SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY pos) - 1 AS n, length(piece) AS size, marked FROM p WHERE piece <> ''""")
+def highlight_slices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    marks = F.array(*[F.struct(F.lit(a).alias("start"), F.lit(z).alias("end")) for a, z in ((30, 45), (20, 35), (20, 20))])
+    d = table(spark, sf_dir, "documents").where("length(text) > 0").withColumn("spans", marks)
+    return spans.slices(d, "doc_id").select("doc_id", F.col("n").cast("long").alias("n"), F.length("piece").cast("long").alias("size"), "marked")
+
+
+@query("""
+SELECT o_orderkey, CASE WHEN o_orderstatus = 'F' THEN 0 ELSE o_custkey % 9 END AS block_start, CASE WHEN o_orderpriority LIKE '1%' THEN o_custkey % 9 + 2 WHEN o_orderstatus = 'F' THEN 0 ELSE o_custkey % 9 END AS block_end,
+  CASE WHEN o_orderpriority LIKE '1%' THEN 'pdf' ELSE 'text' END AS source_type FROM orders""")
+def stored_defaults(spark: SparkSession, sf_dir: str) -> DataFrame:
+    first = F.col("o_orderpriority").startswith("1")
+    rows = table(spark, sf_dir, "orders").select(
+        "o_orderkey", F.when(F.col("o_orderstatus") != "F", F.col("o_custkey") % 9).alias("block_start"), F.when(first, F.col("o_custkey") % 9 + 2).alias("block_end"),
+        F.lit(None).cast("long").alias("focus_block"), F.when(first, "pdf").otherwise("odt").alias("source_type"),
+    )
+    return repository.stored_document(rows).select("o_orderkey", "block_start", "block_end", "source_type")
