@@ -3,8 +3,6 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Iterable
-
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -34,17 +32,6 @@ class FTRL:
         self.n[at] = n + squares
 
 
-class Coordinates:
-    """Numbers the features of a bounded sample in order of appearance; number 0 is the intercept."""
-
-    def __init__(self) -> None:
-        self.number: dict[int, int] = {}
-
-    def __call__(self, features: Iterable[int]) -> np.ndarray:
-        number = self.number
-        return np.array([0] + [number.setdefault(f, len(number) + 1) for f in features], dtype=np.int64)
-
-
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, folds: int, left_out: int, limit: int) -> DataFrame:
     """(doc_id, text, label) of at most `limit` labelled rows outside the held-out fold.
 

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import fold_of
-from .linear import FTRL, Coordinates, labelled_sample, sigmoid
+from .linear import FTRL, labelled_sample, sigmoid
 
 #: Bound on the labelled rows that training reads.
 MAX_TRAIN = 12_000
@@ -85,22 +85,34 @@ def codes(word: str) -> tuple[int, ...]:
     return tuple(zlib.crc32(f.encode("utf-8", "surrogatepass")) for f in forms)
 
 
-def features(found: set[str]) -> list[int]:
-    return sorted({c for w in found for c in codes(w)})
+def features(found: set[str]) -> np.ndarray:
+    return np.unique(np.fromiter((c for w in found for c in codes(w)), dtype=np.uint32))
 
 
 def fit(rows: list[tuple[str, int]], epochs: int = EPOCHS, penalty: float = CF_PENALTY) -> dict[int, float]:
-    """Non-zero weights by feature; -1 is the intercept. Rows (text, label) in a fixed order."""
-    number = Coordinates()
+    """Non-zero weights by feature; -1 is the intercept. Rows (text, label) in a fixed order.
+
+    Features of one text only are left out from the start: their sum of gradients stays below the L1 threshold,
+    so their weight would be 0 in the end.
+    """
     examples = []
     for text, label in rows:
         found = words(text)
         other = counterfactual(found)
-        x = number(features(found))
-        examples.append((x, None if other is None else number(features(other)), float(label)))
+        examples.append((features(found), None if other is None else features(other), float(label)))
     if not {0.0, 1.0} <= {y for *_, y in examples}:
         return {}
-    model = FTRL(len(number.number) + 1, alpha=0.25, beta=1.0, l1=6.0, l2=0.1)
+    known, counts = np.unique(np.concatenate([x for a, b, _ in examples for x in (a, b) if x is not None]), return_counts=True)
+    known = known[counts > 1]
+
+    def number(x: np.ndarray) -> np.ndarray:
+        """Coordinates of the features that are known; 0 is the intercept."""
+        at = np.searchsorted(known, x)
+        at[at == len(known)] = 0
+        return np.concatenate([[0], at[known[at] == x] + 1]) if len(known) else np.zeros(1, dtype=np.int64)
+
+    examples = [(number(x), None if other is None else number(other), y) for x, other, y in examples]
+    model = FTRL(len(known) + 1, alpha=0.25, beta=1.0, l1=6.0, l2=0.1)
     order = np.random.default_rng(5)
     for _ in range(epochs):
         for i in order.permutation(len(examples)):
@@ -115,7 +127,7 @@ def fit(rows: list[tuple[str, int]], epochs: int = EPOCHS, penalty: float = CF_P
             gap = w[inside].sum() - w[outside].sum()
             model.update(at, slope * inside + 2.0 * penalty * gap * (inside.astype(float) - outside), w)
     w = model.weights(slice(None))
-    out = {f: float(w[k]) for f, k in number.number.items() if w[k]}
+    out = {int(f): float(v) for f, v in zip(known, w[1:], strict=True) if v}
     out[-1] = float(w[0])
     return out
 
