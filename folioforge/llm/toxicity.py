@@ -102,8 +102,11 @@ def fit(rows: list[tuple[str, int]], epochs: int = EPOCHS, penalty: float = CF_P
         examples.append((features(found), None if other is None else features(other), float(label)))
     if not {0.0, 1.0} <= {y for *_, y in examples}:
         return {}
-    known, counts = np.unique(np.concatenate([x for a, b, _ in examples for x in (a, b) if x is not None]), return_counts=True)
-    known = known[counts > 1]
+    kept = []
+    for r in range(16):  # counted a sixteenth at a time, which keeps the copies small
+        seen, counts = np.unique(np.concatenate([x[x % 16 == r] for a, b, _ in examples for x in (a, b) if x is not None]), return_counts=True)
+        kept.append(seen[counts > 1])
+    known = np.sort(np.concatenate(kept))
 
     def number(x: np.ndarray) -> np.ndarray:
         """Coordinates of the features that are known; 0 is the intercept."""
