@@ -9,10 +9,13 @@ holds one shingle of a template has a window whose Jaccard similarity with one o
 A template that is retrieved for a text is verified: the exact share of its distinct shingles among all
 shingles of the whole text must reach CONTAINMENT.
 
+A template of fewer than five words is one shingle of its own length. Its windows hold one shingle, whose MinHash
+value is the shingle itself in every band, so windows that are no such template's meet no band and are never built.
+
 Templates are a parameter and must stay below MAX_TEMPLATE_WORDS words in all, which bounds what is broadcast
 and the constants in the plan. Texts are never shuffled; windows that meet no band disappear in the scan.
 
-Nulls: a null text has no words and no match; a null doc_id is carried along. Templates of fewer than five
+Nulls: a null text has no words and no match; a null doc_id is carried along. Templates of fewer than three
 words are refused. Repeated rows are reported each; empty tables give empty results; extra columns do no harm.
 """
 
@@ -26,6 +29,8 @@ from pyspark.sql import functions as F
 
 SHINGLE, WINDOW, BANDS, CONTAINMENT = 5, 2, 20, 0.8
 MAX_TEMPLATE_WORDS = 20_000
+#: Words of the shortest template.
+LEAST = 3
 
 #: Usual wordings of short license notices.
 TEMPLATES: dict[str, str] = {
@@ -49,6 +54,8 @@ TEMPLATES: dict[str, str] = {
         "the Free Software Foundation"
     ),
 }
+#: TEMPLATES with the notices of fewer than five words as they are written.
+NOTICES: dict[str, str] = TEMPLATES | {"all-rights-reserved": "All rights reserved."}
 #: Characters that count as blanks between words.
 PUNCTUATION = "\t\n\x0b\f\r.,;:!?()[]{}<>\"'`*#_/\\|+=~^&%$@-"
 
@@ -67,8 +74,8 @@ def template_shingles(spark: SparkSession, templates: dict[str, str]) -> DataFra
     split = {name: words_of(text) for name, text in templates.items()}
     if not split:
         raise ValueError("no templates")
-    if short := [n for n, w in split.items() if len(w) < SHINGLE]:
-        raise ValueError(f"templates of fewer than {SHINGLE} words: {short}")
+    if short := [n for n, w in split.items() if len(w) < LEAST]:
+        raise ValueError(f"templates of fewer than {LEAST} words: {short}")
     if sum(map(len, split.values())) > MAX_TEMPLATE_WORDS:
         raise ValueError(f"templates of more than {MAX_TEMPLATE_WORDS} words in all")
     if any(";" in n or "|" in n for n in split):
@@ -76,12 +83,13 @@ def template_shingles(spark: SparkSession, templates: dict[str, str]) -> DataFra
     listing = ";".join(f"{name}|{' '.join(words)}" for name, words in split.items())
     one = spark.range(1).select(F.explode(F.split(F.lit(listing), ";")).alias("e")).select(F.split("e", "[|]", 2).alias("e"))
     one = one.select(F.col("e")[0].alias("license"), F.split(F.col("e")[1], " ").alias("_w"))
-    return one.select("license", F.posexplode(F.expr(_shingles_sql("_w"))).alias("at", "shingle"))
+    own = " ".join(f"WHEN size(_w) = {n} THEN {_shingles_sql('_w', n)}" for n in range(LEAST, SHINGLE))
+    return one.select("license", F.posexplode(F.expr(f"CASE {own} ELSE {_shingles_sql('_w')} END")).alias("at", "shingle"))
 
 
-def _shingles_sql(words: str) -> str:
-    parts = ", ".join(f"{words}[i + {k}]" for k in range(SHINGLE))
-    return f"CASE WHEN size({words}) >= {SHINGLE} THEN transform(sequence(0, size({words}) - {SHINGLE}), i -> xxhash64({parts})) ELSE array() END"
+def _shingles_sql(words: str, n: int = SHINGLE) -> str:
+    parts = ", ".join(f"{words}[i + {k}]" for k in range(n))
+    return f"CASE WHEN size({words}) >= {n} THEN transform(sequence(0, size({words}) - {n}), i -> xxhash64({parts})) ELSE array() END"
 
 
 def _long(value: int) -> str:
@@ -113,7 +121,8 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None, bands: int =
     Rows that repeat a doc_id are reported as one, with the best containment.
     """
     spark = docs.sparkSession
-    listed = template_shingles(spark, templates if templates is not None else TEMPLATES)
+    templates = templates if templates is not None else TEMPLATES
+    listed = template_shingles(spark, templates)
     # Bounded by MAX_TEMPLATE_WORDS.
     rows = listed.orderBy("license", "at").collect()
     by_license: dict[str, list[int]] = {}
@@ -128,11 +137,20 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None, bands: int =
     run_bands = run_rows.select("license", *[F.expr(_band([f"s{k}" for k in range(WINDOW)], b)).alias(f"b{b}") for b in range(bands)])
     band_rows = run_bands.collect()
 
-    hashes = docs.select("doc_id", words_column(F.col("text")).alias("_w")).select("doc_id", F.expr(_shingles_sql("_w")).alias("_h"))
-    held = F.expr(f"filter(_h, s -> s IN ({', '.join(map(_long, every))}))")
-    windows = F.expr(f"transform(sequence(0, greatest(size(_h) - 1, 0), {WINDOW}), i -> struct(" + ", ".join(f"get(_h, i + {k}) AS s{k}" for k in range(WINDOW)) + "))")
+    own = {name: len(words_of(text)) for name, text in templates.items() if len(words_of(text)) < SHINGLE}
+    short = sorted({s for name in own for s in by_license[name]})
+    of_templates = lambda column, hashed: f"filter({column}, s -> s IN ({', '.join(map(_long, hashed))}))"
+    held = of_templates("_h", every)
+    windows = f"transform(sequence(0, greatest(size(_h) - 1, 0), {WINDOW}), i -> struct(" + ", ".join(f"get(_h, i + {k}) AS s{k}" for k in range(WINDOW)) + "))"
+    columns = [F.expr(_shingles_sql("_w")).alias("_h")]
+    if short:
+        shorter = f"concat({', '.join(_shingles_sql('_w', n) for n in sorted(set(own.values())))})"
+        columns.append(F.expr(of_templates(shorter, short)).alias("_t"))
+        held = f"concat({held}, _t)"
+        windows = f"concat({windows}, transform(_t, s -> struct(" + ", ".join("s AS s0" if k == 0 else f"cast(NULL AS long) AS s{k}" for k in range(WINDOW)) + ")))"
+    hashes = docs.select("doc_id", words_column(F.col("text")).alias("_w")).select("doc_id", *columns)
     # The outer form: for the inner one the optimizer infers a filter that repeats the hashing inside the lambda.
-    cut = hashes.select("doc_id", F.array_distinct(held).alias("held"), F.explode_outer(windows).alias("w"))
+    cut = hashes.select("doc_id", F.array_distinct(F.expr(held)).alias("held"), F.explode_outer(F.expr(windows)).alias("w"))
     # A value is in a band's table if it is one of the templates' hashes under the band's mask. The test is a loop over
     # masks: as a condition per band the generated method outgrows what the JVM compiles.
     masks = ", ".join(_long(_mask(b)) for b in range(bands))

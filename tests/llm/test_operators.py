@@ -223,6 +223,20 @@ def test_license_scan_is_brute_force(spark, rows, empty):
         license_scan.scan(empty, {"x": "too short"})
 
 
+def test_license_scan_finds_notices_of_fewer_than_five_words(spark):
+    texts = ["All rights reserved.", "x y\nALL rights, reserved\nz", "all rights are reserved", "w All rights reserved " * 3, "Made under MIT terms", "rights reserved", "", None]
+    templates = license_scan.NOTICES | {"four": "made under mit terms"}
+    got = {r.doc_id: r.licenses for r in license_scan.report(documents(spark, [(k, t, None, None) for k, t in enumerate(texts)]), templates).collect()}
+    assert got == {0: "all-rights-reserved", 1: "all-rights-reserved", 2: "", 3: "all-rights-reserved", 4: "four", 5: "", 6: "", 7: ""}
+
+
+def test_planted_notices_are_all_found(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    planted = {r.doc_id for r in docs.collect() if "All rights reserved." in (r.text or "")}
+    found = {r.doc_id for r in license_scan.report(docs, license_scan.NOTICES).collect() if "all-rights-reserved" in r.licenses}
+    assert planted and planted <= found
+
+
 # --- 7 ------------------------------------------------------------------------------------------------------------------
 
 
