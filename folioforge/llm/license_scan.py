@@ -38,7 +38,7 @@ TEMPLATES: dict[str, str] = {
     "mit": "Released under the MIT License.",
     "gpl-3.0": "This work is licensed under the GNU General Public License, version 3.",
     "cc-by-nc-4.0": "Licensed under CC BY-NC 4.0.",
-    "cc-by-4.0": "Licensed under CC BY 4.0 International.",
+    "cc-by-4.0": "Licensed under CC BY 4.0.",
     "cc-by-sa-4.0": "Licensed under CC BY-SA 4.0.",
     "all-rights-reserved": "Copyright holder. All rights reserved worldwide.",
     "mit-grant": (

@@ -230,6 +230,12 @@ def test_license_scan_finds_notices_of_fewer_than_five_words(spark):
     assert got == {0: "all-rights-reserved", 1: "all-rights-reserved", 2: "", 3: "all-rights-reserved", 4: "four", 5: "", 6: "", 7: ""}
 
 
+def test_license_scan_finds_both_wordings_of_cc_by(spark):
+    texts = ["Licensed under CC BY 4.0.", "x licensed under CC BY 4.0 International. y", "Licensed under CC BY-NC 4.0.", "Licensed under CC BY 3.0."]
+    got = {r.doc_id: r.licenses for r in license_scan.report(documents(spark, [(k, t, None, None) for k, t in enumerate(texts)])).collect()}
+    assert got == {0: "cc-by-4.0", 1: "cc-by-4.0", 2: "cc-by-nc-4.0", 3: ""}
+
+
 def test_planted_notices_are_all_found(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     planted = {r.doc_id for r in docs.collect() if "All rights reserved." in (r.text or "")}
