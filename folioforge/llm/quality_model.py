@@ -1,8 +1,8 @@
 """Quality classifier: logistic regression over hashed word n-grams with follow-the-regularised-leader updates.
 
-A text is a series of words. Its features are hashed 1-grams of the words, and hashed 1- and 2-grams of their
+A text is a series of words. Its features are hashed 1- and 2-grams of the words, and hashed 1- and 2-grams of their
 shapes (runs of lower-case letters, capitals and digits folded to one sign each, other characters kept), which
-generalise over words never seen. A 2-gram of equal neighbours and a line that occurred before in the text are
+generalise over words never seen. A 2-gram of shapes of equal neighbours and a line that occurred before in the text are
 marked as such. The value of a feature is its share of all n-grams of its kind, so a score is a sparse dot
 product that does not depend on length, plus an intercept.
 
@@ -87,7 +87,8 @@ class Extractor:
             before = np.concatenate([[last[0]], one]) if last else one
             shapes = np.concatenate([[last[1]], form]) if last else form
             grams = np.where(before[:-1] == before[1:], _REPEAT, (shapes[:-1] * 40503 + shapes[1:] * 9176 + 77) & _MASK)
-            counts += [(np.concatenate([one, form]), np.ones(2 * len(words))), (grams, np.full(len(grams), -1.0))]
+            neighbours = (before[:-1] * 69069 + before[1:] * 30011 + 7) & _MASK
+            counts += [(np.concatenate([one, form]), np.ones(2 * len(words))), (np.concatenate([grams, neighbours]), np.full(2 * len(grams), -1.0))]
             n, pairs, last = n + len(words), pairs + len(grams), (int(one[-1]), int(form[-1]))
             if len(counts) > 16:
                 counts = [_merged(counts, 1.0), _merged(counts, -1.0)]

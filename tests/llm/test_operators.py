@@ -1,5 +1,6 @@
 import collections
 import math
+import random
 import re
 
 import numpy as np
@@ -163,6 +164,20 @@ def test_classifier_on_held_out_rows(spark, model, label, least):
     assert sum(r.predicted == r[label] for r in clean) / len(clean) >= 0.98
 
 
+def test_quality_model_sees_the_order_of_words():
+    r = random.Random(3)
+    words = "river stone walls carry slow water past green fields toward open hills".split()
+
+    def text(ordered):
+        """Each word five times, no equal neighbours."""
+        rounds = [words] * 5 if ordered else [r.sample(words, len(words)) for _ in range(5)]
+        return text(ordered) if any(a[-1] == b[0] for a, b in zip(rounds, rounds[1:], strict=False)) else " ".join(w for x in rounds for w in x)
+
+    rows = [(text(k % 2 == 1), k % 2) for k in range(120)]
+    weights, extract = quality_model.fit(rows[:80]), quality_model.Extractor()
+    assert all((quality_model.apply(t, weights, extract) >= 0.5) == (y == 1) for t, y in rows[80:])
+
+
 def test_counterfactual_penalty_spares_group_names():
     rows = [("you women are idiot trash", 1), ("women met today", 0), ("women are idiot fools", 1), ("men met today", 0), ("men talk here", 0), ("what trash", 1)] * 30 + [("fine text about rivers", 0)] * 30
     plain, held = toxicity.fit(rows, penalty=0.0), toxicity.fit(rows, penalty=2.0)
