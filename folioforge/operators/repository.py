@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from folioforge.functions.text import like_term, natural_key
 
@@ -61,6 +62,13 @@ def sort_folders(by: str = "name") -> list[Column]:
     return [*([F.col("updated_at").desc()] if by == "recent" else []), natural_key(F.col("name")), F.col("id")]
 
 
+def positions(documents: DataFrame, order: list[Column]) -> DataFrame:
+    """(document_id, position) of every row, from 1. Sorted ranges are counted and numbered, so no task holds all rows."""
+    ids = documents.orderBy(*order).select("document_id")
+    schema = StructType([*ids.schema.fields, StructField("position", LongType())])
+    return documents.sparkSession.createDataFrame(ids.rdd.zipWithIndex().map(lambda r: (r[0][0], r[1] + 1)), schema, verifySchema=False)
+
+
 def page(rows: DataFrame, order: list[Column], number: int, size: int) -> DataFrame:
     """One page; a number outside is moved to the nearest page. Sizes are 10, 30 or 50."""
     if size not in (10, 30, 50):

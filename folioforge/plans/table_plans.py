@@ -63,6 +63,20 @@ def doc_sort_recent(spark: SparkSession, sf_dir: str) -> DataFrame:
     return o.orderBy(*repository.sort_documents(o, "recent")).limit(30).select("document_id", "indexed_at")
 
 
+@query(f"SELECT p_partkey AS document_id, row_number() OVER (ORDER BY k, p_partkey) AS position FROM (SELECT p_partkey, {_KEY} AS k FROM (SELECT p_partkey, p_name || ' ' || p_size AS t FROM part))")
+def doc_order_natural(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole order of which doc_sort_natural shows the beginning."""
+    p = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("document_id"), F.concat_ws(" ", "p_name", "p_size").alias("title"))
+    return repository.positions(p, repository.sort_documents(p, "name"))
+
+
+@query("SELECT o_orderkey AS document_id, row_number() OVER (ORDER BY o_orderdate DESC, o_orderpriority, o_orderkey) AS position FROM orders")
+def doc_order_recent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole order of which doc_sort_recent shows the beginning."""
+    o = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("document_id"), F.col("o_orderdate").alias("indexed_at"), F.col("o_orderpriority").alias("title"))
+    return repository.positions(o, repository.sort_documents(o, "recent"))
+
+
 @query("SELECT o_orderkey AS job_id, o_orderstatus AS status FROM orders ORDER BY o_orderdate DESC, o_orderkey DESC LIMIT 30 OFFSET 60")
 def job_page(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("job_id"), F.col("o_orderstatus").alias("status"), "o_orderdate")

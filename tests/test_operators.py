@@ -259,3 +259,13 @@ def test_nearest_in_blocks(spark, monkeypatch):
         near = [int(j) for j in sorted(range(40), key=lambda j: (-s[j], j)) if j // 4 != i // 4 and s[j] >= 0.1 and 3 not in (i, j)][:6]
         assert [got.get(i, {}).get(k) for k in range(1, len(near) + 1)] == near and len(got.get(i, {})) == len(near)
     assert nearest.nearest(rows.limit(0), rows, 3, keys=["owner"]).count() == 0
+
+
+@pytest.mark.parametrize(("order", "shown", "key", "source"), [("doc_order_natural", "doc_sort_natural", "p_partkey", "part"), ("doc_order_recent", "doc_sort_recent", "document_id", "orders")])
+def test_every_row_has_its_position(spark, sf, order, shown, key, source):
+    from folioforge import catalog
+
+    got = {r.position: r.document_id for r in catalog.queries()[order](spark, sf).collect()}
+    assert sorted(got) == list(range(1, spark.read.parquet(f"{sf}/{source}.parquet").count() + 1))
+    first = [r[key] for r in catalog.queries()[shown](spark, sf).collect()]
+    assert [got[k + 1] for k in range(len(first))] == first
