@@ -84,6 +84,32 @@ def semantic_links_rebuild(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _links(spark, sf_dir).select("link_id", "left_node_id", "right_node_id", F.round("semantic_score", 6).alias("semantic_score"), F.round("coverage_score", 6).alias("coverage_score"), "matched_pair_count")
 
 
+def _graph(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """(nodes, links) of the semantic graph; every third node is a rule. The links are kept, at most five a node."""
+    ids = _segments(spark, sf_dir).select(F.col("node_id").cast("string").alias("node_id")).distinct()
+    kind = F.when(F.col("node_id").cast("long") % 3 == 0, "rule").otherwise("document")
+    links = _links(spark, sf_dir).select("link_id", "left_node_id", "right_node_id", "semantic_score")
+    return ids.select("node_id", kind.alias("node_kind"), F.col("node_id").alias("document_id"), F.col("node_id").alias("rule_id")), links.persist()
+
+
+@query()
+def node_degree_semantic(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return semantic.degrees(_graph(spark, sf_dir)[1])
+
+
+@query()
+def one_hop_semantic(spark: SparkSession, sf_dir: str) -> DataFrame:
+    nodes, links = _graph(spark, sf_dir)
+    return semantic.one_hop(links, nodes.where("node_id IN ('3', '4')"))[1].select("link_id")
+
+
+@query()
+def graph_view(spark: SparkSession, sf_dir: str) -> DataFrame:
+    nodes, links = _graph(spark, sf_dir)
+    docs = nodes.where("node_kind = 'document'").select("document_id", F.concat(F.lit("document "), "document_id").alias("title"))
+    return semantic.graph_view(nodes, links, docs)[0].select("node_id", "node_kind", "relation_count")
+
+
 #: Links with SQL of their own: nations that share a region, scored by key.
 _N = "link AS (SELECT a.n_nationkey * 100 + b.n_nationkey AS link_id, a.n_nationkey AS l, b.n_nationkey AS r, 0.35 + (a.n_nationkey * 7 + b.n_nationkey * 3) % 60 / 100.0 AS s FROM nation a JOIN nation b ON a.n_regionkey = b.n_regionkey AND a.n_nationkey < b.n_nationkey)"
 
@@ -129,13 +155,6 @@ def semantic_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.semantic_paths(roots, nodes, _nation_links(spark, sf_dir), most=20).select("path_id", F.round("score", 6).alias("score"))
 
 
-@query()
-def graph_view(spark: SparkSession, sf_dir: str) -> DataFrame:
-    nodes = _nation_nodes(spark, sf_dir)
-    docs = table(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("long").alias("document_id"), F.col("n_name").alias("title"))
-    return semantic.graph_view(nodes, _nation_links(spark, sf_dir), docs)[0].select("node_id", "node_kind", "relation_count")
-
-
 @query(f"""WITH {_V}, cand AS (SELECT q.vec_id AS rule_id, v.vec_id AS chunk_id, v.vec_id // 10 AS document_id, s, row_number() OVER (PARTITION BY q.vec_id ORDER BY s DESC, v.vec_id) AS r
   FROM (SELECT * FROM v WHERE vec_id % 100 = 0) q, v, LATERAL (SELECT list_cosine_similarity(q.e, v.e) AS s)),
 one AS (SELECT *, row_number() OVER (PARTITION BY rule_id, document_id ORDER BY r) AS d FROM cand WHERE r <= 40 AND s >= 0.2)

@@ -269,3 +269,20 @@ def test_every_row_has_its_position(spark, sf, order, shown, key, source):
     assert sorted(got) == list(range(1, spark.read.parquet(f"{sf}/{source}.parquet").count() + 1))
     first = [r[key] for r in catalog.queries()[shown](spark, sf).collect()]
     assert [got[k + 1] for k in range(len(first))] == first
+
+
+def test_graph_queries_run_on_semantic_links(spark, sf):
+    from collections import Counter
+
+    from folioforge import catalog
+
+    q = {n: catalog.queries()[n](spark, sf).collect() for n in ("semantic_links_rebuild", "node_degree_semantic", "one_hop_semantic", "graph_view")}
+    links = [(r.link_id, r.left_node_id, r.right_node_id) for r in q["semantic_links_rebuild"]]
+    degree = Counter(n for _, a, b in links for n in (a, b))
+    assert links and {r.node_id: r.relation_count for r in q["node_degree_semantic"]} == degree
+    near = {"3", "4"} | {b for _, a, b in links if a in ("3", "4")} | {a for _, a, b in links if b in ("3", "4")}
+    assert {r.link_id for r in q["one_hop_semantic"]} == {i for i, a, b in links if a in near and b in near}
+    rule = lambda n: int(n) % 3 == 0
+    shown = Counter(n for _, a, b in links if not (rule(a) and rule(b)) for n in (a, b))
+    nodes = {str(r.vec_id // 10) for r in spark.read.parquet(f"{sf}/embeddings.parquet").select("vec_id").collect()}
+    assert {r.node_id: r.relation_count for r in q["graph_view"]} == {n: shown[n] for n in nodes if not rule(n) or shown[n]}
