@@ -7,22 +7,22 @@ earlier in the same one. Matches never cross documents.
    the leftmost of equals. Equal windows have their anchors at the same distance, so a window can only equal
    windows whose anchor holds the same gram. One row per anchor (about one in 43 bytes) is shuffled, and only
    anchors whose gram occurs twice go on.
-2. An anchor stands for a run of neighbouring windows; anchors with the same run of bytes (a 128-bit hash with
-   its bounds) are copies as a whole: all but the first are marked, whatever their number, by an aggregate that
-   combines before the shuffle and a join that can split a hot key.
+2. An anchor stands for a run of neighbouring windows; anchors with the same run of bytes (96 bits of its BLAKE2b
+   beside the gram) are copies as a whole: all but the first are marked, whatever their number, by an aggregate
+   that combines before the shuffle and a join that can split a hot key. So copies are settled before the sort.
 3. What is left are first runs that share a gram with a different first run. Their bytes are fetched, dealt out
    by gram and put in suffix order window by window: multikey quicksort, eight bytes a step, to depth SHALLOW;
    groups that are still equal there are ordered by blind tries, which skip the bytes that a whole group
    shares, branch on the first word that differs and check every suffix against its leaf. Windows that end in
-   one leaf are equal, and all but the first are marked. A gram with more than HOT different runs is not
-   gathered: its windows are compared as 128-bit hashes by an aggregate.
+   one leaf are equal, and all but the first are marked. A gram with more than HOT different runs is too much
+   for one task: its windows are brought together by their bytes, in an aggregate that combines before the shuffle.
 4. The marks of a document are joined to it and its bytes removed.
 
-Nothing is collected on the driver. Texts are worked through in blocks of BLOCK bytes, so memory does not grow
-with a text. Nulls: a null text has no bytes; a null doc_id is the smallest id. Rows that repeat a doc_id and
-its text count as one document and get equal results; different texts under one doc_id are treated as
-unrelated versions of it, whose removals may mix. Texts shorter than LENGTH bytes lose nothing. Empty tables
-give empty results; extra columns do no harm.
+Nothing is collected on the driver. Texts are searched in blocks of BLOCK bytes; only the removal itself holds a
+whole text and what is kept of it. A row is known by its doc_id and, where several texts share a doc_id, the hash
+of its text, by which such texts are ordered among themselves. Nulls: a null text has no bytes; a null doc_id is
+the smallest id. Rows that repeat a doc_id and its text count as one document and get equal results. Texts
+shorter than LENGTH bytes lose nothing. Empty tables give empty results; extra columns do no harm.
 """
 
 from __future__ import annotations
@@ -46,7 +46,8 @@ HOT = 20_000
 AT_ONCE = 200_000
 _GRAMS = LENGTH - GRAM + 1  # grams of a window
 _U = np.uint64
-_K1, _K2, _K3, _M = _U(0x9E3779B97F4A7C15), _U(0xC2B2AE3D27D4EB4F), _U(0x165667B19E3779F9), _U(0x2545F4914F6CDD1D)
+_K1, _K2, _K3 = _U(0x9E3779B97F4A7C15), _U(0xC2B2AE3D27D4EB4F), _U(0x165667B19E3779F9)
+_ID = "doc_id long, ver long"
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
@@ -70,18 +71,8 @@ def gram_hashes(data: np.ndarray) -> np.ndarray:
     return _mixed(x ^ (y >> _U(23)) ^ (y << _U(17)))
 
 
-def _powers(base: np.uint64, n: int) -> np.ndarray:
-    out = np.full(n, base, dtype=np.uint64)
-    out[0] = 1
-    return np.multiply.accumulate(out)
-
-
-_BACK = _U(pow(int(_M), -1, 1 << 64))
-_UP, _DOWN = _powers(_M, BLOCK + 2 * LENGTH + 2), _powers(_BACK, BLOCK + 2 * LENGTH + 2)
-
-
 def anchors(data: np.ndarray, starts: int) -> tuple[np.ndarray, ...]:
-    """(gram hash, run hash, anchor, first window, last window) of the windows that start in [0, starts)."""
+    """(gram hash, anchor, first window, last window) of the windows that start in [0, starts)."""
     g = gram_hashes(data)
     n = starts + _GRAMS - 1  # grams that some window has
     # The place in the low bits makes the least key name it, the leftmost of equals.
@@ -97,12 +88,14 @@ def anchors(data: np.ndarray, starts: int) -> tuple[np.ndarray, ...]:
     first = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
     last = np.concatenate([first[1:], [starts]]) - 1
     anchor = at[first]
-    total = np.zeros(len(g) + 1, dtype=np.uint64)
-    np.cumsum(g * _UP[: len(g)], out=total[1:])
-    end = last + LENGTH - GRAM + 1
-    run = (total[end] - total[first]) * _DOWN[first]
-    run = _mixed(run + ((anchor - first).astype(np.uint64) << _U(8)) + (last - anchor + LENGTH).astype(np.uint64) * _K1)
-    return g[anchor], run, anchor, first, last
+    return g[anchor], anchor, first, last
+
+
+def run_digests(data: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
+    """(long, int) of the bytes of each run."""
+    raw = memoryview(data)
+    sums = [hashlib.blake2b(raw[a:b], digest_size=12).digest() for a, b in zip(first.tolist(), (last + LENGTH).tolist(), strict=True)]
+    return np.frombuffer(b"".join(sums), dtype=[("a", "<i8"), ("b", "<i4")])
 
 
 def blocks(data: np.ndarray) -> Iterator[tuple[int, np.ndarray, int]]:
@@ -124,28 +117,40 @@ def _pack(anchor: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray
     return (anchor << 16) | ((anchor - first) << 8) | (anchor - last)
 
 
+def _grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The gram of every anchor."""
+    for batch in batches:
+        held, size = [], 0
+        for data in _bytes_of(batch.column(2)):
+            for _, block, n in blocks(data):
+                held.append(anchors(block, n)[0])
+                size += len(held[-1])
+                if size > 100_000:
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(held).view(np.int64))], names=["gram"])
+                    held, size = [], 0
+        if held:
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(held).view(np.int64))], names=["gram"])
+
+
 def _anchor_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    names = ["gram", "run", "doc_id", "place"]
+    names = ["gram", "run", "more", "place", "doc_id", "ver"]
     for batch in batches:
-        parts: list[list[np.ndarray]] = [[], [], [], []]
-        ids: list[pa.Array] = []
+        parts: list[list] = [[] for _ in names]
         held = 0
 
-        def flush(parts=parts, ids=ids):
-            cols = [np.concatenate(p) for p in (parts[0], parts[1], parts[3])]
-            out = [pa.array(cols[0].view(np.int64)), pa.array(cols[1].view(np.int64)), pa.concat_arrays(ids), pa.array(cols[2])]
+        def flush(parts=parts):
+            cols = [pa.array(np.concatenate(p)) for p in parts[:4]] + [pa.concat_arrays(p) for p in parts[4:]]
             for p in parts:
                 p.clear()
-            ids.clear()
-            return pa.RecordBatch.from_arrays(out, names=names)
+            return pa.RecordBatch.from_arrays(cols, names=names)
 
-        for doc_id, data in zip(batch.column(0), _bytes_of(batch.column(1)), strict=True):
+        for doc_id, ver, data in zip(batch.column(0), batch.column(1), _bytes_of(batch.column(2)), strict=True):
             for offset, block, n in blocks(data):
-                gram, run, anchor, first, last = anchors(block, n)
-                parts[0].append(gram)
-                parts[1].append(run)
-                parts[3].append(_pack(anchor + offset, first + offset, last + offset))
-                ids.append(pa.repeat(doc_id, len(gram)))
+                gram, anchor, first, last = anchors(block, n)
+                run = run_digests(block, first, last)
+                row = gram.view(np.int64), run["a"], run["b"], _pack(anchor + offset, first + offset, last + offset), pa.repeat(doc_id, len(gram)), pa.repeat(ver, len(gram))
+                for part, column in zip(parts, row, strict=True):
+                    part.append(column)
                 held += len(gram)
                 if held > 100_000:
                     yield flush()
@@ -270,16 +275,21 @@ def _spans(row: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray,
 
 
 def _sorted_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (gram, doc_id, place, bytes) sorted by gram, doc_id, place -> (doc_id, begin, end)."""
+    """Rows (gram, doc_id, ver, place, bytes) sorted by all but the last -> (doc_id, ver, begin, end)."""
     held: list[pa.Table] = []
+    names = ["doc_id", "ver", "begin", "end"]
 
     def work(table: pa.Table) -> pa.RecordBatch:
+        # A row that is repeated in the table of documents has been fetched as often.
+        ids = [table[c].combine_chunks() for c in ("gram", "doc_id", "ver", "place")]
+        keys = [np.stack([c.is_null().to_numpy(zero_copy_only=False).astype(np.int64), c.fill_null(0).to_numpy()]) for c in ids]
+        new = np.concatenate([[True], np.logical_or.reduce([(k[:, 1:] != k[:, :-1]).any(axis=0) for k in keys])])
+        table = table if new.all() else table.filter(pa.array(new))
         row, start = _duplicate_windows(table["gram"].to_numpy(), table["place"].to_numpy(), table["bytes"].to_pylist())
         if not len(row):
-            return pa.RecordBatch.from_arrays([pa.array([], pa.int64())] * 3, names=["doc_id", "begin", "end"])
+            return pa.RecordBatch.from_arrays([pa.array([], pa.int64())] * 4, names=names)
         r, begin, end = _spans(row, start)
-        ids = table["doc_id"].combine_chunks().take(pa.array(r))
-        return pa.RecordBatch.from_arrays([ids, pa.array(begin), pa.array(end)], names=["doc_id", "begin", "end"])
+        return pa.RecordBatch.from_arrays([*[table[c].combine_chunks().take(pa.array(r)) for c in ("doc_id", "ver")], pa.array(begin), pa.array(end)], names=names)
 
     size = 0
     for batch in batches:
@@ -300,66 +310,82 @@ def _sorted_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
 # --- the plan ------------------------------------------------------------------------------------------------
 
 
+def _keyed(docs: DataFrame) -> DataFrame:
+    """(doc_id, ver, text): ver is the hash of the text where a doc_id has several texts, else 0."""
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), _text_bytes().alias("text"))
+    texts = rows.select("doc_id", F.xxhash64("text").alias("h")).distinct().groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"))
+    several = materialise(texts.where("n > 1").select(F.col("doc_id").alias("s_id"), F.lit(True).alias("several")), "shared-ids")
+    ver = F.when(F.col("several"), F.xxhash64("text")).otherwise(F.lit(0).cast("long"))
+    return rows.join(several, F.col("doc_id").eqNullSafe(F.col("s_id")), "left").select("doc_id", ver.alias("ver"), "text")
+
+
+def _of_row(docs: DataFrame, marks: DataFrame, how: str) -> DataFrame:
+    """(doc_id, ver, text, ...) joined with marks(m_id, m_ver, ...)."""
+    return docs.join(marks, F.col("doc_id").eqNullSafe(F.col("m_id")) & (F.col("ver") == F.col("m_ver")), how).drop("m_id", "m_ver")
+
+
 def _fetch(docs: DataFrame, runs: DataFrame) -> DataFrame:
-    """The bytes of each run (gram, doc_id, place): one row per run."""
-    wanted = runs.groupBy(F.col("doc_id").alias("w_id")).agg(F.collect_list(F.struct("gram", "place", "hot")).alias("runs"))  # bounded by the document
-    joined = docs.select("doc_id", _text_bytes().alias("text")).join(wanted, F.col("doc_id").eqNullSafe(F.col("w_id")))
+    """The bytes of each run (gram, doc_id, ver, place): one row per run."""
+    wanted = runs.groupBy(F.col("doc_id").alias("m_id"), F.col("ver").alias("m_ver")).agg(F.collect_list(F.struct("gram", "place", "hot")).alias("runs"))  # bounded by the document
+    joined = _of_row(docs, wanted, "inner")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["gram", "doc_id", "place", "hot", "bytes"]
+        names = ["gram", "doc_id", "ver", "place", "hot", "bytes"]
         for batch in batches:
-            for k, text in enumerate(batch.column(1)):
+            for k, text in enumerate(batch.column(2)):
                 data = text.as_buffer()
-                got = batch.column(2)[k].values
+                got = batch.column(3)[k].values
                 place = got.field("place").to_numpy()
                 anchor, first, last = place >> 16, (place >> 8) & 255, place & 255
                 chunks = [data[a:b].to_pybytes() for a, b in zip((anchor - first).tolist(), (anchor - last + LENGTH).tolist(), strict=True)]
-                ids = pa.repeat(batch.column(0)[k], len(place))
-                yield pa.RecordBatch.from_arrays([got.field("gram"), ids, got.field("place"), got.field("hot"), pa.array(chunks, pa.binary())], names=names)
+                ids = [pa.repeat(batch.column(c)[k], len(place)) for c in (0, 1)]
+                yield pa.RecordBatch.from_arrays([got.field("gram"), *ids, got.field("place"), got.field("hot"), pa.array(chunks, pa.binary())], names=names)
 
-    return joined.select("doc_id", "text", "runs").mapInArrow(run, "gram long, doc_id long, place long, hot boolean, bytes binary")
+    return joined.select("doc_id", "ver", "text", "runs").mapInArrow(run, f"gram long, {_ID}, place long, hot boolean, bytes binary")
 
 
 def _hot_spans(rows: DataFrame) -> DataFrame:
-    """The duplicate windows of hot grams: one aggregate over 128-bit hashes of windows, one join back."""
+    """The duplicate windows of hot grams: one aggregate by the bytes of windows, one join back."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for doc_id, place, raw in zip(batch.column(0), batch.column(1).to_pylist(), batch.column(2), strict=True):
+            for k, (place, raw) in enumerate(zip(batch.column(2).to_pylist(), batch.column(3), strict=True)):
                 data = raw.as_py()
                 first = (place >> 16) - ((place >> 8) & 255)
                 n = len(data) - LENGTH + 1
-                sums = [hashlib.blake2b(data[i : i + LENGTH], digest_size=16).digest() for i in range(n)]
-                yield pa.RecordBatch.from_arrays([pa.repeat(doc_id, n), pa.array(range(first, first + n), pa.int64()), pa.array(sums, pa.binary())], names=["doc_id", "begin", "sum"])
+                ids = [pa.repeat(batch.column(c)[k], n) for c in (0, 1)]
+                windows = pa.array([data[i : i + LENGTH] for i in range(n)], pa.binary())
+                yield pa.RecordBatch.from_arrays([*ids, pa.array(range(first, first + n), pa.int64()), windows], names=["doc_id", "ver", "begin", "bytes"])
 
-    windows = rows.select("doc_id", "place", "bytes").mapInArrow(run, "doc_id long, begin long, sum binary")
-    first = windows.groupBy("sum").agg(F.min(F.struct("doc_id", "begin")).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    again = windows.join(first, "sum").where(~(F.struct("doc_id", "begin") == F.col("first")))
-    return again.select("doc_id", "begin", (F.col("begin") + LENGTH).alias("end"))
+    windows = rows.select("doc_id", "ver", "place", "bytes").mapInArrow(run, f"{_ID}, begin long, bytes binary")
+    here = F.struct("doc_id", "ver", "begin")
+    first = windows.groupBy("bytes").agg(F.min(here).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    again = windows.join(first, "bytes").where(~(here == F.col("first")))
+    return again.select("doc_id", "ver", "begin", (F.col("begin") + LENGTH).alias("end"))
 
 
 def duplicate_spans(docs: DataFrame) -> DataFrame:
-    """(doc_id, begin, end) of bytes to remove; spans may overlap or repeat."""
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    """(doc_id, ver, begin, end) of bytes to remove from rows (doc_id, ver, text); spans may overlap or repeat."""
     # Computed twice rather than stored: anchors take as much room as the texts do.
-    every = docs.select("doc_id", _text_bytes().alias("text")).mapInArrow(_anchor_rows, "gram long, run long, doc_id long, place long")
+    grams = docs.mapInArrow(_grams, "gram long")
+    every = docs.mapInArrow(_anchor_rows, f"gram long, run long, more int, place long, {_ID}")
     # Written first, so that the join below stands right on its exchanges and Spark can split a hot gram.
-    twice = materialise(every.groupBy("gram").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("gram"), "shared-grams")
+    twice = materialise(grams.groupBy("gram").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("gram"), "shared-grams")
     shared = materialise(every.join(twice, "gram", "left_semi"), "shared-anchors")
     release(twice)
-    here = F.struct("doc_id", "place")
-    first = materialise(shared.groupBy("gram", "run").agg(F.min(here).alias("first")), "first-runs")
-    whole = shared.join(first, ["gram", "run"]).where(~(here == F.col("first"))).select("doc_id", "place")
+    here = F.struct("doc_id", "ver", "place")
+    first = materialise(shared.groupBy("gram", "run", "more").agg(F.min(here).alias("first")), "first-runs")
+    whole = shared.join(first, ["gram", "run", "more"]).where(~(here == F.col("first"))).select("doc_id", "ver", "place")
     anchor = F.shiftright("place", 16)
     begin = (anchor - F.shiftright("place", 8).bitwiseAND(255)).alias("begin")
-    copied = materialise(whole.select("doc_id", begin, (anchor - F.col("place").bitwiseAND(255) + LENGTH).alias("end")), "copied-spans")
+    copied = materialise(whole.select("doc_id", "ver", begin, (anchor - F.col("place").bitwiseAND(255) + LENGTH).alias("end")), "copied-spans")
     release(shared)
     several = first.groupBy("gram").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("gram", (F.col("n") > HOT).alias("hot"))
-    runs = first.join(several, "gram").select("gram", "first.doc_id", "first.place", "hot")
+    runs = first.join(several, "gram").select("gram", "first.doc_id", "first.ver", "first.place", "hot")
     fetched = materialise(_fetch(docs, runs), "run-bytes")
     release(first)
-    dealt = fetched.where("not hot").select("gram", "doc_id", "place", "bytes").repartition("gram").sortWithinPartitions("gram", F.col("doc_id").asc_nulls_first(), "place")
-    partly = dealt.mapInArrow(_sorted_groups, "doc_id long, begin long, end long")
+    dealt = fetched.where("not hot").select("gram", "doc_id", "ver", "place", "bytes").repartition("gram").sortWithinPartitions("gram", F.col("doc_id").asc_nulls_first(), "ver", "place")
+    partly = dealt.mapInArrow(_sorted_groups, f"{_ID}, begin long, end long")
     found = materialise(partly.unionByName(_hot_spans(fetched.where("hot"))), "sorted-spans")
     release(fetched)
     return copied.unionByName(found)
@@ -368,7 +394,8 @@ def duplicate_spans(docs: DataFrame) -> DataFrame:
 def strip(docs: DataFrame, texts: bool = False) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of every row; with `texts` also the bytes that are kept."""
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + (", kept binary" if texts else "")
-    spans = duplicate_spans(docs).groupBy(F.col("doc_id").alias("s_id")).agg(F.collect_set(F.struct("begin", "end")).alias("spans"))  # bounded by the document
+    rows = _keyed(docs)
+    spans = duplicate_spans(rows).groupBy(F.col("doc_id").alias("m_id"), F.col("ver").alias("m_ver")).agg(F.collect_set(F.struct("begin", "end")).alias("spans"))  # bounded by the document
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -391,5 +418,4 @@ def strip(docs: DataFrame, texts: bool = False) -> DataFrame:
             names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, types, strict=False)], names=names[: len(out)])
 
-    ids = docs.select(F.col("doc_id").cast("long").alias("doc_id"), _text_bytes().alias("text"))
-    return ids.join(spans, F.col("doc_id").eqNullSafe(F.col("s_id")), "left").select("doc_id", "text", "spans").mapInArrow(run, schema)
+    return _of_row(rows, spans, "left").select("doc_id", "text", "spans").mapInArrow(run, schema)
