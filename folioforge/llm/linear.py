@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable, Iterator
+
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -46,3 +49,40 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, folds: int,
     wanted = wanted.orderBy(F.xxhash64(F.lit(17), "doc_id"), "doc_id").limit(limit)
     rows = docs.select("doc_id", "text").join(F.broadcast(wanted), "doc_id")
     return rows.groupBy("doc_id").agg(F.min(F.coalesce("text", F.lit(""))).alias("text"), F.max("label").alias("label"))
+
+
+def learn(
+    sample: DataFrame,
+    features: Callable[[], Callable[[str], tuple[np.ndarray, np.ndarray | None]]],
+    fit: Callable[[list[tuple[bytes, bytes | None, int]]], pa.RecordBatch | None],
+    schema: str,
+    most: int,
+) -> DataFrame:
+    """`fit` over the features of the sampled rows (doc_id, text, label), in one task of its own.
+
+    features() gives a function from a text to two arrays (the second may be None). They are made where the texts
+    are, so only features meet in the task; it takes rows by the hashes of their ids until they hold `most` bytes.
+    """
+    kind = sample.schema["doc_id"].dataType.simpleString()
+
+    def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        of = features()
+        for batch in batches:
+            got = [of(text.as_py() or "") for text in batch.column(1)]
+            parts = [pa.array([None if g[k] is None else g[k].tobytes() for g in got], pa.binary()) for k in (0, 1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), *parts], names=["doc_id", "label", "x", "y"])
+
+    def train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows, held = [], 0
+        for batch in batches:
+            for row in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+                held += len(row[2]) + len(row[3] or b"")
+                if held <= most or not rows:
+                    rows.append(row)
+        rows.sort(key=lambda r: r[0])
+        learnt = fit([(x, y, label) for _, label, x, y in rows])
+        if learnt is not None:
+            yield learnt
+
+    rows = sample.select("doc_id", "text", "label").mapInArrow(extract, f"doc_id {kind}, label int, x binary, y binary")
+    return rows.repartition(1).sortWithinPartitions(F.xxhash64(F.lit(17), "doc_id"), "doc_id").mapInArrow(train, schema)

@@ -8,12 +8,12 @@ group names that do not carry the label are pulled together and neutral mentions
 follow the regularised leader with a strong L1 term: only words that keep their weight over many documents
 survive, and long clean texts do not add up noise.
 
-The classifier is fitted on at most MAX_TRAIN labelled rows, in one task of its own on an executor; the driver
-receives the non-zero weights only, whose number that sample bounds. Scoring streams over whole texts without
+The classifier is fitted on at most MAX_TRAIN labelled rows, whose features (MAX_TRAIN_BYTES at most) meet in one
+task of its own on an executor; the driver receives the non-zero weights only, whose number that sample bounds. Scoring streams over whole texts without
 a shuffle. doc_id, lang, source and labels are never inputs of a score.
 
 Nulls: a null text is an empty one and scores the intercept alone; a null doc_id falls into the fold of the
-empty text. Without a usable label every score is the prior, 0.5 times nothing learnt: 0.0. Repeated rows get
+empty text. Without labels of both kinds nothing is learnt and every score is 0.0 (not toxic). Repeated rows get
 equal scores; empty tables give empty results; extra columns do no harm.
 """
 
@@ -24,19 +24,18 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import fold_of
-from .linear import FTRL, labelled_sample, sigmoid
+from .linear import FTRL, labelled_sample, learn, sigmoid
 
-#: Bound on the labelled rows that training reads.
-MAX_TRAIN = 12_000
+#: Bounds on the labelled rows that training reads, and on the bytes of their features.
+MAX_TRAIN, MAX_TRAIN_BYTES = 12_000, 1 << 27
 FOLDS, HELD_OUT = 4, 2
 THRESHOLD = 0.3
-EPOCHS, CF_PENALTY = 3, 1.0
+EPOCHS, CF_PENALTY, L1 = 3, 1.0, 6.0
 #: Lengths of stems.
 STEMS = (4, 5, 6)
 _WORD = re.compile(r"\w+")
@@ -89,33 +88,45 @@ def features(found: set[str]) -> np.ndarray:
     return np.unique(np.fromiter((c for w in found for c in codes(w)), dtype=np.uint32))
 
 
-def fit(rows: list[tuple[str, int]], epochs: int = EPOCHS, penalty: float = CF_PENALTY) -> dict[int, float]:
-    """Non-zero weights by feature; -1 is the intercept. Rows (text, label) in a fixed order.
+def example(text: str) -> tuple[np.ndarray, np.ndarray | None]:
+    """The features of a text and of its counterfactual."""
+    found = words(text)
+    other = counterfactual(found)
+    return features(found), None if other is None else features(other)
 
-    Features of one text only are left out from the start: their sum of gradients stays below the L1 threshold,
-    so their weight would be 0 in the end.
+
+def fit(rows: list[tuple[str, int]], epochs: int = EPOCHS, penalty: float = CF_PENALTY, prune: bool = True) -> dict[int, float]:
+    """Non-zero weights by feature; -1 is the intercept. Rows (text, label) in a fixed order."""
+    return fit_features([(*example(text), int(label)) for text, label in rows], epochs, penalty, prune)
+
+
+def fit_features(examples: list[tuple[np.ndarray, np.ndarray | None, int]], epochs: int = EPOCHS, penalty: float = CF_PENALTY, prune: bool = True) -> dict[int, float]:
+    """The same from (features, those of the counterfactual, label). The list is used up.
+
+    Features of one text without identity terms are left out from the start. Such a feature is updated once an
+    epoch, with a gradient of at most 1 while its weight is 0, so its sum stays within the L1 threshold, its
+    weight is 0 throughout and it changes nothing. (The other gradients, of features that a swap exchanges,
+    have no such bound; texts with a counterfactual keep all their features.)
     """
-    examples = []
-    for text, label in rows:
-        found = words(text)
-        other = counterfactual(found)
-        examples.append((features(found), None if other is None else features(other), float(label)))
-    if not {0.0, 1.0} <= {y for *_, y in examples}:
+    if not {0, 1} <= {y for *_, y in examples}:
         return {}
+    least = 1 if prune and epochs <= L1 else 0
     kept = []
     for r in range(16):  # counted a sixteenth at a time, which keeps the copies small
-        seen, counts = np.unique(np.concatenate([x[x % 16 == r] for a, b, _ in examples for x in (a, b) if x is not None]), return_counts=True)
-        kept.append(seen[counts > 1])
+        every = [x[x % 16 == r] for a, b, _ in examples for x in ((a,) if b is None else (a, a, b, b))]
+        seen, counts = np.unique(np.concatenate(every), return_counts=True)
+        kept.append(seen[counts > least])
     known = np.sort(np.concatenate(kept))
 
     def number(x: np.ndarray) -> np.ndarray:
         """Coordinates of the features that are known; 0 is the intercept."""
         at = np.searchsorted(known, x)
         at[at == len(known)] = 0
-        return np.concatenate([[0], at[known[at] == x] + 1]) if len(known) else np.zeros(1, dtype=np.int64)
+        return np.concatenate([[0], at[known[at] == x] + 1]).astype(np.int32) if len(known) else np.zeros(1, dtype=np.int32)
 
-    examples = [(number(x), None if other is None else number(other), y) for x, other, y in examples]
-    model = FTRL(len(known) + 1, alpha=0.25, beta=1.0, l1=6.0, l2=0.1)
+    for i, (x, other, y) in enumerate(examples):
+        examples[i] = (number(x), None if other is None else number(other), y)
+    model = FTRL(len(known) + 1, alpha=0.25, beta=1.0, l1=L1, l2=0.1)
     order = np.random.default_rng(5)
     for _ in range(epochs):
         for i in order.permutation(len(examples)):
@@ -136,14 +147,12 @@ def fit(rows: list[tuple[str, int]], epochs: int = EPOCHS, penalty: float = CF_P
 
 
 def train(docs: DataFrame, labels: DataFrame) -> dict[int, float]:
-    rows = labelled_sample(docs, labels, "toxic", FOLDS, HELD_OUT, MAX_TRAIN).withColumn("all", F.lit(1))
-
-    def one(got: pd.DataFrame) -> pd.DataFrame:
-        got = got.sort_values("doc_id")
-        learnt = fit(list(zip(got["text"], got["label"], strict=True)))
-        return pd.DataFrame({"feature": list(learnt), "weight": list(learnt.values())})
+    def fitted(rows: list[tuple[bytes, bytes | None, int]]) -> pa.RecordBatch:
+        learnt = fit_features([(np.frombuffer(x, "<u4"), None if o is None else np.frombuffer(o, "<u4"), y) for x, o, y in rows])
+        return pa.RecordBatch.from_arrays([pa.array(list(learnt), pa.int64()), pa.array(list(learnt.values()), pa.float64())], names=["feature", "weight"])
 
-    return {r.feature: r.weight for r in rows.groupBy("all").applyInPandas(one, "feature long, weight double").collect()}
+    sample = labelled_sample(docs, labels, "toxic", FOLDS, HELD_OUT, MAX_TRAIN)
+    return {r.feature: r.weight for r in learn(sample, lambda: example, fitted, "feature long, weight double", MAX_TRAIN_BYTES).collect()}
 
 
 def score(docs: DataFrame, weights: dict[int, float], *keep: str) -> DataFrame:
