@@ -63,3 +63,30 @@ def squeezed(text: Column) -> Column:
 def fold_of(doc_id: Column, folds: int) -> Column:
     """The remainder that deals rows out to train and held-out sides: crc32 of the id as text (null: the empty text)."""
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % folds
+
+
+_BITS = 32768
+#: Slots of a bitmap for each key that it holds, and the most it may have: 32 MiB.
+SLOTS_PER_KEY, MOST_SLOTS = 16, 1 << 28
+
+
+def slots_for(keys: int) -> int:
+    slots = _BITS
+    while slots < min(keys * SLOTS_PER_KEY, MOST_SLOTS):
+        slots *= 2
+    return slots
+
+
+def bitmap(slots: DataFrame) -> DataFrame:
+    """(row, bits) of a table of slots."""
+    return slots.groupBy(F.floor(F.col("slot") / _BITS).cast("int").alias("row")).agg(F.expr(f"bitmap_construct_agg(slot % {_BITS})").alias("bits"))
+
+
+def with_bit(rows: DataFrame, slot: Column, held: DataFrame, out: str) -> DataFrame:
+    """`rows` with a boolean column: is the slot's bit set in the bitmap? Bitmaps are broadcast, their callers bound them."""
+    held = F.broadcast(held.select(F.col("row").alias("_row"), F.col("bits").alias("_bits")))
+    rows = rows.withColumn("_slot", slot)
+    joined = rows.join(held, F.floor(F.col("_slot") / _BITS).cast("int") == F.col("_row"), "left")
+    byte = f"cast(conv(hex(substring(_bits, cast((_slot % {_BITS}) div 8 as int) + 1, 1)), 16, 10) as int)"
+    bit = F.col("_bits").isNotNull() & (F.expr(f"shiftright({byte}, cast(_slot % 8 as int)) & 1") == 1)
+    return joined.withColumn(out, bit).drop("_bits", "_row", "_slot")

@@ -4,7 +4,7 @@ Texts are equal when they are identical once white space is deleted. The first s
 that occurs once settles its row. The second hashes the first PREFIX code points of rows whose length survives
 and counts (length, prefix hash) groups. The third hashes the full content of rows whose group survives. What
 survives travels from scan to scan as bitmaps: one bit per length below LENGTHS (longer texts always go on), at
-most 1 MiB; and one slot per surviving group, SLOTS_PER_GROUP slots a group up to MOST_SLOTS, at most 32 MiB. A
+most 1 MiB; and by hash slots, 16 for each surviving group, at most 32 MiB. A
 false hit costs one needless hash and nothing else, since only full hashes make groups.
 
 Only numbers and hashes are shuffled, texts never; copies meet in an aggregate that combines on the map side,
@@ -21,14 +21,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise, release, squeezed
+from .common import bitmap, materialise, release, slots_for, squeezed, with_bit
 
 #: Code points of the normalised text that the second level hashes.
 PREFIX = 64
 #: Texts of this length or more go on to the second level without a look at their length.
 LENGTHS = 1 << 23
-SLOTS_PER_GROUP, MOST_SLOTS = 16, 1 << 28
-_BITS = 32768
 
 
 def _normalised(docs: DataFrame, *carry: Column | str) -> DataFrame:
@@ -38,30 +36,15 @@ def _normalised(docs: DataFrame, *carry: Column | str) -> DataFrame:
     return rows.withColumn("_n", F.length("_norm").cast("long"))
 
 
-def _bitmap(slots: DataFrame) -> DataFrame:
-    """(row, bits) of a table of slots."""
-    return slots.groupBy(F.floor(F.col("slot") / _BITS).cast("int").alias("row")).agg(F.expr(f"bitmap_construct_agg(slot % {_BITS})").alias("bits"))
-
-
-def _with_bit(rows: DataFrame, slot: Column, bitmap: DataFrame, out: str) -> DataFrame:
-    """`rows` with a boolean column: is the slot's bit set?"""
-    held = F.broadcast(bitmap.select(F.col("row").alias("_row"), F.col("bits").alias("_bits")))
-    rows = rows.withColumn("_slot", slot)
-    joined = rows.join(held, F.floor(F.col("_slot") / _BITS).cast("int") == F.col("_row"), "left")
-    byte = f"cast(conv(hex(substring(_bits, cast((_slot % {_BITS}) div 8 as int) + 1, 1)), 16, 10) as int)"
-    bit = F.col("_bits").isNotNull() & (F.expr(f"shiftright({byte}, cast(_slot % 8 as int)) & 1") == 1)
-    return joined.withColumn(out, bit).drop("_bits", "_row", "_slot")
-
-
 def surviving_lengths(docs: DataFrame) -> DataFrame:
     """The bitmap of lengths below LENGTHS that two documents or more have: at most LENGTHS / 32768 rows of 4 KiB."""
     lengths = _normalised(docs).groupBy("_n").agg(F.count(F.lit(1)).alias("c")).where((F.col("c") > 1) & (F.col("_n") < LENGTHS))
-    return _bitmap(lengths.select(F.col("_n").alias("slot")))
+    return bitmap(lengths.select(F.col("_n").alias("slot")))
 
 
 def _prefixed(rows: DataFrame, lengths: DataFrame) -> DataFrame:
     """`rows` with _key: the hash of length and prefix where the length survives, else null."""
-    rows = _with_bit(rows, F.when(F.col("_n") < LENGTHS, F.col("_n")), lengths, "_same_length")
+    rows = with_bit(rows, F.when(F.col("_n") < LENGTHS, F.col("_n")), lengths, "_same_length")
     key = F.xxhash64("_n", F.substring("_norm", 1, PREFIX))
     return rows.withColumn("_key", F.when(F.col("_same_length") | (F.col("_n") >= LENGTHS), key)).drop("_same_length")
 
@@ -70,12 +53,10 @@ def surviving_groups(docs: DataFrame, lengths: DataFrame) -> tuple[DataFrame, in
     """The bitmap of (length, prefix hash) groups of two documents or more, and its number of slots."""
     keys = _prefixed(_normalised(docs), lengths).where(F.col("_key").isNotNull()).groupBy("_key").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
     stored = materialise(keys.select("_key"), "prefix-groups")
-    wanted, slots = stored.count() * SLOTS_PER_GROUP, _BITS
-    while slots < min(wanted, MOST_SLOTS):
-        slots *= 2
-    bitmap = materialise(_bitmap(stored.select(F.pmod("_key", F.lit(slots)).alias("slot"))), "prefix-bitmap")
+    slots = slots_for(stored.count())
+    held = materialise(bitmap(stored.select(F.pmod("_key", F.lit(slots)).alias("slot"))), "prefix-bitmap")
     release(stored)
-    return bitmap, slots
+    return held, slots
 
 
 def _hashed(docs: DataFrame, *carry: Column | str) -> DataFrame:
@@ -83,7 +64,7 @@ def _hashed(docs: DataFrame, *carry: Column | str) -> DataFrame:
     lengths = materialise(surviving_lengths(docs), "length-bitmap")
     groups, slots = surviving_groups(docs, lengths)
     rows = _prefixed(_normalised(docs, *carry, F.col("doc_id").alias("_id")), lengths)
-    return _with_bit(rows, F.pmod("_key", F.lit(slots)), groups, "_hit")
+    return with_bit(rows, F.pmod("_key", F.lit(slots)), groups, "_hit")
 
 
 def duplicate_groups(docs: DataFrame, digests: bool = False) -> DataFrame:

@@ -35,11 +35,6 @@ def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.report(table(spark, sf_dir, "documents"))
 
 
-def op6_license_notices(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The scan with the notices of fewer than five words, such as 'All rights reserved.'."""
-    return license_scan.report(table(spark, sf_dir, "documents"), license_scan.NOTICES)
-
-
 def op7_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
@@ -57,7 +52,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_suffix_dedup, op2_byte_bpe, op3_jaccard_join, op4_quality_classifier, op5_exact_dedup, op6_license_scan, op6_license_notices, op7_source_mixing, op8_toxicity, op9_sharding, op10_quality_rules]
+    found = [op1_suffix_dedup, op2_byte_bpe, op3_jaccard_join, op4_quality_classifier, op5_exact_dedup, op6_license_scan, op7_source_mixing, op8_toxicity, op9_sharding, op10_quality_rules]
     return {f.__name__: f for f in found}
 
 
@@ -72,24 +67,8 @@ FROM documents, (SELECT {slots} AS t)"""
 
 
 def _license_sql() -> str:
-    n = license_scan.SHINGLE
-    shingles = [(name, " ".join(w[i : i + n])) for name, text in license_scan.TEMPLATES.items() for w in [license_scan.words_of(text)] for i in range(len(w) - n + 1)]
-    listed = ", ".join(f"('{name}', '{s}')" for name, s in shingles)
-    marks = license_scan.PUNCTUATION.replace("'", "''")
-    return f"""
-WITH t(license, s) AS (VALUES {listed}),
-size AS (SELECT license, count(DISTINCT s) AS n FROM t GROUP BY license),
-w AS (SELECT doc_id, list_filter(string_split(translate(lower(coalesce(text, '')), '{marks}', '{" " * len(license_scan.PUNCTUATION)}'), ' '), lambda x: x <> '') AS w FROM documents),
-s AS (SELECT DISTINCT doc_id, unnest(list_transform(range(1, len(w) - {n - 2}), lambda i: array_to_string(w[i:i + {n - 1}], ' '))) AS s FROM w),
-hit AS (SELECT doc_id, license, count(DISTINCT s) AS c FROM s JOIN t USING (s) GROUP BY doc_id, license),
-good AS (SELECT doc_id, license FROM hit JOIN size USING (license) WHERE c / n >= {license_scan.CONTAINMENT})
-SELECT d.doc_id, count(license) AS n_licenses, coalesce(string_agg(license, ',' ORDER BY license), '') AS licenses
-FROM documents d LEFT JOIN good g ON g.doc_id = d.doc_id GROUP BY d.doc_id"""
-
-
-def _notices_sql() -> str:
-    """As _license_sql, with shingles of a template's own length where it has fewer words."""
-    words = {name: license_scan.words_of(text) for name, text in license_scan.NOTICES.items()}
+    """Containment of shingles of five words, or of a template's own length where it has fewer."""
+    words = {name: license_scan.words_of(text) for name, text in license_scan.TEMPLATES.items()}
     length = {name: min(license_scan.SHINGLE, len(w)) for name, w in words.items()}
     listed = ", ".join(f"('{name}', '{' '.join(w[i : i + length[name]])}')" for name, w in words.items() for i in range(len(w) - length[name] + 1))
     marks = license_scan.PUNCTUATION.replace("'", "''")
@@ -156,7 +135,6 @@ SELECT doc_id, first_value(doc_id) OVER (PARTITION BY text_sha256 ORDER BY n DES
        doc_id = first_value(doc_id) OVER (PARTITION BY text_sha256 ORDER BY n DESC, doc_id) AS kept, text_sha256
 FROM d""",
         "op6_license_scan": _license_sql(),
-        "op6_license_notices": _notices_sql(),
         "op7_source_mixing": _mixing_sql(),
         "op10_quality_rules": _rules_sql(),
         "op9_sharding": _sharding_sql(),
