@@ -7,8 +7,8 @@ pre-token; entries whose pair has changed meanwhile are skipped when they surfac
 pair merges first. A pre-token of n bytes costs O(n log n) at worst, so megabytes without a break are no problem.
 
 Encoded pre-tokens are remembered in two tables of bounded size in each Python worker. Texts stream through in
-slices; nothing is collected. Nulls: a null text is an empty one, which has no ids. Repeated rows, empty
-tables and extra columns (carried along untouched unless named like an output) have no special case.
+slices; nothing is collected. Nulls: a null text is an empty one, which has no ids. Repeated rows give a result
+each; empty tables give empty results; extra columns are ignored, whatever their names.
 """
 
 from __future__ import annotations

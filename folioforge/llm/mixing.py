@@ -1,16 +1,17 @@
 """Mixing sources to target weights by Efraimidis-Spirakis sampling.
 
 Each source gets a target of words: a budget of 150 % of all words, shared by weight, where no source gets
-more than twice its own words and what is cut off is shared again by weight. That is water-filling: with
-sources ordered by cap / weight there is one level t so that target = min(cap, weight * t), found from prefix
-sums over the table of sources.
+more than twice its own words and what is cut off is shared again by weight, until none is above. A round of
+sharing is one aggregate over the table of sources, and weights go by the source's place in a sorted range, so
+no task holds all sources.
 
 A source takes complete epochs of all its documents first. For the rest every document draws an exponential
 key -ln(u) / q, where q is its quality weight and u comes from a hash of its id, so reruns agree; in key
 order documents are taken until the sum of their words comes nearest to the rest. Keys are put into BINS bins by a
-monotone function; per-bin sums (combined before the shuffle) tell in which bin the sum crosses the rest, and
-only the rows of that one bin of each source are put in order. No source, however hot, is sorted as a whole.
-The outcome of a source is one cut (key, id), so the final decision is taken row by row.
+monotone function; per-bin sums (combined before the shuffle) tell in which bin the sum crosses the rest. That
+bin is cut into BINS again while more than FEW rows lie in it, and only the rows of the last bin of each source are
+put in order. No source, however hot, is sorted as a whole. The outcome of a source is one cut (key, id), so the
+final decision is taken row by row.
 
 Nulls: a null text has size 0 and is never taken; null sources form one source, which comes last; a null
 doc_id draws a key like any other. Rows that repeat a doc_id and text are taken or left together. A source
@@ -22,12 +23,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, materialise
+from .common import WORD, materialise, release
 
 #: Share of all words that the mix takes, the cap in epochs, and the weights dealt to the sources in order.
 BUDGET, CAP, WEIGHTS = 1.5, 2.0, (3.0, 1.0, 2.0)
-#: Bins of a source's keys.
-BINS = 4096
+#: Bins into which the keys of a source are put, again and again; rows that are put in order by sorting; least width of a bin.
+BINS, FEW, NARROW = 4096, 50_000, 2.0**-48
 SEED = 20_240_607
 
 
@@ -50,46 +51,72 @@ def exponential_key(doc_id: Column, weight: Column, seed: int = SEED) -> Column:
     return -F.log(u) / weight
 
 
+def _ranked(totals: DataFrame) -> DataFrame:
+    """The sources with `rank`: their place by code point from 0, null last. Sorted ranges are counted and numbered."""
+    ranges = materialise(totals.orderBy(F.col("source").asc_nulls_last()).withColumn("_range", F.spark_partition_id()), "mix-ranges")
+    sizes = ranges.groupBy("_range").agg(F.count(F.lit(1)).alias("_n"))  # a row per partition
+    before = sizes.withColumn("_before", F.sum("_n").over(Window.orderBy("_range")) - F.col("_n")).select("_range", "_before")
+    inside = F.row_number().over(Window.partitionBy("_range").orderBy(F.col("source").asc_nulls_last())) - 1
+    return ranges.withColumn("_i", inside).join(F.broadcast(before), "_range").withColumn("rank", F.col("_before") + F.col("_i")).drop("_range", "_i", "_before")
+
+
 def source_targets(sizes: DataFrame, budget: float = BUDGET, cap: float = CAP, weights: tuple[float, ...] = WEIGHTS) -> DataFrame:
     """(source, source_size, target) from rows (source, size)."""
-    totals = sizes.groupBy("source").agg(F.sum("size").alias("source_size"))
-    # The windows below run over one row per source.
-    by_name = Window.orderBy(F.col("source").asc_nulls_last())
     array = F.array(*[F.lit(w) for w in weights])
-    w = totals.withColumn("rank", F.row_number().over(by_name) - 1).withColumn("weight", F.element_at(array, (F.col("rank") % len(weights) + 1).cast("int")))
-    w = w.withColumn("cap", F.col("source_size") * cap)
-    everything = Window.partitionBy()
-    by_ratio = Window.orderBy(F.col("cap") / F.col("weight"), "rank").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    w = w.withColumn("total", F.sum("source_size").over(everything) * budget).withColumn("all_weight", F.sum("weight").over(everything))
-    w = w.withColumn("caps", F.sum("cap").over(by_ratio)).withColumn("weights", F.sum("weight").over(by_ratio))
-    # Level if the sources up to this one are not capped but those before are.
-    level = (F.col("total") - (F.col("caps") - F.col("cap"))) / (F.col("all_weight") - (F.col("weights") - F.col("weight")))
-    w = w.withColumn("level", level).withColumn("capped", F.col("level") * F.col("weight") >= F.col("cap"))
-    first = F.min(F.when(~F.col("capped"), F.struct((F.col("cap") / F.col("weight")).alias("r"), F.col("rank"), F.col("level")))).over(everything)
-    t = F.least(F.col("cap"), F.coalesce(first["level"] * F.col("weight"), F.col("cap")))
-    return w.select("source", "source_size", t.cast("double").alias("target"))
-
-
-def _bin(key: Column) -> Column:
-    return F.least(F.lit(BINS - 1), F.floor((F.lit(1.0) - F.exp(-key)) * BINS).cast("int"))
+    rows = _ranked(sizes.groupBy("source").agg(F.sum("size").alias("source_size")))
+    rows = rows.withColumn("weight", F.element_at(array, (F.col("rank") % len(weights) + 1).cast("int"))).withColumn("cap", F.col("source_size") * F.lit(cap))
+    rows = materialise(rows.select("source", "source_size", "weight", "cap"), "mix-sources")
+    # Sources at their caps leave the rest to the others, whose share a unit of weight, the level, can only rise.
+    total = rows.agg(F.sum("source_size")).first()[0] or 0
+    level, capped = 0.0, -1
+    while True:
+        above = F.col("weight") * F.lit(level) >= F.col("cap") if capped >= 0 else F.lit(False)
+        got = rows.agg(F.count_if(above).alias("n"), F.sum(F.when(above, F.col("cap"))).alias("caps"), F.sum(F.when(~above, F.col("weight"))).alias("weights")).first()
+        if got.n == capped or not got.weights:
+            break
+        capped, level = got.n, (total * budget - (got.caps or 0.0)) / got.weights
+    level = level if got.weights else float("inf")
+    return rows.select("source", "source_size", F.least(F.col("cap"), F.col("weight") * F.lit(level)).cast("double").alias("target"))
+
+
+def _place(key: Column) -> Column:
+    """Keys from 0 on to [0, 1), in their order."""
+    return key / (key + 1)
 
 
 def thin_rows(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "source", size_of(F.col("text")).alias("size"), exponential_key(F.col("doc_id"), quality_weight(F.col("text"))).alias("key"))
 
 
+def _edges(rows: DataFrame, plan: DataFrame) -> DataFrame:
+    """(e_source, low, width, before, rest): the bin of each source in which its sum of words crosses the rest."""
+    edge = plan.select(F.col("source").alias("e_source"), F.lit(0.0).alias("low"), F.lit(1.0).alias("width"), F.lit(0).cast("long").alias("before"), "rest")
+    while True:
+        near = rows.join(edge, F.col("source").eqNullSafe(F.col("e_source"))).where((F.col("place") >= F.col("low")) & (F.col("place") < F.col("low") + F.col("width")))
+        step = F.col("width") / BINS
+        near = near.withColumn("bin", F.least(F.lit(BINS - 1), F.floor((F.col("place") - F.col("low")) / step)))
+        bins = near.groupBy("source", "bin").agg(F.sum("size").alias("words"), F.count(F.lit(1)).alias("n"), *[F.first(c).alias(c) for c in ("low", "width", "before", "rest")])
+        upto = Window.partitionBy("source").orderBy("bin").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        bins = bins.withColumn("before", F.col("before") + F.sum("words").over(upto) - F.col("words"))
+        found = bins.where((F.col("before") <= F.col("rest")) & (F.col("before") + F.col("words") > F.col("rest")))
+        after = materialise(found.select(F.col("source").alias("e_source"), (F.col("low") + F.col("bin") * step).alias("low"), step.alias("width"), "before", "rest", "n"), "mix-edges")
+        if hasattr(edge, "stored_at"):
+            release(edge)
+        edge = after
+        most = edge.agg(F.max("n").alias("n"), F.max("width").alias("width")).first()
+        # Equal keys of different ids are as good as impossible, so bins of the least width hold few rows.
+        if not most.n or most.n <= FEW or most.width <= NARROW:
+            return edge
+
+
 def source_cuts(thin: DataFrame, targets: DataFrame) -> DataFrame:
     """(source, source_size, target, epochs, cut): cut is the last (key, id) taken in the fractional epoch, or null."""
     plan = targets.withColumn("epochs", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long"))
     plan = plan.withColumn("rest", F.col("target") - F.col("epochs") * F.col("source_size"))
-    rows = thin.where("size > 0").withColumn("bin", _bin(F.col("key")))
-    bins = rows.groupBy("source", "bin").agg(F.sum("size").alias("words"))
-    upto = Window.partitionBy("source").orderBy("bin").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    bins = bins.withColumn("before", F.sum("words").over(upto) - F.col("words"))
-    same = bins["source"].eqNullSafe(plan["source"])
-    edge = bins.join(plan, same).where((F.col("before") <= F.col("rest")) & (F.col("before") + F.col("words") > F.col("rest")))
-    edge = edge.select(bins["source"].alias("e_source"), F.col("bin").alias("e_bin"), "before", "rest")
-    near = rows.join(edge, rows["source"].eqNullSafe(edge["e_source"]) & (rows["bin"] == edge["e_bin"]))
+    rows = thin.where("size > 0").withColumn("place", _place(F.col("key")))
+    edge = _edges(rows, plan)
+    inside = (F.col("place") >= F.col("low")) & (F.col("place") < F.col("low") + F.col("width"))
+    near = rows.join(edge, F.col("source").eqNullSafe(F.col("e_source"))).where(inside)
     # Rows of one place (a repeated document) are taken together; the last place whose middle lies within the rest is the cut.
     places = near.groupBy("source", "key", "doc_id").agg(F.sum("size").alias("words"), F.first("before").alias("before"), F.first("rest").alias("rest"))
     fine = Window.partitionBy("source").orderBy("key", F.col("doc_id").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, Window.currentRow)

@@ -7,7 +7,7 @@ shard names and its size (size entries, a proven bound), so it is broadcast and
 Shares differ by one slot at most, and removing a shard moves few documents of the others.
 
 Nulls: a null doc_id is placed as the empty text is. Repeated rows go to the same shard, empty tables give
-empty results, and extra columns are left alone.
+empty results, and extra columns are left alone, whatever their names.
 """
 
 from __future__ import annotations
@@ -64,5 +64,8 @@ def table_frame(spark: SparkSession, table: list[int]) -> DataFrame:
 def assign_shards(docs: DataFrame, shards: list[str] | None = None, size: int = TABLE_SIZE, out: str = "shard", key: str = "doc_id") -> DataFrame:
     """The rows with a column `out`, the index of the shard. A column of that name is replaced."""
     table = lookup_table(shards if shards is not None else shard_names(), size)
-    placed = docs.withColumn("_slot", slot_of(F.col(key), size)).join(F.broadcast(table_frame(docs.sparkSession, table)), "_slot")
-    return placed.withColumn(out, F.col("_shard")).drop("_slot", "_shard")
+    # Rows travel as one struct, so no column of theirs can meet an inner name.
+    rows = docs.select(F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("_doc"), slot_of(docs[f"`{key}`"], size).alias("_slot"))
+    placed = rows.join(F.broadcast(table_frame(docs.sparkSession, table)), "_slot")
+    columns = [F.col("_shard").alias(out) if c == out else F.col(f"_doc.`{c}`") for c in docs.columns]
+    return placed.select(*columns, *([] if out in docs.columns else [F.col("_shard").alias(out)]))
