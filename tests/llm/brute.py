@@ -2,16 +2,21 @@
 
 import collections
 import hashlib
+import math
 import re
 
+import numpy as np
+import xxhash
+
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
 
 def strip(rows, length=100):
-    """doc_id -> (n_bytes, n_removed, n_spans, kept_sha256); one text per doc_id."""
+    """(doc_id, text) -> (n_bytes, n_removed, n_spans, kept_sha256); texts of one doc_id go by their hashes."""
     seen, out = set(), {}
-    for doc_id, text in sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0)):
-        b = (text or "").encode()
+    code = lambda b: (xxhash.xxh64(b, seed=42).intdigest() + 2**63) % 2**64
+    for doc_id, text in sorted({(r[0], r[1] or "") for r in rows}, key=lambda r: (r[0] is not None, r[0] or 0, code(r[1].encode()))):
+        b = text.encode()
         mark = bytearray(len(b))
         for p in range(len(b) - length + 1):
             w = b[p : p + length]
@@ -20,7 +25,7 @@ def strip(rows, length=100):
             seen.add(w)
         kept = bytes(x for x, m in zip(b, mark, strict=True) if not m)
         runs = sum(1 for k in range(len(b)) if mark[k] and (k == 0 or not mark[k - 1]))
-        out[doc_id] = (len(b), len(b) - len(kept), runs, hashlib.sha256(kept).hexdigest())
+        out[doc_id, text] = (len(b), len(b) - len(kept), runs, hashlib.sha256(kept).hexdigest())
     return out
 
 
@@ -105,3 +110,79 @@ def counts(text):
     n = collections.Counter(tri)
     covered = {p + k for p, t in enumerate(tri) if n[t] > 1 for k in range(3)}
     return len(w), sum(map(len, w)), sum(text.count(c) for c in "#*$%&|<>"), len(lines) - len(set(lines)), len(covered)
+
+
+class PlainFTRL:
+    """Follow the regularised leader over dictionaries, one feature at a time."""
+
+    def __init__(self, alpha, beta, l1, l2):
+        self.alpha, self.beta, self.l1, self.l2 = alpha, beta, l1, l2
+        self.z, self.n = collections.defaultdict(float), collections.defaultdict(float)
+
+    def weight(self, f):
+        z, n = self.z[f], self.n[f]
+        return 0.0 if abs(z) <= self.l1 else -(z - math.copysign(self.l1, z)) / ((self.beta + math.sqrt(n)) / self.alpha + self.l2)
+
+    def update(self, gradient):
+        for f, (g, w) in {f: (g, self.weight(f)) for f, g in gradient.items()}.items():
+            self.z[f] += g - (math.sqrt(self.n[f] + g * g) - math.sqrt(self.n[f])) / self.alpha * w
+            self.n[f] += g * g
+
+
+def logistic(z):
+    return 1 / (1 + math.exp(-max(-35.0, min(35.0, z))))
+
+
+def quality_features(text, model):
+    """feature -> value, counted word by word."""
+    words, out = text.split(), collections.defaultdict(float)
+    lines = [x.strip() for x in text.split("\n") if x.strip()]
+    if not words:
+        return {model.code("=", "empty"): 1.0}
+    codes = [(model.code("w", w.lower()), model.code("s", model.shape(w))) for w in words]
+    mask, pairs = (1 << model.BITS) - 1, max(1, len(words) - 1)
+    for a, b in codes:
+        out[a] += model.SCALE / len(words)
+        out[b] += model.SCALE / len(words)
+    for (a, s), (b, t) in zip(codes, codes[1:], strict=False):
+        out[model.code("=", "repeat") if a == b else (s * 40503 + t * 9176 + 77) & mask] += model.SCALE / pairs
+        out[(a * 69069 + b * 30011 + 7) & mask] += model.SCALE / pairs
+    out[model.code("=", "line")] += model.SCALE * (1 - len(set(lines)) / len(lines))
+    out[model.code("=", "lines")] += model.SCALE * len(lines) / len(words)
+    return out
+
+
+def quality_weights(rows, model):
+    """feature -> weight, 'bias' too."""
+    examples = [(quality_features(t, model), y) for t, y in rows]
+    ftrl, order = PlainFTRL(0.3, 1.0, 0.2, 0.5), np.random.default_rng(5)
+    for _ in range(model.EPOCHS):
+        for i in order.permutation(len(examples)):
+            x, y = examples[i]
+            x = {**x, "bias": 1.0}
+            slope = logistic(sum(ftrl.weight(f) * v for f, v in x.items())) - y
+            ftrl.update({f: slope * v for f, v in x.items()})
+    return {f: ftrl.weight(f) for f in list(ftrl.z)}
+
+
+def toxic_features(words, model):
+    return {c for w in words for c in model.codes(w)}
+
+
+def toxic_weights(rows, model):
+    """feature -> weight that is not 0; -1 is the intercept."""
+    examples = []
+    for text, y in rows:
+        words = set(re.findall(r"\w+", text.lower()))
+        terms = {t: kind[(kind.index(t) + 1) % len(kind)] for kind in model.IDENTITY_TERMS for t in kind}
+        other = {terms.get(w, w) for w in words} if words & terms.keys() else None
+        examples.append((toxic_features(words, model) | {-1}, None if other is None else toxic_features(other, model) | {-1}, y))
+    ftrl, order = PlainFTRL(0.25, 1.0, model.L1, 0.1), np.random.default_rng(5)
+    for _ in range(model.EPOCHS):
+        for i in order.permutation(len(examples)):
+            x, other, y = examples[i]
+            slope = logistic(sum(map(ftrl.weight, x))) - y
+            gap = 0.0 if other is None else sum(map(ftrl.weight, x)) - sum(map(ftrl.weight, other))
+            side = {f: (f in x) - (f in other) for f in x | other} if other is not None else dict.fromkeys(x, 0)
+            ftrl.update({f: slope * (f in x) + 2.0 * model.CF_PENALTY * gap * d for f, d in side.items()})
+    return {f: w for f in list(ftrl.z) if (w := ftrl.weight(f)) or f == -1}

@@ -21,23 +21,62 @@ def by_id(rows):
 # --- 1 ------------------------------------------------------------------------------------------------------------------
 
 
+def stripped(docs):
+    """Sorted results, rows with equal ones together."""
+    return by_id((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffix_dedup.strip(docs).collect())
+
+
+def stripped_by_force(rows):
+    expected = brute.strip(rows)
+    return by_id((r[0], *expected[r[0], r[1] or ""]) for r in rows)
+
+
 def test_suffix_dedup_is_brute_force(docs, rows, empty):
+    assert stripped(docs) == stripped_by_force(rows)
     got = suffix_dedup.strip(docs, texts=True).collect()
-    expected = brute.strip({r[0]: (r[0], r[1]) for r in rows}.values())
-    assert len(got) == len(rows) and all((r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) == expected[r.doc_id] for r in got)
     assert sum(r.n_removed for r in got) > 5000 and all(len(r.kept) == r.n_bytes - r.n_removed for r in got)
     assert suffix_dedup.strip(empty).count() == 0
 
 
-def test_suffix_dedup_hot_grams(docs, rows, monkeypatch):
+def shared_ids(rows):
+    """Rows whose ids are shared by different texts, null ids too, and repeated rows that are the first of their kind."""
+    long = [t for _, t, *_ in rows if t and len(t) > 250]
+    more = [(1, long[0], "en", "s"), (1, "x", "en", "s"), (1, None, "en", "s"), (2, "lead " + long[0], "en", "s"), (3, long[0] + " tail", "en", "s"), (3, long[1], "en", "s"), (3, long[0], "en", "s")]
+    more += [(None, long[k % 4] + f" end {k}", "en", "s") for k in range(8)] + [(None, None, None, None)] * 2
+    return [(-5, "first of all " + long[2], "en", "s")] * 3 + more + [(-5, "first of all " + long[2], "en", "s")]
+
+
+def test_suffix_dedup_of_rows_that_share_an_id(spark, rows):
+    rows = shared_ids(rows)
+    assert stripped(documents(spark, rows).repartition(3)) == stripped_by_force(rows)
+
+
+def test_suffix_dedup_hot_grams(spark, rows, monkeypatch):
     monkeypatch.setattr(suffix_dedup, "HOT", 2)
-    expected = brute.strip({r[0]: (r[0], r[1]) for r in rows}.values())
-    assert all((r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) == expected[r.doc_id] for r in suffix_dedup.strip(docs).collect())
+    rows = rows + shared_ids(rows)
+    assert stripped(documents(spark, rows).repartition(3)) == stripped_by_force(rows)
+
+
+def test_suffix_dedup_goes_through_the_suffix_order(monkeypatch):
+    none = np.zeros(0, dtype=np.int64)
+    monkeypatch.setattr(suffix_dedup, "equal_windows", lambda data, at, group: (none, none))
+    assert np.array_equal(suffix_dedup._duplicate_windows(np.array([1, 1]), np.array([16 << 16 | 16 << 8 | 16] * 2), [b"x" * 100] * 2)[0], none)
+    monkeypatch.undo()
+    assert len(suffix_dedup._duplicate_windows(np.array([1, 1]), np.array([16 << 16 | 16 << 8 | 16] * 2), [b"x" * 100] * 2)[0]) == 1
+
+
+def test_suffix_dedup_above_a_mebibyte(spark):
+    r = random.Random(2)
+    passage = " ".join(f"p{r.random()}" for _ in range(30))
+    body = [" ".join(str(r.random()) for _ in range(k)) for k in (60_000, 20)]
+    rows = [(1, f"{body[0]} {passage} z", "en", "s"), (2, f"q {passage} {body[1]}", "en", "s"), (3, body[0][700_000:1_100_000], "en", "s"), (4, "é" * 700_000, "en", "s")]
+    assert len(rows[0][1]) > 1 << 20
+    assert stripped(documents(spark, rows)) == stripped_by_force(rows)
 
 
 def test_anchors_do_not_depend_on_blocks(monkeypatch):
     data = np.frombuffer(("the cat sat on a mat " * 40 + "x" * 150).encode(), dtype=np.uint8)
-    covered = lambda: {(int(p), int(a + at)) for at, b, n in suffix_dedup.blocks(data) for _, _, a, f, z in zip(*suffix_dedup.anchors(b, n), strict=True) for p in range(f + at, z + at + 1)}
+    covered = lambda: {(int(p), int(a + at)) for at, b, n in suffix_dedup.blocks(data) for _, a, f, z in zip(*suffix_dedup.anchors(b, n), strict=True) for p in range(f + at, z + at + 1)}
     whole = covered()
     monkeypatch.setattr(suffix_dedup, "BLOCK", 130)
     assert covered() == whole and len(whole) == len(data) - suffix_dedup.LENGTH + 1
@@ -216,31 +255,76 @@ def test_exact_dedup_keeps_whole_rows(docs, rows):
 # --- 6 ------------------------------------------------------------------------------------------------------------------
 
 
-def test_license_scan_is_brute_force(spark, rows, empty):
+def licenses_by_force(rows, templates):
+    """Sorted (doc_id, licenses) of each row, by exact containment."""
+
+    def shingles(text, n):
+        w = license_scan.words_of(text or "")
+        return {tuple(w[i : i + n]) for i in range(len(w) - n + 1)}
+
+    def names(text):
+        for name, template in templates.items():
+            n = min(5, len(license_scan.words_of(template)))
+            wanted = shingles(template, n)
+            if len(shingles(text, n) & wanted) / len(wanted) >= 0.8:
+                yield name
+
+    return by_id((r[0], ",".join(sorted(names(r[1])))) for r in rows)
+
+
+def scanned(docs, templates=None):
+    got = license_scan.report(docs, templates).collect()
+    assert all(r.n_licenses == len(list(filter(None, r.licenses.split(",")))) for r in got)
+    return by_id((r.doc_id, r.licenses) for r in got)
+
+
+def notices():
     mit = license_scan.TEMPLATES["mit-grant"]
-    most = mit.replace("sublicense", "SUB")
-    extra = [(900, "x y Licensed under the Apache License, Version 2.0.", None, None), (901, "released UNDER the mit license", None, None), (902, "Released under the BSD License.", None, None), (903, f"q {mit} z", None, None), (904, most, None, None), (905, mit[: len(mit) // 2], None, None)]
-    extra += [(906, " ".join(["w"] * k) + " Licensed under CC BY-NC 4.0.", None, None) for k in range(4)]
-    every = rows + extra
-    got = by_id((r.doc_id, r.licenses, r.n_licenses) for r in license_scan.report(documents(spark, every).dropDuplicates()).collect())
-
-    def share(text, template):
-        s = lambda t: {tuple(w[i : i + 5]) for w in [license_scan.words_of(t or "")] for i in range(len(w) - 4)}
-        return len(s(text) & s(template)) / len(s(template))
-
-    expected = [(i, ",".join(sorted(n for n, t in license_scan.TEMPLATES.items() if share(text, t) >= 0.8))) for i, text, *_ in dict.fromkeys(every)]
-    merged = collections.defaultdict(set)
-    for i, names in expected:
-        merged[i] |= set(filter(None, names.split(",")))
-    assert [(i, n) for i, n, _ in got] == [(i, n) for i, n, _ in by_id((i, ",".join(sorted(merged[i])), 0) for i, _ in expected)]
+    extra = [(900, "x y Licensed under the Apache License, Version 2.0."), (901, "released UNDER the mit license"), (902, "Released under the BSD License."), (903, f"q {mit} z"), (904, mit.replace("sublicense", "SUB")), (905, mit[: len(mit) // 2])]
+    extra += [(906, " ".join(["w"] * k) + " Licensed under CC BY-NC 4.0.") for k in range(4)]
+    extra += [(None, "Released under the MIT License."), (None, "nothing to see here at all"), (None, None), (7, "Released under the MIT License."), (7, "All rights reserved."), (7, "All rights reserved.")]
+    return [(i, t, None, None) for i, t in extra]
+
+
+def test_license_scan_is_brute_force(spark, rows, empty):
+    every = rows + notices()
+    assert scanned(documents(spark, every).repartition(3)) == licenses_by_force(every, license_scan.TEMPLATES)
     assert license_scan.report(empty).count() == 0
     with pytest.raises(ValueError):
         license_scan.scan(empty, {"x": "too short"})
 
 
+def test_license_scan_goes_through_its_bands(spark, monkeypatch):
+    docs = documents(spark, notices())
+    index = license_scan.band_index
+    monkeypatch.setattr(license_scan, "band_index", lambda *a: index(*a).where("license <> 'mit'"))
+    got = {n for _, names in scanned(docs) for n in names.split(",")}
+    assert "mit" not in got and {"mit-grant", "apache-2.0", "all-rights-reserved"} <= got
+
+
+def test_license_scan_of_whole_licenses(spark, tmp_path):
+    r = random.Random(6)
+    words = [f"term{k}" for k in range(900)]
+    texts = {f"license-{k}": " ".join(r.choice(words) for _ in range(n)) for k, n in enumerate((28, 60, 400, 6000))}
+    for name, text in texts.items():
+        (tmp_path / f"{name}.txt").write_text(text)
+    templates = license_scan.read_templates(str(tmp_path))
+    assert templates == texts
+
+    def edited(text, every):
+        return " ".join(f"edit{k}" if k % every == every // 2 else w for k, w in enumerate(text.split()))
+
+    rows = []
+    for k, text in enumerate(texts.values()):
+        cuts = [text, f"lead in {text} and more {' '.join(r.choices(words, k=50))}", edited(text, 40), edited(text, 26), edited(text, 12), text[: len(text) // 2], "pad " * 200_000 + text]
+        rows += [(10 * k + j, t, None, None) for j, t in enumerate(cuts)]
+    got = scanned(documents(spark, rows), templates)
+    assert got == licenses_by_force(rows, templates) and sum(bool(n) for _, n in got) >= 16
+
+
 def test_license_scan_finds_notices_of_fewer_than_five_words(spark):
     texts = ["All rights reserved.", "x y\nALL rights, reserved\nz", "all rights are reserved", "w All rights reserved " * 3, "Made under MIT terms", "rights reserved", "", None]
-    templates = license_scan.NOTICES | {"four": "made under mit terms"}
+    templates = license_scan.TEMPLATES | {"four": "made under mit terms"}
     got = {r.doc_id: r.licenses for r in license_scan.report(documents(spark, [(k, t, None, None) for k, t in enumerate(texts)]), templates).collect()}
     assert got == {0: "all-rights-reserved", 1: "all-rights-reserved", 2: "", 3: "all-rights-reserved", 4: "four", 5: "", 6: "", 7: ""}
 
@@ -254,7 +338,7 @@ def test_license_scan_finds_both_wordings_of_cc_by(spark):
 def test_planted_notices_are_all_found(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     planted = {r.doc_id for r in docs.collect() if "All rights reserved." in (r.text or "")}
-    found = {r.doc_id for r in license_scan.report(docs, license_scan.NOTICES).collect() if "all-rights-reserved" in r.licenses}
+    found = {r.doc_id for r in license_scan.report(docs).collect() if "all-rights-reserved" in r.licenses}
     assert planted and planted <= found
 
 
@@ -288,6 +372,21 @@ def test_mixed_rows_are_repeated(docs):
     assert {k: n for k, n in got.items() if k[0] != 300} == {k: n for k, n in times.items() if n and k[0] != 300}
 
 
+def test_mixing_refines_bins_until_few_rows_are_left(docs, monkeypatch):
+    whole = sorted(map(str, mixing.mix(docs).collect()))
+    monkeypatch.setattr(mixing, "BINS", 2)
+    monkeypatch.setattr(mixing, "FEW", 1)
+    assert sorted(map(str, mixing.mix(docs).collect())) == whole
+
+
+def test_targets_of_many_sources(spark):
+    r = random.Random(4)
+    rows = [(f"s{k:03d}" if k else None, r.choice([0, 1, 5, 30, 1000, 20_000])) for k in range(200)]
+    got = {x.source: x.target for x in mixing.source_targets(spark.createDataFrame(rows, "source string, size long").repartition(7)).collect()}
+    expected = brute.targets(dict(rows))
+    assert got.keys() == expected.keys() and all(got[s] == pytest.approx(t, rel=1e-12) for s, t in expected.items())
+
+
 def test_better_documents_come_first(spark):
     rows = [(k, ("word " * 20) + ("# " * 20 if k % 2 else "item " * 20), "en", s) for k in range(600) for s in ["a"]] + [(10_000 + k, "x " * 4000, "en", "b") for k in range(1)]
     got = mixing.mix(documents(spark, rows)).where("doc_id < 10000").collect()
@@ -318,6 +417,10 @@ def test_sharding_rows(docs, rows, empty):
     expected = by_id((r[0], table[int(hashlib.md5(str("" if r[0] is None else r[0]).encode()).hexdigest()[:15], 16) % len(table)]) for r in rows)
     assert by_id((r.doc_id, r.shard) for r in sharding.assign_shards(docs).collect()) == expected
     assert sharding.assign_shards(empty).count() == 0
+    clashing = docs.select("doc_id", docs["lang"].alias("_slot"), docs["source"].alias("_shard"), docs["text"].alias("_doc"), docs["n"].alias("shard"))
+    placed = sharding.assign_shards(clashing)
+    assert placed.columns == clashing.columns and placed.dtypes[-1] == ("shard", "int")
+    assert {(r.doc_id, r._slot, r._shard) for r in placed.collect()} == {(r[0], r[2], r[3]) for r in rows}
 
 
 # --- 10 -----------------------------------------------------------------------------------------------------------------
@@ -362,19 +465,56 @@ def test_queries_are_registered():
     assert "pipeline" in names and [s for s, _ in corpus_pipeline.STAGES] == ["toxicity", "exact_dedup", "near_dedup", "mixing", "byte_bpe"]
 
 
-def test_long_texts_in_parts(monkeypatch):
+def test_bpe_of_long_texts_in_parts(monkeypatch):
     text = "Some words here.\nAnd MORE words!! 12\n" * 60 + "tail without end " * 30
-    extract = quality_model.Extractor()
-    at, value = extract(text)
-    cut = list(quality_model.parts(text, 50))
-    assert "".join(cut) == text and len(cut) > 20
-    whole = quality_model.parts
-    monkeypatch.setattr(quality_model, "parts", lambda t: whole(t, 200))
-    at2, value2 = extract(text)
-    shared = dict(zip(at, value, strict=True)), dict(zip(at2, value2, strict=True))
-    lines = {quality_model._LINE, quality_model._LINES}
-    assert all(shared[1][k] == pytest.approx(v, rel=1e-9) for k, v in shared[0].items() if k not in lines)
     bpe = byte_bpe.load(*byte_bpe.installed())
     short = bpe.encode(text)
     monkeypatch.setattr(byte_bpe, "LONG", 100)
     assert bpe.encode(text) == short
+
+
+@pytest.mark.parametrize("text", ["word\t" * 300_000, "x" * 1_300_000, "one two Three4!\n" * 100_000, "a b\u2003c\x1cd " * 200_000], ids=["tabs", "one word", "lines", "odd blanks"])
+def test_quality_features_of_texts_above_a_mebibyte(text):
+    at, value = quality_model.Extractor()(text)
+    plain = brute.quality_features(text, quality_model)
+    assert set(at.tolist()) == set(plain) and all(plain[k] == pytest.approx(v, rel=1e-9) for k, v in zip(at.tolist(), value.tolist(), strict=True))
+
+
+def labelled_texts(n=150):
+    r = random.Random(8)
+    common = [f"w{k}" for k in range(40)]
+    rows = []
+    for k in range(n):
+        bad = k % 3 == 0
+        words = [r.choice(common) for _ in range(r.randint(3, 40))] + ["Idiots!!"] * (2 * bad) + [f"only{k}"] + (["women"] if k % 4 == 0 else ["muslim", "asian"] if k % 7 == 0 else [])
+        r.shuffle(words)
+        rows.append((" ".join(words).replace(" w1 ", "\n") if k % 5 else "", int(bad)))
+    return rows
+
+
+def test_quality_model_is_a_plain_one():
+    rows = labelled_texts()
+    weights, plain = quality_model.fit(rows), brute.quality_weights(rows, quality_model)
+    assert all(weights[f if f != "bias" else -1] == pytest.approx(w, abs=1e-9) for f, w in plain.items()) and np.count_nonzero(weights) == sum(w != 0 for w in plain.values()) > 20
+    extract = quality_model.Extractor()
+    for text, _ in rows[:20]:
+        z = plain["bias"] + sum(v * plain.get(f, 0.0) for f, v in brute.quality_features(text, quality_model).items())
+        assert quality_model.apply(text, weights, extract) == pytest.approx(brute.logistic(z), abs=1e-9)
+
+
+def test_toxicity_model_is_a_plain_one():
+    rows = labelled_texts()
+    weights, plain = toxicity.fit(rows), brute.toxic_weights(rows, toxicity)
+    assert weights.keys() == plain.keys() and len(plain) > 5 and all(weights[f] == pytest.approx(w, abs=1e-9) for f, w in plain.items())
+
+
+def test_leaving_out_features_of_one_text_changes_nothing():
+    rows = labelled_texts(300) + [(f"rare{k} women gay old{k}", k % 2) for k in range(40)]
+    pruned, full = toxicity.fit(rows), toxicity.fit(rows, prune=False)
+    assert pruned.keys() == full.keys() and all(pruned[f] == pytest.approx(w, abs=1e-12) for f, w in full.items())
+
+
+def test_training_takes_features_up_to_its_bound(docs, labels, monkeypatch):
+    whole = toxicity.train(docs, labels)
+    monkeypatch.setattr(toxicity, "MAX_TRAIN_BYTES", 2000)
+    assert whole and toxicity.train(docs, labels) != whole
