@@ -13,6 +13,10 @@ from folioforge.operators import folders, repository, retrieval
 from folioforge.sources.detect import MAX_TOOL_BYTES, owned_path, validate_uploads
 
 
+#: Rows of the largest page.
+MAX_PAGE = 1000
+
+
 class NotAllowed(PermissionError):
     """The client has no right to write."""
 
@@ -29,8 +33,14 @@ class Repository:
 
     @staticmethod
     def _rows(df: DataFrame) -> list[dict]:
+        """The rows of an answer, which is a page, a top-k or one row."""
         return [json.loads(x) for x in df.select(F.to_json(F.struct("*"), {"ignoreNullFields": "false"}).alias("j")).toPandas()["j"]]
 
+    def _page(self, df: DataFrame, order: list[str], page: int, size: int) -> list[dict]:
+        if page < 1 or not 1 <= size <= MAX_PAGE:
+            raise ValueError(f"pages start at 1 and have 1 to {MAX_PAGE} rows")
+        return self._rows(df.orderBy(*order).offset((page - 1) * size).limit(size))
+
     def _active(self) -> DataFrame:
         return self.tables["documents"].where("coalesce(deletion_status, 'active') = 'active'")
 
@@ -51,12 +61,12 @@ class Repository:
             scope = folders.search_scope(self._active(), self.tables["folders"], folder_id, wanted)
         return {"query": asked["query"], "results": self._rows(self._search(asked["query"], scope, asked["top_k"]))}
 
-    def list_folders(self) -> dict:
-        return {"folders": self._rows(self.tables["folders"].orderBy("sort_order", "name", "id"))}
+    def list_folders(self, page: int = 1, size: int = 1000) -> dict:
+        return {"folders": self._page(self.tables["folders"], ["sort_order", "name", "id"], page, size)}
 
-    def list_documents(self, folder_id: str | None = None) -> dict:
+    def list_documents(self, folder_id: str | None = None, page: int = 1, size: int = 1000) -> dict:
         rows = folders.documents_in_scope(self._active(), self.tables["folders"], folder_id, recursive=False)
-        return {"folder_id": folder_id, "documents": self._rows(rows.orderBy("sort_order", "title", "document_id"))}
+        return {"folder_id": folder_id, "documents": self._page(rows, ["sort_order", "title", "document_id"], page, size)}
 
     def get_document(self, document_id: str) -> dict:
         chunks = self.tables["document_chunks"]
@@ -70,8 +80,7 @@ class Repository:
     def get_original(self, document_id: str) -> dict:
         """The storage path of the current original, if it is where this owner's files belong."""
         rows = self._active().where(F.col("document_id") == document_id).join(self.tables["document_versions"].select(F.col("version_id").alias("latest_version_id"), "storage_path", "original_filename"), "latest_version_id")
-        stem = F.regexp_replace(F.element_at(F.split("storage_path", "/"), 3), r"\.[^.]*$", "")
-        got = self._rows(rows.where(owned_path(F.col("storage_path"), F.lit(self.owner_id), F.col("document_id"), stem)).select("document_id", "storage_path", "original_filename"))
+        got = self._rows(rows.where(owned_path(F.col("storage_path"), F.lit(self.owner_id), F.col("document_id"), F.col("latest_version_id"))).select("document_id", "storage_path", "original_filename"))
         return {"original": got[0] if got else None}
 
     def _check_writer(self) -> None:

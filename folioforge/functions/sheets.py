@@ -18,15 +18,25 @@ def column_letters(number: Column) -> Column:
     return F.aggregate(F.sequence(F.lit(1), F.lit(5)), start, step, lambda a: a["s"])
 
 
+def _short_number(letters: Column) -> Column:
+    """The number of a column of one to three letters."""
+    at = lambda i: F.ascii(F.substring(letters, i, 1)) - 64
+    n = F.length(letters)
+    return F.when(n == 1, at(1)).when(n == 2, at(1) * 26 + at(2)).when(n == 3, (at(1) * 26 + at(2)) * 26 + at(3))
+
+
 def parse_range(a1: Column) -> Column:
     """struct(c1, r1, c2, r2) of A1 or A1:B2, with dollars allowed and corners in any order; null otherwise."""
     plain = F.upper(F.replace(F.trim(a1), F.lit("$"), F.lit("")))
-    pattern = r"^([A-Z]{1,3})(\d+)(?::([A-Z]{1,3})(\d+))?$"
-    part = [F.regexp_extract(plain, pattern, i) for i in range(1, 5)]
-    c1, r1 = column_number(part[0]), part[1].cast("int")
-    c2 = F.when(part[2] == "", c1).otherwise(column_number(part[2]))
-    r2 = F.when(part[3] == "", r1).otherwise(F.try_to_number(part[3], F.lit("9999999")).cast("int"))
-    return F.when(plain.rlike(pattern), F.struct(F.least(c1, c2).alias("c1"), F.least(r1, r2).alias("r1"), F.greatest(c1, c2).alias("c2"), F.greatest(r1, r2).alias("r2")))
+    parts = F.regexp_extract_all(plain, F.lit("[A-Z]+|[0-9]+"), 0)
+
+    def corners(p: Column) -> Column:
+        c1, r1 = _short_number(F.get(p, 0)), F.get(p, 1).try_cast("int")
+        c2, r2 = F.coalesce(_short_number(F.get(p, 2)), c1), F.coalesce(F.get(p, 3).try_cast("int"), r1)
+        return F.struct(F.least(c1, c2).alias("c1"), F.least(r1, r2).alias("r1"), F.greatest(c1, c2).alias("c2"), F.greatest(r1, r2).alias("r2"))
+
+    # The parts are bound once, as the variable of a lambda.
+    return F.when(plain.rlike("^[A-Z]{1,3}[0-9]+(?::[A-Z]{1,3}[0-9]+)?$"), F.get(F.transform(F.array(parts), corners), 0))
 
 
 def ranges_overlap(a: Column, b: Column) -> Column:

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import unicodedata
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -69,3 +72,13 @@ def passage_text(text: Column) -> Column:
 
 def query_text(text: Column) -> Column:
     return F.concat(F.lit("query: "), text)
+
+
+def composed(text: Column) -> Column:
+    """The text in composed form (NFC); Spark has no function for it, so it goes to Python in Arrow batches."""
+
+    @F.pandas_udf("string")
+    def nfc(s: pd.Series) -> pd.Series:
+        return s.map(lambda x: None if x is None else unicodedata.normalize("NFC", x))
+
+    return nfc(text)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from folioforge.config import DEFAULTS
 from folioforge.functions.ids import chunk_id
-from folioforge.functions.text import SENTENCE_END, words
+from folioforge.functions.text import SENTENCE_END, SPACE, words
 
 _LOCATION = ("page", "sheet", "cell_range", "image_index", "preview_block", "start_offset", "end_offset")
 _TYPES = {"page": "int", "sheet": "string", "cell_range": "string", "image_index": "int", "preview_block": "int", "start_offset": "int", "end_offset": "int"}
@@ -49,23 +49,42 @@ def segment_islands(blocks: DataFrame, key: str = "document_id") -> DataFrame:
     return rows.withColumn("segment", F.sum(new.cast("int")).over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow))).drop("_key")
 
 
+def _chars(words: str) -> str:
+    """SQL of the characters of one word or more with a blank after each."""
+    return f"cast(length(array_join({words}, ' ')) + 1 AS long)"
+
+
 def _bounds(target: int, most: int, overlap: int) -> str:
-    """SQL of the array of (s, e) windows over columns n (words) and bp (ends of words after which a chunk may end)."""
+    """SQL of the array of windows (s, e, cs, ce) over the columns n, ws and bp: words and characters before start and end.
+
+    bp holds at place i the number i + 1 where a chunk may end after word i, else null. Each step looks at the words
+    of one window only, so the work grows with the words.
+    """
     least = max(1, target * 3 // 4)
     step = max(1, least - overlap)
     end = (
-        f"CASE WHEN a.s + {most} >= n THEN n ELSE coalesce("
-        f"array_min(filter(bp, b -> b >= a.s + {target} AND b < a.s + {most})), "
-        f"array_max(filter(bp, b -> b <= a.s + {target} AND b >= a.s + {least})), a.s + {most}) END"
+        f"CASE WHEN a.s + {most} >= n THEN n ELSE coalesce(array_min(slice(bp, a.s + {target}, {most - target})), "
+        f"array_max(slice(bp, a.s + {least}, {target - least + 1})), a.s + {most}) END"
+    )
+    ends = f"transform(array({end}), e -> struct(e AS e, a.cs + {_chars('slice(ws, a.s + 1, e - a.s)')} AS ce))"
+    back = f"x.ce - {_chars(f'slice(ws, x.e - {overlap} + 1, {overlap})')}" if overlap else "x.ce"
+    again = f"x.e < n AND x.e - {overlap} > a.s"
+    grown = (
+        f"transform({ends}, x -> struct(CASE WHEN {again} THEN x.e - {overlap} ELSE x.e END AS s, CASE WHEN {again} THEN {back} ELSE x.ce END AS cs, "
+        f"array_append(a.out, struct(a.s AS s, x.e AS e, a.cs AS cs, x.ce AS ce)) AS out))[0]"
     )
-    grown = f"transform(array({end}), e -> struct(CASE WHEN e >= n THEN n WHEN e - {overlap} > a.s THEN e - {overlap} ELSE e END AS s, array_append(a.out, struct(a.s AS s, e AS e)) AS out))[0]"
-    return f"aggregate(sequence(1, cast(ceil(n / {step}) AS int) + 1), struct(0 AS s, cast(array() AS array<struct<s:int,e:int>>) AS out), (a, i) -> CASE WHEN a.s >= n THEN a ELSE {grown} END, a -> a.out)"
+    start = "struct(0 AS s, 0L AS cs, cast(array() AS array<struct<s:int,e:int,cs:bigint,ce:bigint>>) AS out)"
+    return f"aggregate(sequence(1, cast(ceil(n / {step}) AS int) + 1), {start}, (a, i) -> CASE WHEN a.s >= n THEN a ELSE {grown} END, a -> a.out)"
 
 
 def segments(blocks: DataFrame, key: str = "document_id") -> DataFrame:
-    """One row per segment that has words: blocks with their words and the place `w0` of the first of them."""
-    rows = segment_islands(blocks, key).withColumn("ws", words(F.col("text"))).where("size(ws) > 0")
-    block = F.struct("block_index", "block_id", "heading_path", *_LOCATION, "ws")
+    """One row per segment that has words: blocks `bs` with their words, the words w0 and characters c0 before each, and its own `size` and `chars`."""
+    # Not a filter on the words: that would be pushed down and split every text twice.
+    rows = segment_islands(blocks, key).where(F.col("text").rlike(f"[^{SPACE}]")).withColumn("ws", words(F.col("text")))
+    rows = rows.withColumn("size", F.size("ws")).withColumn("chars", F.expr(_chars("ws")))
+    before = Window.partitionBy(key, "segment").orderBy("block_index").rowsBetween(Window.unboundedPreceding, -1)
+    rows = rows.withColumn("w0", F.coalesce(F.sum("size").over(before), F.lit(0)).cast("int")).withColumn("c0", F.coalesce(F.sum("chars").over(before), F.lit(0)))
+    block = F.struct("block_index", "block_id", "heading_path", *_LOCATION, "w0", "c0", "size", "chars", "ws")
     return rows.groupBy(key, "segment").agg(F.array_sort(F.collect_list(block)).alias("bs"))
 
 
@@ -75,25 +94,23 @@ def chunks(blocks: DataFrame, key: str = "document_id", target: int = DEFAULTS.t
     From a start the chunk ends after the first sentence or block end at `target` words or later but before
     `most`, else after the last one between three quarters of `target` and `target`, else at `most`; the next
     one starts `overlap` words before that end. Chunks never cross segments. Offsets count characters of the
-    block's text.
+    block's text. A segment is one row; its chunks are cut out of its words before they become rows of their own.
     """
     check_options(target, most, overlap)
     rows = segments(blocks, key)
-    sizes = F.transform("bs", lambda b: F.size(b["ws"]))
-    rows = rows.withColumn("ends", _running(sizes))
+    ends = lambda b: F.transform(b["ws"], lambda w, j: F.when((j == b["size"] - 1) | w.rlike(SENTENCE_END), b["w0"] + j + 1))
+    rows = rows.withColumn("bp", F.flatten(F.transform("bs", ends)))
     rows = rows.withColumn("ws", F.flatten(F.transform("bs", lambda b: b["ws"]))).withColumn("n", F.size("ws"))
-    rows = rows.withColumn("bp", _boundaries())
-    rows = rows.withColumn("cuts", F.expr(_bounds(target, most, overlap)))
-    rows = rows.select(key, "segment", "bs", "ends", "ws", F.posexplode_outer("cuts").alias("k", "cut"))
-    rows = rows.withColumn("word_count", F.col("cut.e") - F.col("cut.s")).withColumn("text", F.array_join(F.slice("ws", F.col("cut.s") + 1, F.col("word_count")), " "))
-    rows = rows.withColumn("source_spans", _spans()).drop("ws", "ends")
+    rows = rows.withColumn("wb", F.flatten(F.transform("bs", lambda b, i: F.array_repeat(i, b["size"]))))  # the block of each word
+    rows = rows.withColumn("bs", F.transform("bs", lambda b: b.dropFields("ws"))).withColumn("cuts", F.expr(_bounds(target, most, overlap)))
+    rows = rows.select(key, "segment", F.posexplode(F.transform("cuts", _chunk)).alias("k", "c"))
+    ordinal = F.row_number().over(Window.partitionBy(key).orderBy("segment", "k")) - 1
+    rows = rows.select(key, ordinal.alias("ordinal"), "c.*")
     first, last = F.element_at("source_spans", 1), F.element_at("source_spans", -1)
-    one = F.filter("bs", lambda b: b["block_index"] == first["block_index"])[0]
-    two = F.filter("bs", lambda b: b["block_index"] == last["block_index"])[0]
+    one, two = F.col("one"), F.col("two")
     place = [F.coalesce(one[c], two[c]).alias(c) for c in _LOCATION[:5]]
-    ordinal = F.row_number().over(Window.partitionBy(key).orderBy("segment", "k")) - 1
     return rows.select(
-        key, ordinal.alias("ordinal"), chunk_id(F.col(key), ordinal).alias("chunk_id"), "text", "word_count",
+        key, "ordinal", chunk_id(F.col(key), F.col("ordinal")).alias("chunk_id"), "text", "word_count",
         F.when(F.size(one["heading_path"]) > 0, one["heading_path"]).otherwise(two["heading_path"]).alias("heading_path"),
         first["block_index"].alias("block_start"), last["block_index"].alias("block_end"),
         F.coalesce(one["preview_block"], first["block_index"]).alias("focus_block"),
@@ -106,35 +123,28 @@ def chunks(blocks: DataFrame, key: str = "document_id", target: int = DEFAULTS.t
     )
 
 
-def _running(sizes: Column) -> Column:
-    return F.aggregate(sizes, F.array().cast("array<int>"), lambda a, x: F.array_append(a, F.coalesce(F.try_element_at(a, F.lit(-1)), F.lit(0)) + x))
-
-
-def _boundaries() -> Column:
-    """Ends of words after which a chunk may end, in order: ends of blocks and of sentences."""
-    marked = F.transform("ws", lambda w, i: F.when(w.rlike(SENTENCE_END), i + 1))
-    return F.array_sort(F.array_union("ends", F.filter(marked, lambda x: x.isNotNull())))
+def _chunk(cut: Column) -> Column:
+    """A chunk from its window: text, first and last block, and for each block that it touches the words and characters it covers.
 
-
-def _spans() -> Column:
-    """The spans of a chunk: for each block that it touches the words and characters of the block it covers.
-
-    Words of a block's text are one blank apart, so offsets are sums of lengths.
+    Words of a block's text are one blank apart, so offsets are differences of sums of lengths.
     """
-    s, e = F.col("cut.s"), F.col("cut.e")
-    upto = lambda ws, k: F.aggregate(F.slice(ws, F.lit(1), k), F.lit(0), lambda a, w: a + F.length(w) + 1)
-    placed = F.zip_with("bs", "ends", lambda b, z: F.struct(b.alias("b"), (z - F.size(b["ws"])).alias("w0"), z.alias("w1")))
-    touched = F.filter(placed, lambda x: (x["w0"] < e) & (x["w1"] > s))
+    s, e = cut["s"], cut["e"]
+    b0, b1 = F.get("wb", s), F.get("wb", e - 1)
 
     def span(x: Column) -> Column:
-        a, z = F.greatest(s - x["w0"], F.lit(0)), F.least(e - x["w0"], F.size(x["b"]["ws"]))
-        b = x["b"]
+        a, z = F.greatest(s - x["w0"], F.lit(0)), F.least(e - x["w0"], x["size"])
+        start = F.when(s > x["w0"], cut["cs"] - x["c0"]).otherwise(0).cast("int")
+        end = (F.when(e < x["w0"] + x["size"], cut["ce"] - x["c0"]).otherwise(x["chars"]) - 1).cast("int")
         return F.struct(
-            b["block_id"].alias("block_id"), b["block_index"].alias("block_index"), upto(b["ws"], a).alias("start_offset"), (upto(b["ws"], z) - 1).alias("end_offset"),
-            a.alias("start_word"), z.alias("end_word"), b["page"].alias("page"), b["sheet"].alias("sheet"), b["cell_range"].alias("cell_range"), b["image_index"].alias("image_index"),
+            x["block_id"].alias("block_id"), x["block_index"].alias("block_index"), start.alias("start_offset"), end.alias("end_offset"),
+            a.alias("start_word"), z.alias("end_word"), x["page"].alias("page"), x["sheet"].alias("sheet"), x["cell_range"].alias("cell_range"), x["image_index"].alias("image_index"),
         )
 
-    return F.transform(touched, span)
+    own = lambda i: F.struct(*[F.get("bs", i)[c].alias(c) for c in ("heading_path", *_LOCATION)])
+    return F.struct(
+        F.array_join(F.slice("ws", s + 1, e - s), " ").alias("text"), (e - s).alias("word_count"), own(b0).alias("one"), own(b1).alias("two"),
+        F.transform(F.slice("bs", b0 + 1, b1 - b0 + 1), span).alias("source_spans"),
+    )
 
 
 def batches(rows: DataFrame, key: str, order: str, text: str = "text", most: int = DEFAULTS.batch_chunks, chars: int = DEFAULTS.batch_chars) -> DataFrame:

@@ -2,32 +2,30 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from folioforge.functions.ids import stable_uuid
-from folioforge.functions.text import natural_key
-
-#: Rounds of the doubling closure: paths of up to 2 ** ROUNDS edges.
-ROUNDS = 10
+from folioforge.functions.text import composed, natural_key
+from folioforge.session import numbered, stored
 
 
 def ancestors(folders: DataFrame) -> DataFrame:
     """(id, ancestor, distance): every folder with itself and all above it, by joins that double the reach.
 
-    A link that would close a cycle or name a missing parent ends the way up there.
+    Each round is stored, so it is one join whatever came before, and the rounds end when nothing is added. A link that would close a cycle or name a missing parent ends the way up there.
     """
     up = folders.select("id", F.col("parent_id").alias("ancestor")).where("ancestor IS NOT NULL AND ancestor <> id")
     up = up.join(folders.select(F.col("id").alias("ancestor")), "ancestor", "left_semi").select("id", "ancestor", F.lit(1).alias("distance"))
-    reach, before = up, -1
-    for _ in range(ROUNDS):
-        size = reach.count()
-        if size == before:
-            break
-        before = size
+    reach = stored(up, "folder-reach")
+    size = reach.count()
+    while True:
         a, b = reach.alias("a"), reach.alias("b")
         longer = a.join(b, F.col("a.ancestor") == F.col("b.id")).select(F.col("a.id").alias("id"), F.col("b.ancestor").alias("ancestor"), (F.col("a.distance") + F.col("b.distance")).alias("distance"))
-        reach = reach.unionByName(longer.where("id <> ancestor")).groupBy("id", "ancestor").agg(F.min("distance").alias("distance"))
+        reach = stored(reach.unionByName(longer.where("id <> ancestor")).groupBy("id", "ancestor").agg(F.min("distance").alias("distance")), "folder-reach")
+        before, size = size, reach.count()
+        if size == before:
+            break
     return reach.unionByName(folders.select("id", F.col("id").alias("ancestor"), F.lit(0).alias("distance")))
 
 
@@ -55,8 +53,7 @@ def flatten(folders: DataFrame) -> DataFrame:
         F.max("distance").alias("depth"),
         F.max_by("parent_id", "distance").isNotNull().alias("orphan"),
     )
-    place = F.row_number().over(Window.orderBy("orphan", "way")) - 1
-    return rows.select(place.alias("position"), "id", "depth")
+    return numbered(rows, ["orphan", "way"], "position").select("position", "id", "depth")
 
 
 def content_counts(folders: DataFrame, documents: DataFrame) -> DataFrame:
@@ -120,9 +117,9 @@ def move(rows: DataFrame, moves: DataFrame, column: str) -> DataFrame:
 def upload_plan(entries: DataFrame) -> DataFrame:
     """(path, name, parent, depth) of all folders that relative paths name, by depth and path.
 
-    Blank, '.' and '..' segments are refused, as are paths with different first segments.
+    Names are in composed form. Blank, '.' and '..' segments are refused, as are paths with different first segments.
     """
-    parts = F.split(F.regexp_replace("relative_path", r"\\", "/"), "/")
+    parts = F.split(F.regexp_replace(composed(F.col("relative_path")), r"\\", "/"), "/")
     rows = entries.select(parts.alias("p"))
     bad = F.exists("p", lambda x: F.trim(x).isin("", ".", ".."))
     wrong = rows.agg(F.bool_or(bad).alias("bad"), F.count_distinct(F.element_at("p", 1)).alias("tops")).first()
@@ -139,7 +136,7 @@ def upload_plan(entries: DataFrame) -> DataFrame:
 
 def ensure_tree(folders: DataFrame, plan: DataFrame, owner: str) -> DataFrame:
     """(path, id, parent_id, name, created): an existing folder of the same name (any case) is used again, level by level."""
-    known = folder_paths(folders).select(F.lower(F.array_join("names", "/")).alias("_k"), "id").groupBy("_k").agg(F.min("id").alias("id"))
+    known = folder_paths(folders).select(F.lower(composed(F.array_join("names", "/"))).alias("_k"), "id").groupBy("_k").agg(F.min("id").alias("id"))
     made = stable_uuid(F.concat_ws(":", F.lit("folder"), F.lit(owner), F.lower("path")))
     rows = plan.withColumn("_k", F.lower("path")).join(known, "_k", "left").select("path", "parent", "name", "depth", F.coalesce(F.col("id").cast("string"), made).alias("id"), F.col("id").isNull().alias("created"))
     up = rows.select(F.col("path").alias("parent"), F.col("id").alias("parent_id"))

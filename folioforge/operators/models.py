@@ -2,16 +2,40 @@
 
 from __future__ import annotations
 
+import logging
 import time
 from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from folioforge.config import DEFAULTS
 from folioforge.operators.chunking import batches
 
+log = logging.getLogger(__name__)
+
+
+class Fatal(Exception):
+    """An error that no repetition mends."""
+
+
+#: Waits of a durable step, which is tried four times.
+STEP_WAITS = (0.25, 0.75, 2.0)
+
+
+def durable[T](call: Callable[[], T], waits: Sequence[float] = STEP_WAITS, sleep: Callable[[float], None] = time.sleep) -> T:
+    """A step of ingestion: any error but a fatal one is tried again after each wait; the last one is raised."""
+    for wait in waits:
+        try:
+            return call()
+        except Fatal:
+            raise
+        except Exception:
+            log.warning("a step failed and is tried again", exc_info=True)
+            sleep(wait)
+    return call()
+
 
 def retried[T](call: Callable[[], T], waits: Sequence[float] = (0.25, 0.75), transient: tuple[type[Exception], ...] = (ConnectionError, TimeoutError), sleep: Callable[[float], None] = time.sleep) -> T:
     """The call's result; errors that may pass are tried again after each wait."""
@@ -42,19 +66,32 @@ def extract_rules(chunks: DataFrame, provider: Callable[[list[dict]], list[dict]
     return dealt.groupBy("document_id", "batch").applyInPandas(one, f"document_id {key}, position long, source_chunk_id string, statement string, evidence_quote string, confidence double")
 
 
-def read_pictures(images: DataFrame, provider: Callable[[list[tuple[str, bytes]]], list[str]], most_bytes: int = 8 << 20, batch: int = 8) -> DataFrame:
-    """images(document_id, image_index, media_type, data) with the provider's `insight` as JSON; pictures that are too large get none."""
-    schema = "document_id string, image_index int, insight string"
+def read_pictures(images: DataFrame, provider: Callable[[list[tuple[str, bytes]]], list[str]], most_bytes: int = 8 << 20, batch: int = 8, most: int = 20) -> DataFrame:
+    """(document_id, image_index, insight, problem) of images(document_id, image_index, media_type, data), a row each.
+
+    insight is the provider's JSON. problem says why there is none: 'size' (above most_bytes), 'limit' (beyond the
+    first `most` of a document that are not too large) or 'failed' (the provider raised for its batch).
+    """
+    schema = "document_id string, image_index int, insight string, problem string"
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             for at in range(0, len(frame), batch):
                 part = frame.iloc[at : at + batch]
-                said = retried(lambda p=part: provider([(m, bytes(d)) for m, d in zip(p["media_type"], p["data"], strict=True)]))
-                yield pd.DataFrame({"document_id": part["document_id"], "image_index": part["image_index"], "insight": said})
-
-    rows = images.where(F.length("data") <= most_bytes)
-    return rows.select(F.col("document_id").cast("string").alias("document_id"), F.col("image_index").cast("int").alias("image_index"), "media_type", "data").mapInPandas(run, schema)
+                problem = None
+                try:
+                    said = retried(lambda p=part: provider([(m, bytes(d)) for m, d in zip(p["media_type"], p["data"], strict=True)]))
+                except Exception:  # one batch must not cost the others
+                    log.warning("pictures could not be read", exc_info=True)
+                    said, problem = [None] * len(part), "failed"
+                yield pd.DataFrame({"document_id": part["document_id"], "image_index": part["image_index"], "insight": said, "problem": problem}).astype(object)
+
+    fits = F.coalesce(F.length("data") <= most_bytes, F.lit(False))
+    rows = images.select(F.col("document_id").cast("string").alias("document_id"), F.col("image_index").cast("int").alias("image_index"), "media_type", "data", fits.alias("_fits"))
+    place = F.row_number().over(Window.partitionBy("document_id", "_fits").orderBy("image_index"))
+    rows = rows.withColumn("problem", F.when(~F.col("_fits"), "size").when(place > most, "limit"))
+    left = rows.where("problem IS NOT NULL").select("document_id", "image_index", F.lit(None).cast("string").alias("insight"), "problem")
+    return rows.where("problem IS NULL").select("document_id", "image_index", "media_type", "data").mapInPandas(run, schema).unionByName(left)
 
 
 _INSIGHT = "struct<visibleText:string,description:string,keyFacts:array<string>>"

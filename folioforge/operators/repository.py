@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType, StructField, StructType
 
-from folioforge.functions.text import like_term, natural_key
+from folioforge.functions.text import composed, like_term, natural_key
+from folioforge.session import numbered
 
 #: States and stages of ingestion, stages in their order, states of a version.
 JOB_STATUSES = ("uploading", "queued", "processing", "ready", "failed")
@@ -64,9 +64,7 @@ def sort_folders(by: str = "name") -> list[Column]:
 
 def positions(documents: DataFrame, order: list[Column]) -> DataFrame:
     """(document_id, position) of every row, from 1. Sorted ranges are counted and numbered, so no task holds all rows."""
-    ids = documents.orderBy(*order).select("document_id")
-    schema = StructType([*ids.schema.fields, StructField("position", LongType())])
-    return documents.sparkSession.createDataFrame(ids.rdd.zipWithIndex().map(lambda r: (r[0][0], r[1] + 1)), schema, verifySchema=False)
+    return numbered(documents, order, "_place").select("document_id", (F.col("_place") + 1).alias("position"))
 
 
 def page(rows: DataFrame, order: list[Column], number: int, size: int) -> DataFrame:
@@ -115,7 +113,7 @@ def can_resume(now: Column) -> Column:
 
 def same_upload(job: str = "j", file: str = "f") -> Column:
     """Whether a file is the one a failed job has lost: same name, type and size."""
-    return (F.col(f"{job}.status") == "failed") & ~F.col(f"{job}.original_available") & (F.col(f"{job}.file_name") == F.col(f"{file}.file_name")) & (F.col(f"{job}.mime_type") == F.col(f"{file}.mime_type")) & (F.col(f"{job}.size_bytes") == F.col(f"{file}.size_bytes"))
+    return (F.col(f"{job}.status") == "failed") & ~F.col(f"{job}.original_available") & (composed(F.col(f"{job}.file_name")) == composed(F.col(f"{file}.file_name"))) & (F.col(f"{job}.mime_type") == F.col(f"{file}.mime_type")) & (F.col(f"{job}.size_bytes") == F.col(f"{file}.size_bytes"))
 
 
 def version_status(status: Column) -> Column:
@@ -182,4 +180,5 @@ def connections(grants: DataFrame, permissions: DataFrame) -> DataFrame:
 def version_gate(rows: DataFrame, key: str, generation: str) -> DataFrame:
     """Of answers that came back for a key the one of the latest request; the stale ones go."""
     payload = [c for c in rows.columns if c not in (key, generation)]
-    return rows.groupBy(key).agg(F.max_by(F.struct(*payload), generation).alias("_p"), F.max(generation).alias(generation)).select(key, generation, "_p.*")
+    # Of answers to one request the greatest in column order stays, so reruns agree.
+    return rows.groupBy(key).agg(F.max(F.struct(generation, *payload)).alias("_p")).select(key, "_p.*")

@@ -72,8 +72,9 @@ def lexical_search(chunks: DataFrame, query: str, limit: int = 4, ties: Sequence
 
 
 def extractive_answer(hits: DataFrame) -> DataFrame:
-    """(answer): the best hit with its place and the number of sources, or the refusal."""
-    best = hits.agg(F.max_by(F.struct("title", "text"), F.struct("score", F.col("chunk_id"))).alias("b"), F.count(F.lit(1)).alias("n"))
+    """(answer): the best hit with its place and the number of sources, or the refusal. Of equal scores the first in the search's order is best."""
+    ties = [c for c in ("document_id", "ordinal", "chunk_id") if c in hits.columns]
+    best = hits.agg(F.min_by(F.struct("title", "text"), F.struct((-F.col("score")).alias("_s"), *ties)).alias("b"), F.count(F.lit(1)).alias("n"))
     said = F.format_string("[%s] %s (%d sources)", F.col("b.title"), F.col("b.text"), F.col("n"))
     return best.select(F.when(F.col("n") > 0, said).otherwise(REFUSAL).alias("answer"))
 
@@ -111,12 +112,22 @@ def tokens(text: Column) -> Column:
     return F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda x: x != "")
 
 
-def postings(chunks: DataFrame, key: str = "chunk_id", text: str = "text") -> DataFrame:
-    """(key, term, tf, len) of an index."""
+def postings(chunks: DataFrame, key: str = "chunk_id", text: str = "text", query: str | None = None) -> DataFrame:
+    """(key, term, tf, len) of an index; with a query only of its terms, counted row by row without a shuffle."""
     rows = chunks.select(key, tokens(F.col(text)).alias("_t")).withColumn("len", F.size("_t"))
+    if query is not None:
+        terms = chunks.sparkSession.range(1).select(F.array_distinct(tokens(F.lit(query))).alias("t")).first().t  # the query's own terms
+        counted = [F.struct(F.lit(t).alias("term"), _occurrences(t).alias("tf")) for t in terms]
+        if not counted:
+            return rows.limit(0).select(key, F.lit("").alias("term"), F.lit(0).cast("long").alias("tf"), "len")
+        return rows.select(key, "len", F.explode(F.array(*counted)).alias("c")).select(key, "c.term", "c.tf", "len").where("tf > 0")
     return rows.select(key, "len", F.explode_outer("_t").alias("term")).where("term IS NOT NULL").groupBy(key, "term").agg(F.count(F.lit(1)).alias("tf"), F.first("len").alias("len"))
 
 
+def _occurrences(term: str) -> Column:
+    return F.size(F.filter("_t", lambda x: x == term)).cast("long")
+
+
 def bm25_search(index: DataFrame, documents: int | DataFrame, query: str, k: int = 10, key: str = "chunk_id", settings=DEFAULTS) -> DataFrame:
     """(key, score) of the k best. `documents`: the number of indexed texts, or the texts."""
     n = documents if isinstance(documents, int) else documents.count()

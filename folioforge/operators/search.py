@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import logging
 from collections.abc import Callable
 from dataclasses import dataclass
 
@@ -9,6 +10,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from folioforge.config import DEFAULTS, Settings
+from folioforge.session import stored
+
+log = logging.getLogger(__name__)
 
 
 def latest_hits(hits: DataFrame, documents: DataFrame) -> DataFrame:
@@ -155,7 +159,9 @@ def unified_search(
     content(scope, limit) -> hits(chunk_id, document_id, version_id, score, ...); rules() -> hits(rule_id, score, rank);
     scoped(paths) -> hits(path_id, chunk_id, document_id, version_id, score, ...), at most four per path's document.
     rule_table(rule_id, ...) are the active rules; nodes(node_id, node_kind, document_id, rule_id). An error of the
-    content search is raised; one of the rest falls back to the seeds alone.
+    content search is raised. What the rules' provider raises costs the rules, what the scoped search raises costs
+    the expansion: seeds and root rules stay, the error is logged and the mode says 'fallback'. Providers' answers are
+    stored before they are used, so their errors come here and not later; errors of this function itself are raised.
     """
     empty = nodes.limit(0)
     limit = min(2 * top_k, 40)
@@ -165,25 +171,48 @@ def unified_search(
     hits = latest_hits(content(scope, limit), documents).orderBy(F.col("score").desc(), "chunk_id")
     seeds = hits.limit(min(top_k, settings.max_seeds))
     try:
-        rr = root_rules(rules(), rule_table, settings.relation_threshold, settings.max_root_rules).join(nodes.where("node_kind = 'rule'").select("rule_id", "node_id"), "rule_id")
-        seeded = seeds.join(nodes.where("node_kind = 'document'").select("document_id", "node_id"), "document_id").groupBy("node_id").agg(F.max("score").alias("score"))
-        roots = root_candidates(rr, seeded, settings.document_root_threshold)
-        active = latest_documents(documents)
-        if scope is not None:
-            active = active.join(scope.select("document_id"), "document_id", "left_semi")
-        paths = semantic_paths(roots, nodes, top_links(links, settings.max_links_scanned), active, settings.max_paths)
-        paths = paths.withColumn("path_rank", F.row_number().over(Window.orderBy((F.col("root_kind") == "rule").desc(), F.col("score").desc(), "path_id")))
-        more = latest_hits(scoped(paths), documents).join(paths.select("path_id", "path_rank"), "path_id")
-        flag = rr.agg((F.count(F.lit(1)) > 0).alias("a")).crossJoin(more.agg((F.count(F.lit(1)) > 0).alias("b"))).select((F.col("a") & F.col("b")).alias("flag"))  # one row each
-        with_hits = paths.join(more.select("path_id").distinct(), "path_id", "left_semi")
-        kept = prune_seeds(seeds, with_hits, flag, settings.seed_keep_threshold)
-        expanded = best_per_chunk(more, kept, settings.max_expanded)
-        used = paths.join(expanded.select("path_id").distinct(), "path_id", "left_semi")
-        applied = applied_rules(rr, used, scope is not None)
-        mode = "content-only" if expanded.isEmpty() else "expanded"
-        return Found(kept, applied, expanded, used, applied_links(used, links), mode)
-    except Exception:  # the second half must not cost the first
-        return Found(seeds, empty, hits.limit(0), empty, links.limit(0), "fallback")
+        asked = stored(rules(), "rule-hits")
+    except Exception:
+        log.warning("the search for rules failed", exc_info=True)
+        return Found(seeds, _no_rules(nodes), hits.limit(0), empty, links.limit(0), "fallback")
+    rr = root_rules(asked, rule_table, settings.relation_threshold, settings.max_root_rules).join(nodes.where("node_kind = 'rule'").select("rule_id", "node_id"), "rule_id")
+    seeded = seeds.join(nodes.where("node_kind = 'document'").select("document_id", "node_id"), "document_id").groupBy("node_id").agg(F.max("score").alias("score"))
+    roots = root_candidates(rr, seeded, settings.document_root_threshold)
+    active = latest_documents(documents)
+    if scope is not None:
+        active = active.join(scope.select("document_id"), "document_id", "left_semi")
+    paths = semantic_paths(roots, nodes, top_links(links, settings.max_links_scanned), active, settings.max_paths)
+    paths = paths.withColumn("path_rank", F.row_number().over(Window.orderBy((F.col("root_kind") == "rule").desc(), F.col("score").desc(), "path_id")))
+    try:
+        answered = stored(scoped(paths), "scoped-hits")
+    except Exception:
+        log.warning("the searches along paths failed", exc_info=True)
+        return Found(seeds, applied_rules(rr, paths.limit(0), scope is not None), hits.limit(0), empty, links.limit(0), "fallback")
+    more = latest_hits(answered, documents).join(paths.select("path_id", "path_rank"), "path_id")
+    flag = rr.agg((F.count(F.lit(1)) > 0).alias("a")).crossJoin(more.agg((F.count(F.lit(1)) > 0).alias("b"))).select((F.col("a") & F.col("b")).alias("flag"))  # one row each
+    with_hits = paths.join(more.select("path_id").distinct(), "path_id", "left_semi")
+    kept = prune_seeds(seeds, with_hits, flag, settings.seed_keep_threshold)
+    expanded = best_per_chunk(more, kept, settings.max_expanded)
+    used = paths.join(expanded.select("path_id").distinct(), "path_id", "left_semi")
+    applied = applied_rules(rr, used, scope is not None)
+    mode = "content-only" if expanded.isEmpty() else "expanded"
+    return Found(kept, applied, expanded, used, applied_links(used, links), mode)
+
+
+def _no_rules(nodes: DataFrame) -> DataFrame:
+    """An empty table as `applied_rules` gives it."""
+    none = F.lit(None).cast(nodes.schema["node_id"].dataType)
+    return nodes.limit(0).select(F.col("node_id").alias("rule_node"), F.lit(0).alias("depth"), none.alias("parent"), F.lit(True).alias("standalone"))
+
+
+def answer_evidence(seeds: DataFrame, rules: DataFrame, expanded: DataFrame) -> DataFrame:
+    """(section, position, chunk_id, score): all evidence in one ordered list, seeds, then rules, then what paths led to. Nothing is merged."""
+    parts = []
+    for n, (name, rows) in enumerate((("seed", seeds), ("rule", rules), ("expanded", expanded))):
+        # Each part is a top-k of its own.
+        place = F.row_number().over(Window.orderBy(F.col("score").desc(), F.col("chunk_id"))) - 1
+        parts.append(rows.select(F.lit(n).alias("section"), F.lit(name).alias("role"), place.alias("position"), F.col("chunk_id").cast("string").alias("chunk_id"), F.col("score").cast("double").alias("score")))
+    return parts[0].unionByName(parts[1]).unionByName(parts[2]).orderBy("section", "position")
 
 
 def latest_documents(documents: DataFrame) -> DataFrame:

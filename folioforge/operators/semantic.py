@@ -9,6 +9,7 @@ from folioforge.config import DEFAULTS
 from folioforge.functions.ids import link_id
 from folioforge.functions.scores import calibrated, clamp, pair_floor
 from folioforge.operators.nearest import nearest
+from folioforge.session import numbered
 
 
 def representatives(chunks: DataFrame, key: str = "document_id", most: int = DEFAULTS.max_segments) -> DataFrame:
@@ -165,6 +166,6 @@ def graph_view(nodes: DataFrame, links: DataFrame, documents: DataFrame, term: s
 
 def grid_layout(nodes: DataFrame, width: float = 260.0, height: float = 120.0) -> DataFrame:
     """Nodes without links on a grid near to a square: x and y by position."""
-    n = Window.partitionBy()
-    rows = nodes.withColumn("_i", F.row_number().over(Window.orderBy("node_id")) - 1).withColumn("_c", F.greatest(F.lit(1), F.ceil(F.sqrt(F.count(F.lit(1)).over(n)))))
+    size = nodes.agg(F.greatest(F.lit(1), F.ceil(F.sqrt(F.count(F.lit(1))))).alias("_c"))
+    rows = numbered(nodes, ["node_id"], "_i").crossJoin(F.broadcast(size))  # one number
     return rows.withColumn("x", (F.col("_i") % F.col("_c")) * width).withColumn("y", F.floor(F.col("_i") / F.col("_c")) * height).drop("_i", "_c")

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from folioforge.functions.sheets import parse_range, ranges_overlap
+from folioforge.session import stored
 
 
 def merge_spans(spans: Column, size: Column) -> Column:
@@ -38,10 +39,26 @@ def marked_blocks(spans: Column, start: Column, end: Column) -> Column:
 
 
 def overlapping_cells(shown: DataFrame, marks: DataFrame) -> DataFrame:
-    """(sheet, shown_range, mark_range) of cell ranges that share a cell, sheet by sheet."""
-    a = shown.select("sheet", F.col("cell_range").alias("shown_range"), parse_range(F.col("cell_range")).alias("a"))
-    b = marks.select("sheet", F.col("cell_range").alias("mark_range"), parse_range(F.col("cell_range")).alias("b"))
-    return a.join(b, "sheet").where(ranges_overlap(F.col("a"), F.col("b"))).select("sheet", "shown_range", "mark_range")
+    """(sheet, shown_range, mark_range) of cell ranges that share a cell, sheet by sheet; a row for each pair of rows."""
+    a = _parsed(shown)
+    b = a if marks is shown else _parsed(marks)
+    a = a.select("sheet", "_bucket", F.col("cell_range").alias("shown_range"), F.struct(*_CORNERS).alias("a"))
+    b = b.select("sheet", "_bucket", F.col("cell_range").alias("mark_range"), F.struct(*_CORNERS).alias("b"))
+    # Two ranges meet in every bucket that both have; they count in the first of these.
+    once = F.col("_bucket") == F.greatest(F.floor(F.col("a.r1") / ROWS), F.floor(F.col("b.r1") / ROWS))
+    return a.join(b, ["sheet", "_bucket"]).where(once & ranges_overlap(F.col("a"), F.col("b"))).select("sheet", "shown_range", "mark_range")
+
+
+#: Rows of a sheet that share a bucket.
+ROWS = 256
+_CORNERS = ("c1", "r1", "c2", "r2")
+
+
+def _parsed(rows: DataFrame) -> DataFrame:
+    """(sheet, cell_range, c1, r1, c2, r2, _bucket): each range is parsed once and stored as numbers, then dealt to its buckets of rows."""
+    parsed = rows.select("sheet", "cell_range").withColumn("_r", parse_range(F.col("cell_range")))
+    parsed = stored(parsed.select("sheet", "cell_range", *[F.col(f"_r.{c}").alias(c) for c in _CORNERS]), "ranges").where("c1 IS NOT NULL")
+    return parsed.withColumn("_bucket", F.explode(F.sequence(F.floor(F.col("r1") / ROWS), F.floor(F.col("r2") / ROWS))))
 
 
 def sheet_regions(cells: DataFrame) -> DataFrame:

@@ -180,7 +180,7 @@ def unified_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     from folioforge.plans.common import documents_as_chunks
 
     chunks = documents_as_chunks(spark, sf_dir).withColumn("version_id", F.col("document_id")).withColumn("text", F.coalesce("text", F.lit("")))
-    index, size = retrieval.postings(chunks), chunks.count()
+    index, size = retrieval.postings(chunks, query="license version the under"), chunks.count()
     docs = chunks.select("document_id", F.col("version_id").alias("latest_version_id"))
 
     def content(scope: DataFrame | None, limit: int) -> DataFrame:

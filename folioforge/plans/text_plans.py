@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from folioforge.functions import text as T
-from folioforge.functions.sheets import parse_range, ranges_overlap
 from folioforge.operators import answers, chunking, retrieval, rules, semantic, spans
 from folioforge.plans.common import COLLAPSED, END_SQL, LINES_SQL, SPACE_SQL, bounds_sql, document_blocks, documents_as_chunks, line_blocks, query
 from folioforge.session import table
@@ -133,7 +132,7 @@ bm25 AS (SELECT doc_id, sum(idf * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len / 25
 @query(f"{_BM25} SELECT doc_id::VARCHAR AS chunk_id, round(score, 6) AS score FROM bm25 ORDER BY round(bm25.score, 9) DESC, chunk_id LIMIT 20")
 def bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     chunks = documents_as_chunks(spark, sf_dir).select("chunk_id", F.coalesce("text", F.lit("")).alias("text"))
-    return retrieval.bm25_search(retrieval.postings(chunks), chunks, QUERY, 20).select("chunk_id", F.round("score", 6).alias("score"))
+    return retrieval.bm25_search(retrieval.postings(chunks, query=QUERY), chunks, QUERY, 20).select("chunk_id", F.round("score", 6).alias("score"))
 
 
 @query(f"""
@@ -146,7 +145,7 @@ def hybrid_rrf_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     chunks = documents_as_chunks(spark, sf_dir).select("chunk_id", F.coalesce("text", F.lit("")).alias("text"))
     vectors = table(spark, sf_dir, "embeddings").select(F.col("vec_id").cast("string").alias("chunk_id"), "embedding")
     asked = vectors.where("chunk_id = '7'").first().embedding
-    return retrieval.hybrid_search(vectors, retrieval.postings(chunks), chunks.count(), asked, QUERY, 10, 0.2).select("chunk_id", F.round("score", 6).alias("score"))
+    return retrieval.hybrid_search(vectors, retrieval.postings(chunks, query=QUERY), chunks.count(), asked, QUERY, 10, 0.2).select("chunk_id", F.round("score", 6).alias("score"))
 
 
 @query("""
@@ -180,8 +179,8 @@ def content_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT min(doc_id) AS document_id, sha256(text) AS sha256, count(*) AS copies FROM documents WHERE text IS NOT NULL GROUP BY sha256(text)")
 def dedupe_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = table(spark, sf_dir, "documents").where("text IS NOT NULL").select("doc_id", F.sha2("text", 256).alias("sha256"))
-    return d.groupBy("sha256").agg(F.min("doc_id").alias("document_id"), F.count(F.lit(1)).alias("copies"))
+    d = table(spark, sf_dir, "documents").where("text IS NOT NULL").select(F.col("doc_id").alias("document_id"), F.col("text").cast("binary").alias("data"))
+    return html.dedupe_bytes(d, "document_id").select("sha256", "document_id", "copies")
 
 
 @query("""
@@ -221,10 +220,10 @@ SELECT a.l_orderkey, a.l_linenumber AS line_a, b.l_linenumber AS line_b FROM lin
 WHERE a.l_linenumber * 10 <= b.l_linenumber * 10 + b.l_quantity::INT AND b.l_linenumber * 10 <= a.l_linenumber * 10 + a.l_quantity::INT""")
 def range_overlap_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     a1 = F.concat(F.lit("A"), (F.col("l_linenumber") * 10).cast("string"), F.lit(":C"), (F.col("l_linenumber") * 10 + F.col("l_quantity").cast("int")).cast("string"))
-    rows = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", parse_range(a1).alias("r"))
-    a, b = rows.alias("a"), rows.alias("b")
-    met = a.join(b, (F.col("a.l_orderkey") == F.col("b.l_orderkey")) & (F.col("a.l_linenumber") < F.col("b.l_linenumber"))).where(ranges_overlap(F.col("a.r"), F.col("b.r")))
-    return met.select(F.col("a.l_orderkey").alias("l_orderkey"), F.col("a.l_linenumber").alias("line_a"), F.col("b.l_linenumber").alias("line_b"))
+    rows = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("sheet"), a1.alias("cell_range"))
+    line = lambda c: (F.regexp_extract(c, r"\d+", 0).cast("int") / 10).cast("int")
+    met = spans.overlapping_cells(rows, rows).select(F.col("sheet").alias("l_orderkey"), line("shown_range").alias("line_a"), line("mark_range").alias("line_b"))
+    return met.where("line_a < line_b")
 
 
 @query()

@@ -5,7 +5,7 @@ from __future__ import annotations
 import base64
 import binascii
 import re
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from html.parser import HTMLParser
 
 import pandas as pd
@@ -211,8 +211,14 @@ def embedded_images(pages: DataFrame, key: str = "page_id", html: str = "html")
         key, "n", F.lower(F.regexp_extract("url", "^[dD][^:]*:([^;]+);", 1)).alias("media_type"),
         F.try_to_binary(F.regexp_replace(F.regexp_replace("url", "^[^,]*,", ""), r"\s", ""), F.lit("base64")).alias("data"),
     ).where("length(data) > 0")
-    first = rows.withColumn("sha256", F.sha2("data", 256)).groupBy(key, "sha256").agg(F.min_by(F.struct("n", "media_type", "data"), "n").alias("x"))
-    return first.select(key, F.col("x.n").alias("image_index"), "x.media_type", "x.data", "sha256")
+    return dedupe_bytes(rows, "n", [key]).select(key, F.col("n").alias("image_index"), "media_type", "data", "sha256")
+
+
+def dedupe_bytes(rows: DataFrame, order: str, within: Sequence[str] = ()) -> DataFrame:
+    """rows(data, ...) with one row of each content (in each group): the one with the least `order`; and sha256, copies."""
+    names = [c for c in rows.columns if c not in within]
+    first = rows.withColumn("sha256", F.sha2("data", 256)).groupBy(*within, "sha256").agg(F.min_by(F.struct(*names), order).alias("x"), F.count(F.lit(1)).alias("copies"))
+    return first.select(*within, "sha256", "copies", "x.*")
 
 
 #: Elements that a page shown to readers must not have.

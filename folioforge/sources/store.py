@@ -5,19 +5,29 @@ from __future__ import annotations
 import uuid
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
 def upsert(current: DataFrame, incoming: DataFrame, keys: Sequence[str], order: str | None = None) -> DataFrame:
-    """Last write wins: rows of `incoming` replace those of equal keys; of several incoming the greatest `order` stays.
+    """Last write wins: rows of `incoming` replace those of equal keys (nulls equal nulls); of several incoming one stays.
 
+    That is the one with the greatest `order`, and of these, or without an order, the greatest in column order.
     What is not touched is not sorted: the current table is only probed with the incoming keys.
     """
-    if order is not None:
-        w = Window.partitionBy(*keys).orderBy(F.col(order).desc())
-        incoming = incoming.withColumn("_r", F.row_number().over(w)).where("_r = 1").drop("_r")
-    return current.join(incoming.select(*keys), list(keys), "left_anti").unionByName(incoming, allowMissingColumns=True)
+    names = [c for c in incoming.columns if c not in keys]
+    first = [order] if order is not None else []
+    best = F.max(F.struct(*[F.col(c).alias(f"_{i}") for i, c in enumerate([*first, *names])])).alias("_p")
+    base = len(first)
+    incoming = incoming.groupBy(*keys).agg(best).select(*keys, *[F.col(f"_p._{base + i}").alias(c) for i, c in enumerate(names)]) if names else incoming.distinct()
+    return _without(current, incoming.select(*keys), keys).unionByName(incoming, allowMissingColumns=True)
+
+
+def _without(current: DataFrame, gone: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """The rows whose keys are not among `gone`; nulls equal nulls."""
+    gone = gone.select(*[F.col(k).alias(f"_gone_{k}") for k in keys]).distinct()
+    same = [F.col(k).eqNullSafe(F.col(f"_gone_{k}")) for k in keys]
+    return current.join(gone, same, "left_anti")
 
 
 def delete_where(current: DataFrame, owner_id, **equal) -> DataFrame:
@@ -33,7 +43,7 @@ def delete_where(current: DataFrame, owner_id, **equal) -> DataFrame:
 def replace_group(current: DataFrame, incoming: DataFrame, keys: Sequence[str], groups: DataFrame | None = None) -> DataFrame:
     """All rows of each group are replaced by the incoming ones; `groups` names groups that may become empty."""
     gone = incoming.select(*keys) if groups is None else incoming.select(*keys).unionByName(groups.select(*keys))
-    return current.join(gone.distinct(), list(keys), "left_anti").unionByName(incoming, allowMissingColumns=True)
+    return _without(current, gone, keys).unionByName(incoming, allowMissingColumns=True)
 
 
 def check_collection(table: DataFrame, size: int, vector: str = "embedding", sparse: bool = True) -> None:
@@ -45,9 +55,10 @@ def check_collection(table: DataFrame, size: int, vector: str = "embedding", spa
 
 
 class Snapshots:
-    """Versions of a table under one folder, each written whole; a pointer file names the current one.
+    """Versions of a table under one folder, each written whole; numbered pointer files name them, the highest counts.
 
-    Readers see the old version until the pointer is replaced, so a failed write changes nothing.
+    A pointer appears by one rename and is never replaced, so readers see the old version until then, there is always
+    a current one, and a failed write changes nothing. Of two writers that take the same number one fails.
     """
 
     def __init__(self, spark: SparkSession, path: str, partition: Sequence[str] = ("owner_id",)) -> None:
@@ -58,10 +69,16 @@ class Snapshots:
     def _p(self, name: str):
         return self._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
 
+    def _names(self) -> list[str]:
+        root = self._jvm.org.apache.hadoop.fs.Path(self.path)
+        return [s.getPath().getName() for s in self._fs.listStatus(root)] if self._fs.exists(root) else []
+
+    def _latest(self) -> int:
+        return max((int(n[8:]) for n in self._names() if n.startswith("CURRENT-") and n[8:].isdigit()), default=0)
+
     def current(self) -> str | None:
-        if not self._fs.exists(self._p("CURRENT")):
-            return None
-        return self.spark.read.text(f"{self.path}/CURRENT").first()[0]
+        number = self._latest()
+        return self.spark.read.text(f"{self.path}/CURRENT-{number}").first()[0] if number else None
 
     def read(self) -> DataFrame:
         name = self.current()
@@ -72,19 +89,23 @@ class Snapshots:
     def replace(self, rows: DataFrame) -> str:
         name = f"v-{uuid.uuid4().hex}"
         rows.write.partitionBy(*[c for c in self.partition if c in rows.columns]).parquet(f"{self.path}/{name}")
-        out = self._fs.create(self._p("CURRENT.new"), True)
+        number, fresh = self._latest() + 1, self._p(f"NEW-{name}")
+        out = self._fs.create(fresh, True)
         out.write(bytearray(name.encode()))
         out.close()
-        self._fs.delete(self._p("CURRENT"), True)
-        self._fs.rename(self._p("CURRENT.new"), self._p("CURRENT"))
+        pointer = self._p(f"CURRENT-{number}")
+        if self._fs.exists(pointer) or not self._fs.rename(fresh, pointer):
+            self._fs.delete(fresh, True)
+            raise RuntimeError(f"another writer has published version {number} of {self.path}")
         return name
 
     def drop_old(self) -> int:
-        keep, gone = {self.current(), "CURRENT"}, 0
-        for status in self._fs.listStatus(self._jvm.org.apache.hadoop.fs.Path(self.path)):
-            if (name := status.getPath().getName()) not in keep and name.startswith("v-"):
-                self._fs.delete(status.getPath(), True)
-                gone += 1
+        """Delete all but the current version and pointer; the number of versions that went."""
+        keep, gone = {self.current(), f"CURRENT-{self._latest()}"}, 0
+        for name in self._names():
+            if name not in keep and name.startswith(("v-", "CURRENT-", "NEW-")):
+                self._fs.delete(self._p(name), True)
+                gone += name.startswith("v-")
         return gone
 
 
