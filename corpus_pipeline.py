@@ -1,7 +1,13 @@
 """A corpus pipeline: toxic documents go, copies go, near copies go, sources are mixed to weight, texts become ids.
 
 Each stage takes (spark, docs, sf_dir) and works on all that the stage before kept; its result is written as
-Parquet and read again as the next one's documents.
+Parquet and read again as the next one's documents, after which the one before is deleted.
+
+Nulls: a null text is an empty one, which is clean, a copy of other empty texts, near to none, and never taken by the
+mix (it has no words); a null doc_id is a value like any other. Of repeated rows and of copies one row stays (most code
+points, then smallest doc_id), of near copies the one with the least doc_id. A row that the mix takes twice is encoded
+twice. Rows keep all their columns, whatever their names, up to the last stage, which returns doc_id, n_tokens and the
+digests of its ids and decoded bytes. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -9,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from folioforge.llm import byte_bpe, exact_dedup, jaccard_join, mixing, toxicity
-from folioforge.llm.common import materialise, table
+from folioforge.llm.common import materialise, release, table
 
 
 def filter_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -47,5 +53,7 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        docs = materialise(stage(spark, docs, sf_dir), f"stage-{name}")
+        before, docs = docs, materialise(stage(spark, docs, sf_dir), f"stage-{name}")
+        if hasattr(before, "stored_at"):
+            release(before)
     return STAGES[-1][1](spark, docs, sf_dir)

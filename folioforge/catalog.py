@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from folioforge.plans import common, graph_plans, job_plans, table_plans, text_plans  # noqa: F401  # the plans register themselves
+from folioforge.plans import common, graph_plans, job_plans, table_plans, text_plans, write_plans  # noqa: F401  # the plans register themselves
 
 FLAGSHIP = text_plans.FLAGSHIP
 

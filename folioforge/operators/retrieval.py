@@ -175,6 +175,24 @@ def hybrid_search(
     return rrf_fuse([dense, sparse], k, least, settings.rrf_k, key)
 
 
+def without(rows: DataFrame, excluded: DataFrame | None, key: str) -> DataFrame:
+    """The rows whose key is not among excluded(key)."""
+    return rows if excluded is None else rows.join(excluded.select(key).distinct(), key, "left_anti")
+
+
+def rule_search(rules: DataFrame, query_vector: Sequence[float], query: str, k: int = 6, excluded: DataFrame | None = None, settings=DEFAULTS) -> DataFrame:
+    """(rule_id, score, rank) of the k best rules(rule_id, statement, embedding) by both arms, without excluded(rule_id); no threshold."""
+    rows = without(rules, excluded, "rule_id")
+    texts = rows.select("rule_id", F.col("statement").alias("text"))
+    hits = hybrid_search(rows, postings(texts, "rule_id", query=query), texts.count(), query_vector, query, k, 0.0, "rule_id", settings)
+    return hits.withColumn("rank", F.row_number().over(Window.orderBy(F.round("score", 9).desc(), "rule_id")) - 1)  # k rows
+
+
+def similar_rules(rules: DataFrame, query_vector: Sequence[float], k: int = 5, least: float = 0.35, excluded: DataFrame | None = None) -> DataFrame:
+    """(rule_id, score) of the k nearest rules from the threshold on, without excluded(rule_id)."""
+    return dense_search(without(rules, excluded, "rule_id"), query_vector, k, least, tie="rule_id").select("rule_id", "score")
+
+
 def hash_embedding(text: Column, size: int = 64) -> Column:
     """A deterministic stand-in for an embedding model: hashed counts of tokens, scaled to length 1."""
     slots = F.transform(tokens(text), lambda t: F.pmod(F.xxhash64(t), F.lit(size)).cast("int"))

@@ -199,6 +199,58 @@ def unified_search(
     return Found(kept, applied, expanded, used, applied_links(used, links), mode)
 
 
+def legacy_search(
+    content: Search, rules: Callable[[], DataFrame], scoped: Callable[[DataFrame], DataFrame], *, documents: DataFrame, rule_table: DataFrame,
+    links: DataFrame, bindings: DataFrame, scope: DataFrame | None = None, top_k: int = 4, settings: Settings = DEFAULTS,
+) -> Found:
+    """The search along links between rules and their bindings, as it was before documents had links of their own.
+
+    content(scope, limit) and rules() as in `unified_search`; links(left_rule_id, right_rule_id, vector_score);
+    bindings(rule_id, document_id, version_id, ...); scoped(paths with path_id, document_ids) -> hits(path_id, chunk_id,
+    document_id, version_id, score). Failures of providers fall back as there: without rules to 'fallback', without paths
+    to the seeds and the root rules.
+    """
+    from folioforge.operators.rules import rule_paths
+    from folioforge.operators.writes import scoped_bindings
+
+    limit = min(2 * top_k, 40)
+    none = rule_table.limit(0).select(F.col("rule_id").alias("rule_node"), F.lit(0).alias("depth"), F.col("rule_id").alias("parent"), F.lit(True).alias("standalone"))
+    hits = latest_hits(content(scope, limit), documents).orderBy(F.col("score").desc(), "chunk_id")
+    seeds = hits.limit(min(top_k, settings.max_seeds))
+    if scope is not None and scope.isEmpty():
+        return Found(seeds.limit(0), none, hits.limit(0), none, links.limit(0), "content-only")
+    try:
+        asked = stored(rules(), "rule-hits")
+    except Exception:
+        log.warning("the search for rules failed", exc_info=True)
+        return Found(seeds, none, hits.limit(0), none, links.limit(0), "fallback")
+    roots = stored(root_rules(asked, rule_table, settings.relation_threshold, settings.max_root_rules).select("rule_id", "score"), "root-rules")  # at most two
+    alone = roots.select(F.col("rule_id").alias("rule_node"), F.lit(0).alias("depth"), F.lit(None).cast(roots.schema["rule_id"].dataType).alias("parent"), F.lit(True).alias("standalone"))
+    if scope is not None:
+        alone = alone.limit(0)
+    known = rule_table.select("rule_id")
+    live = links.join(known.withColumnRenamed("rule_id", "left_rule_id"), "left_rule_id", "left_semi").join(known.withColumnRenamed("rule_id", "right_rule_id"), "right_rule_id", "left_semi")
+    paths = stored(rule_paths(roots, live, scoped_bindings(bindings, known, documents, scope), settings.max_paths), "rule-paths")
+    try:
+        answered = stored(scoped(paths), "scoped-hits")
+    except Exception:
+        log.warning("the searches along paths failed", exc_info=True)
+        return Found(seeds, alone, hits.limit(0), paths.limit(0), links.limit(0), "content-only")
+    order = Window.orderBy(F.col("score").desc(), "path_id")  # two paths
+    ranked = paths.withColumn("path_rank", F.row_number().over(order))
+    more = latest_hits(answered, documents).join(ranked.select("path_id", "path_rank"), "path_id")
+    if more.isEmpty():
+        return Found(seeds, alone, hits.limit(0), paths.limit(0), links.limit(0), "content-only")
+    used = paths.join(more.select("path_id").distinct(), "path_id", "left_semi")
+    on_path = used.select(F.explode("document_ids").alias("document_id"))
+    flag = roots.sparkSession.range(1).select(F.lit(True).alias("flag"))
+    kept = prune_seeds(seeds, on_path, flag, settings.seed_keep_threshold)
+    expanded = best_per_chunk(more, kept, settings.max_expanded)
+    shaped = used.select(F.lit("rule").alias("root_kind"), F.col("root_rule").alias("root_node"), F.col("linked_rule").alias("via_node"))
+    applied = applied_rules(roots.withColumnRenamed("rule_id", "node_id"), shaped, scope is not None)
+    return Found(kept, applied, expanded, used, live, "content-only" if expanded.isEmpty() else "expanded")
+
+
 def _no_rules(nodes: DataFrame) -> DataFrame:
     """An empty table as `applied_rules` gives it."""
     none = F.lit(None).cast(nodes.schema["node_id"].dataType)

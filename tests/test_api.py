@@ -1,6 +1,7 @@
 import json
 
 import pytest
+from pyspark.sql import functions as F
 
 from folioforge.api import NotAllowed, Repository
 from folioforge.operators import models, search
@@ -31,6 +32,14 @@ def test_reading_tools(tables):
     assert r.get_document(U[0])["document"]["chunks"] == [{"chunk_id": "c1", "ordinal": 0}] and r.get_document(U[2])["document"] is None
     assert r.get_chunk("c1")["chunk"]["text"] == "work from home" and r.get_chunk("c4")["chunk"] is None
     assert r.get_ingestion_status("j1")["ingestion"]["stage"] == "failed"
+    with pytest.raises(ValueError):
+        r.list_documents(size=1001)
+
+
+def test_originals_of_another_version_are_refused(tables):
+    paths = tables["document_versions"].withColumn("storage_path", F.when(F.col("version_id") == "v1", F.concat_ws("/", "owner_id", "document_id", "version_id", F.lit("f.md"))).otherwise(F.col("storage_path")))
+    r = Repository(tables | {"document_versions": paths}, "o")
+    assert r.get_original(U[0])["original"]["storage_path"] == f"o/{U[0]}/v1/f.md" and r.get_original(U[1])["original"] is None
 
 
 def test_writing_tools(tables):
