@@ -149,9 +149,10 @@ def retrieved(docs: DataFrame, listed: DataFrame, templates: dict[str, str]) ->
     more = []
     if any(n - SHINGLE + 1 >= LONG for n in sizes):
         more.append(f"CASE WHEN i % {STEP} = 0 AND i < size(_h) THEN {_wide_keys(f'slice(_h, i + 1, {WIDE})')} ELSE array() END")
-    for n in sorted({n for n in sizes if n < SHINGLE}):
-        for j in (0, 1):
-            more.append(f"CASE WHEN i + {j + n} <= size(_w) THEN array(xxhash64({', '.join(f'_w[i + {j + k}]' for k in range(n))})) ELSE array() END")
+    # At the end of a text fewer words are hashed, which no template's value is made of.
+    tiny = [f"xxhash64({', '.join(f'get(_w, i + {j + k})' for k in range(n))})" for n in sorted({n for n in sizes if n < SHINGLE}) for j in (0, 1)]
+    if tiny:
+        more.append(f"array({', '.join(tiny)})")
     extra = f"concat({', '.join(more)})" if more else "cast(array() AS array<bigint>)"
     window = f"struct(get(_h, i) AS s0, get(_h, i + 1) AS s1, {extra} AS x)"
     rows = docs.select("doc_id", F.xxhash64("text").alias("k"), words_column(F.col("text")).alias("_w")).withColumn("_h", F.expr(_shingles_sql("_w")))
