@@ -69,7 +69,23 @@ def node_pair_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return m.groupBy("node", "other_node").agg(F.count(F.lit(1)).alias("n"), F.round(F.max("raw"), 6).alias("best"))
 
 
-@query()
+#: Links that each node chooses: up to three one-to-one pairs of segments, the best first, and their mean and coverage.
+_CHOSEN = f"""{_PAIRS}, m AS (SELECT node, other_node, segment AS a, other AS b, greatest(0, least(1, raw)) AS s FROM near WHERE r <= 30),
+p1 AS (SELECT * FROM m QUALIFY row_number() OVER (PARTITION BY node, other_node ORDER BY s DESC, a, b) = 1),
+p2 AS (SELECT m.* FROM m JOIN p1 USING (node, other_node) WHERE m.a <> p1.a AND m.b <> p1.b QUALIFY row_number() OVER (PARTITION BY node, other_node ORDER BY m.s DESC, m.a, m.b) = 1),
+p3 AS (SELECT m.* FROM m JOIN p1 USING (node, other_node) JOIN p2 USING (node, other_node) WHERE m.a NOT IN (p1.a, p2.a) AND m.b NOT IN (p1.b, p2.b) QUALIFY row_number() OVER (PARTITION BY node, other_node ORDER BY m.s DESC, m.a, m.b) = 1),
+size AS (SELECT vec_id // 10 AS node, count(*) AS c FROM v GROUP BY 1),
+g AS (SELECT node, other_node, count(*)::INT AS n_pairs, avg(s) AS mean FROM (SELECT * FROM p1 UNION ALL SELECT * FROM p2 UNION ALL SELECT * FROM p3) GROUP BY node, other_node),
+w AS (SELECT node, other_node, n_pairs, mean, least(1.0, n_pairs / greatest(1, least(3, x.c, y.c))) AS coverage FROM g JOIN size x USING (node) JOIN size y ON y.node = g.other_node),
+chosen AS (SELECT *, row_number() OVER (PARTITION BY node ORDER BY score DESC, other_node) AS rank FROM (SELECT *, greatest(0, least(1, 0.8 * mean + 0.2 * coverage)) AS score FROM w) WHERE score >= 0.35 QUALIFY rank <= 5)"""
+_H = "sha256('link:o:' || l || ':' || r)"
+#: The links after a rebuild: of a pair the choice of the node that came last.
+_REBUILT = f"""{_CHOSEN}, ends AS (SELECT least(node::VARCHAR, other_node::VARCHAR) AS l, greatest(node::VARCHAR, other_node::VARCHAR) AS r, score, coverage, n_pairs FROM chosen WHERE node > other_node),
+links AS (SELECT substr(h, 1, 8) || '-' || substr(h, 9, 4) || '-5' || substr(h, 14, 3) || '-' || substr('89ab', 1 + ('0x' || substr(h, 17, 1))::INT % 4, 1) || substr(h, 18, 3) || '-' || substr(h, 21, 12) AS link_id, l, r, score, coverage, n_pairs
+  FROM (SELECT *, {_H} AS h FROM ends))"""
+
+
+@query(f"WITH {_CHOSEN} SELECT node, other_node, round(score, 6) AS score, round(coverage, 6) AS coverage, n_pairs, rank::INT AS rank FROM chosen")
 def semantic_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _candidates(spark, sf_dir).select("node", "other_node", F.round("score", 6).alias("score"), F.round("coverage", 6).alias("coverage"), "n_pairs", "rank")
 
@@ -79,7 +95,7 @@ def _links(spark: SparkSession, sf_dir: str) -> DataFrame:
     return semantic.rebuild_links(_candidates(spark, sf_dir), s.select("node_id", F.col("node_id").alias("position")).distinct())
 
 
-@query()
+@query(f"WITH {_REBUILT} SELECT link_id, l AS left_node_id, r AS right_node_id, round(score, 6) AS semantic_score, round(coverage, 6) AS coverage_score, n_pairs AS matched_pair_count FROM links")
 def semantic_links_rebuild(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _links(spark, sf_dir).select("link_id", "left_node_id", "right_node_id", F.round("semantic_score", 6).alias("semantic_score"), F.round("coverage_score", 6).alias("coverage_score"), "matched_pair_count")
 
@@ -92,18 +108,23 @@ def _graph(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     return ids.select("node_id", kind.alias("node_kind"), F.col("node_id").alias("document_id"), F.col("node_id").alias("rule_id")), links.persist()
 
 
-@query()
+@query(f"WITH {_REBUILT} SELECT n AS node_id, count(*) AS relation_count FROM (SELECT l AS n FROM links UNION ALL SELECT r FROM links) GROUP BY n")
 def node_degree_semantic(spark: SparkSession, sf_dir: str) -> DataFrame:
     return semantic.degrees(_graph(spark, sf_dir)[1])
 
 
-@query()
+@query(f"""WITH {_REBUILT}, n AS (SELECT unnest(['3', '4']) AS n UNION SELECT l FROM links WHERE r IN ('3', '4') UNION SELECT r FROM links WHERE l IN ('3', '4'))
+SELECT link_id FROM links WHERE l IN (SELECT n FROM n) AND r IN (SELECT n FROM n)""")
 def one_hop_semantic(spark: SparkSession, sf_dir: str) -> DataFrame:
     nodes, links = _graph(spark, sf_dir)
     return semantic.one_hop(links, nodes.where("node_id IN ('3', '4')"))[1].select("link_id")
 
 
-@query()
+@query(f"""WITH {_REBUILT}, node AS (SELECT DISTINCT (vec_id // 10)::VARCHAR AS n, CASE WHEN (vec_id // 10) % 3 = 0 THEN 'rule' ELSE 'document' END AS kind FROM v),
+anchor AS (SELECT n FROM node WHERE kind = 'document' ORDER BY 'document ' || n, n LIMIT 250), allowed AS (SELECT n FROM anchor UNION SELECT n FROM node WHERE kind = 'rule'),
+shown AS (SELECT * FROM links WHERE l IN (SELECT n FROM allowed) AND r IN (SELECT n FROM allowed) AND (l IN (SELECT n FROM anchor) OR r IN (SELECT n FROM anchor)) ORDER BY score DESC, link_id LIMIT 1000),
+ends AS (SELECT l AS n FROM shown UNION ALL SELECT r FROM shown), deg AS (SELECT n, count(*) AS c FROM ends GROUP BY n)
+SELECT node.n AS node_id, kind AS node_kind, coalesce(c, 0) AS relation_count FROM node LEFT JOIN deg USING (n) WHERE node.n IN (SELECT n FROM anchor UNION SELECT n FROM deg) ORDER BY coalesce(c, 0) DESC, node.n LIMIT 250""".replace("ends AS (SELECT l AS n", "tips AS (SELECT l AS n").replace("FROM ends GROUP BY n)", "FROM tips GROUP BY n)"))
 def graph_view(spark: SparkSession, sf_dir: str) -> DataFrame:
     nodes, links = _graph(spark, sf_dir)
     docs = nodes.where("node_kind = 'document'").select("document_id", F.concat(F.lit("document "), "document_id").alias("title"))

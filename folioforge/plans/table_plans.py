@@ -111,7 +111,22 @@ def job_latest_state(spark: SparkSession, sf_dir: str) -> DataFrame:
 _KINDS = {"signup": "reupload", "click": "claim", "view": "stage", "purchase": "ready", "error": "failure"}
 
 
-@query()
+_STAGE_LIST = "[" + ", ".join(f"'{x}'" for x in repository.JOB_STAGES) + "]"
+
+
+@query(f"""
+WITH RECURSIVE ev AS (SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n, CASE event_type {" ".join(f"WHEN '{k}' THEN '{v}'" for k, v in _KINDS.items())} END AS kind,
+  (event_id % 2)::VARCHAR AS token, CASE WHEN event_type = 'view' THEN 'chunking' ELSE props END AS error, coalesce(value > 10, false) AS retryable FROM events),
+run AS (SELECT DISTINCT user_id, 0::BIGINT AS n, 'uploading' AS status, 'uploading' AS stage, 1 AS attempts, NULL::VARCHAR AS token, true AS original_available, NULL::VARCHAR AS last_error, 0 AS refused FROM events
+  UNION ALL SELECT user_id, n, CASE act WHEN 'claim' THEN 'processing' WHEN 'ready' THEN 'ready' WHEN 'fail' THEN 'failed' ELSE status END, CASE act WHEN 'claim' THEN 'parsing' WHEN 'stage' THEN error WHEN 'ready' THEN 'ready' WHEN 'fail' THEN 'failed' ELSE stage END,
+    attempts + CASE WHEN act = 'claim' AND status IN ('failed', 'processing') THEN 1 ELSE 0 END, CASE WHEN act = 'claim' THEN new_token ELSE token END, original_available,
+    CASE WHEN act IN ('claim', 'ready') THEN NULL WHEN act IN ('retry', 'fail') THEN substr(error, 1, 500) ELSE last_error END, refused + CASE WHEN act = 'refuse' THEN 1 ELSE 0 END
+  FROM (SELECT r.*, e.n AS m, e.token AS new_token, e.error, CASE
+      WHEN e.kind = 'claim' AND (r.status = 'uploading' OR (r.status = 'failed' AND r.original_available) OR (r.status = 'processing' AND r.token IS NOT DISTINCT FROM e.token)) THEN 'claim'
+      WHEN r.status = 'processing' AND r.token IS NOT DISTINCT FROM e.token THEN CASE WHEN e.kind = 'stage' AND list_position({_STAGE_LIST}, e.error) >= list_position({_STAGE_LIST}, r.stage) THEN 'stage' WHEN e.kind = 'ready' THEN 'ready'
+        WHEN e.kind = 'failure' THEN CASE WHEN e.retryable THEN 'retry' ELSE 'fail' END ELSE 'refuse' END ELSE 'refuse' END AS act
+    FROM (SELECT user_id, n + 1 AS n, status, stage, attempts, token, original_available, last_error, refused FROM run) r JOIN ev e ON e.user_id = r.user_id AND e.n = r.n))
+SELECT user_id AS job_id, status, stage, attempts, token, original_available, last_error, refused FROM run WHERE (user_id, n) IN (SELECT user_id, max(n) FROM ev GROUP BY user_id)""")
 def job_claim_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "events")
     kind = F.lit(None).cast("string")

@@ -105,11 +105,10 @@ def rule_toggles(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-SELECT c_custkey AS document_id, CASE WHEN c_nationkey % 2 = 0 AND c_custkey % 3 <> 0 THEN CASE WHEN EXISTS (SELECT 1 FROM orders o WHERE o_custkey = c_custkey AND (
-    EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o.o_orderkey AND l_linenumber = 7)
-    OR EXISTS (SELECT 1 FROM orders l JOIN lineitem ON l_linenumber = 7 AND l_orderkey = CASE WHEN l.o_orderkey = o.o_orderkey THEN l.o_orderkey + 1 ELSE l.o_orderkey END
-      WHERE l.o_orderkey % 4 = 0 AND l.o_orderkey IN (o.o_orderkey, o.o_orderkey - 1)))) THEN '' ELSE 'new' END
-  WHEN c_custkey % 3 <> 0 THEN 'old' ELSE '' END AS warning FROM customer""")
+WITH bound AS (SELECT DISTINCT l_orderkey AS k FROM lineitem WHERE l_linenumber = 7),
+near AS (SELECT o_orderkey AS k FROM orders WHERE o_orderkey % 4 = 0 AND o_orderkey + 1 IN (SELECT k FROM bound) UNION SELECT o_orderkey + 1 FROM orders WHERE o_orderkey % 4 = 0 AND o_orderkey IN (SELECT k FROM bound)),
+reached AS (SELECT DISTINCT o_custkey AS c FROM orders WHERE o_orderkey IN (SELECT k FROM bound UNION SELECT k FROM near))
+SELECT c_custkey AS document_id, CASE WHEN c_custkey % 3 = 0 THEN '' WHEN c_nationkey % 2 <> 0 THEN 'old' WHEN c_custkey IN (SELECT c FROM reached) THEN '' ELSE 'new' END AS warning FROM customer""")
 def stale_rule_warnings(spark: SparkSession, sf_dir: str) -> DataFrame:
     c, o, li = (table(spark, sf_dir, t) for t in ("customer", "orders", "lineitem"))
     docs = c.selectExpr("c_custkey AS rule_document_id", "CASE WHEN c_nationkey % 2 = 0 THEN 'ready' ELSE 'failed' END AS extraction_status", "CASE WHEN c_custkey % 3 <> 0 THEN 'old' END AS extraction_warning")
