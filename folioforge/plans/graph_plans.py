@@ -195,22 +195,40 @@ def rule_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("left_rule_id", "right_rule_id", F.round("vector_score", 6).alias("vector_score"))
 
 
-@query()
+_ASKED, _WITHIN = "license version the under", "version the under"
+
+
+@query(f"""
+WITH d AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\\p{{L}}\\p{{N}}]+'), lambda x: x <> '') AS t FROM documents), size AS (SELECT count(*) AS n FROM d),
+tok AS (SELECT doc_id, len(t) AS len, unnest(t) AS term FROM d), q AS (SELECT unnest({_ASKED.split()!r}) AS term),
+p AS (SELECT doc_id, term, any_value(len) AS len, count(*) AS tf FROM tok JOIN q USING (term) GROUP BY doc_id, term), idf AS (SELECT term, ln((any_value(n) - count(*) + 0.5) / (count(*) + 0.5) + 1) AS idf FROM p, size GROUP BY term),
+bm AS (SELECT doc_id, sum(idf * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len / 256.0))) AS score FROM p JOIN idf USING (term) GROUP BY doc_id),
+seed AS (SELECT * FROM (SELECT * FROM bm ORDER BY round(score, 9) DESC, doc_id::VARCHAR LIMIT 16) ORDER BY score DESC, doc_id::VARCHAR LIMIT 4),
+{_N}, node AS (SELECT n_nationkey AS n, {_KIND} AS kind FROM nation), ways AS (SELECT l AS a, r AS b, s FROM link UNION ALL SELECT r, l, s FROM link), goal AS (SELECT n FROM node WHERE kind = 'document' AND n IN (SELECT doc_id FROM documents)),
+path AS (SELECT * FROM (
+  SELECT 0 || '>' || b AS path_id, b AS target, (0.5 + s) / 2 AS score FROM ways JOIN goal ON n = b WHERE a = 0
+  UNION ALL SELECT 0 || '>' || x.b || '>' || y.b, y.b, (0.5 + x.s + y.s) / 3 FROM ways x JOIN node v ON v.n = x.b AND v.kind = 'rule' JOIN ways y ON y.a = x.b JOIN goal ON goal.n = y.b WHERE x.a = 0 AND y.b <> 0) ORDER BY score DESC, path_id LIMIT 2),
+within AS (SELECT unnest({_WITHIN.split()!r}) AS t), body AS (SELECT doc_id, lower(substr(text, 1, 40)) AS title, lower(concat_ws(' ', substr(text, 1, 40), coalesce(lang, ''), text)) AS b FROM documents WHERE doc_id IN (SELECT target FROM path)),
+hit AS (SELECT * FROM (SELECT doc_id, count(*) FILTER (contains(b, t)) AS m, bool_or(contains(title, t)) AS bonus FROM body, within GROUP BY doc_id) WHERE m > 0),
+more AS (SELECT doc_id, least(0.99, m / 3.0 + CASE WHEN bonus THEN 0.2 ELSE 0 END) AS score FROM hit),
+kept AS (SELECT * FROM seed WHERE NOT EXISTS (SELECT 1 FROM more) OR score > 0.5 OR doc_id IN (SELECT doc_id FROM more))
+SELECT 'seed' AS section, doc_id::VARCHAR AS chunk_id, round(score, 6) AS score FROM kept
+UNION ALL SELECT * FROM (SELECT 'expanded', doc_id::VARCHAR, round(score, 6) FROM more WHERE doc_id NOT IN (SELECT doc_id FROM kept) ORDER BY more.score DESC, doc_id::VARCHAR LIMIT 4)""")
 def unified_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Seeds by BM25 over all documents, rules and links over nations, second searches by BM25 within a path's document."""
     from folioforge.plans.common import documents_as_chunks
 
     chunks = documents_as_chunks(spark, sf_dir).withColumn("version_id", F.col("document_id")).withColumn("text", F.coalesce("text", F.lit("")))
-    index, size = retrieval.postings(chunks, query="license version the under"), chunks.count()
+    index, size = retrieval.postings(chunks, query=_ASKED), chunks.count()
     docs = chunks.select("document_id", F.col("version_id").alias("latest_version_id"))
 
     def content(scope: DataFrame | None, limit: int) -> DataFrame:
-        hits = retrieval.bm25_search(index, size, "license version the under", limit).join(chunks.select("chunk_id", "document_id", "version_id"), "chunk_id")
+        hits = retrieval.bm25_search(index, size, _ASKED, limit).join(chunks.select("chunk_id", "document_id", "version_id"), "chunk_id")
         return hits if scope is None else hits.join(scope, "document_id", "left_semi")
 
     def scoped(paths: DataFrame) -> DataFrame:
         hits = chunks.join(paths.select("path_id", "document_id"), "document_id")
-        return retrieval.lexical_scores(hits, "version the under").select("path_id", "chunk_id", "document_id", "version_id", "score")
+        return retrieval.lexical_scores(hits, _WITHIN).select("path_id", "chunk_id", "document_id", "version_id", "score")
 
     nodes = _nation_nodes(spark, sf_dir)
     asked = lambda: nodes.where("node_kind = 'rule'").select("rule_id", (F.lit(1.0) / (2 + F.col("rule_id"))).alias("score"), F.col("rule_id").alias("rank"))
