@@ -51,21 +51,22 @@ def exponential_key(doc_id: Column, weight: Column, seed: int = SEED) -> Column:
     return -F.log(u) / weight
 
 
-def _ranked(totals: DataFrame) -> DataFrame:
-    """The sources with `rank`: their place by code point from 0, null last. Sorted ranges are counted and numbered."""
+def _ranked(totals: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The sources with `rank`: their place by code point from 0, null last; and what it reads. Sorted ranges are counted and numbered."""
     ranges = materialise(totals.orderBy(F.col("source").asc_nulls_last()).withColumn("_range", F.spark_partition_id()), "mix-ranges")
     sizes = ranges.groupBy("_range").agg(F.count(F.lit(1)).alias("_n"))  # a row per partition
     before = sizes.withColumn("_before", F.sum("_n").over(Window.orderBy("_range")) - F.col("_n")).select("_range", "_before")
     inside = F.row_number().over(Window.partitionBy("_range").orderBy(F.col("source").asc_nulls_last())) - 1
-    return ranges.withColumn("_i", inside).join(F.broadcast(before), "_range").withColumn("rank", F.col("_before") + F.col("_i")).drop("_range", "_i", "_before")
+    return ranges.withColumn("_i", inside).join(F.broadcast(before), "_range").withColumn("rank", F.col("_before") + F.col("_i")).drop("_range", "_i", "_before"), ranges
 
 
 def source_targets(sizes: DataFrame, budget: float = BUDGET, cap: float = CAP, weights: tuple[float, ...] = WEIGHTS) -> DataFrame:
     """(source, source_size, target) from rows (source, size)."""
     array = F.array(*[F.lit(w) for w in weights])
-    rows = _ranked(sizes.groupBy("source").agg(F.sum("size").alias("source_size")))
+    rows, ranges = _ranked(sizes.groupBy("source").agg(F.sum("size").alias("source_size")))
     rows = rows.withColumn("weight", F.element_at(array, (F.col("rank") % len(weights) + 1).cast("int"))).withColumn("cap", F.col("source_size") * F.lit(cap))
     rows = materialise(rows.select("source", "source_size", "weight", "cap"), "mix-sources")
+    release(ranges)
     # Sources at their caps leave the rest to the others, whose share a unit of weight, the level, can only rise.
     total = rows.agg(F.sum("source_size")).first()[0] or 0
     level, capped = 0.0, -1

@@ -94,7 +94,10 @@ def binomial_tail(n: Column, k: Column, p: float) -> Column:
 
 
 def cutoffs(counts: DataFrame, labels: DataFrame, alpha: float = ALPHA, delta: float = DELTA) -> DataFrame:
-    """(stratum, cut_<rule>...): the cutoffs chosen, null where no step of the ladder could be taken."""
+    """(stratum, cut_<rule>...): the cutoffs chosen, null where no step of the ladder could be taken.
+
+    `counts` should be stored: filters on it would otherwise be pushed into the counting and repeat it word by word.
+    """
     good = labels.where(F.col("doc_id").isNotNull() & F.col("quality").isNotNull()).groupBy("doc_id").agg(F.min("quality").alias("good")).where("good = 1")
     rows = counts.where(~base_failed()).join(good.select("doc_id"), "doc_id", "left_semi")
     rejected = [F.count_if(_ratio(r) > c).alias(f"{r}_{j}") for r, (_, ladder) in RULES.items() for j, c in enumerate(ladder)]

@@ -448,7 +448,7 @@ def test_cutoffs_keep_good_documents(spark):
     rows = [(k, text(k), "en" if k < 900 else "de", "s") for k in range(1000)]
     docs = documents(spark, rows)
     labels = spark.createDataFrame([(k, int(k % 3 != 0 or k % 50 == 0), 0) for k in range(1000)], "doc_id long, quality int, toxic int")
-    cuts = {r.stratum: r for r in quality_rules.cutoffs(quality_rules.base_counts(docs, "doc_id", "lang"), labels).collect()}
+    cuts = {r.stratum: r for r in quality_rules.cutoffs(quality_rules.materialise(quality_rules.base_counts(docs, "doc_id", "lang"), "counts"), labels).collect()}
     assert cuts["en"].cut_dup_lines == 0.1 and cuts["de"].cut_dup_lines is None
     got = {r.doc_id: r for r in quality_rules.judge(docs, labels).collect()}
     good = [k for k in range(900) if k % 3 != 0 or k % 50 == 0]
