@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import materialise, release
 from .components import components
 
 SHINGLE = 5
@@ -185,23 +185,25 @@ def sketches(docs: DataFrame, runs: int) -> DataFrame:
     return _ids(docs).mapInArrow(run, "id long, a long, b long, n long, nodes array<struct<level int, parent long, path long>>")
 
 
-def _final_buckets(heads: DataFrame, depth: int = DEPTH) -> DataFrame:
-    """(root, head): the members of the buckets of two sets or more that are not split again, by the least member of each."""
+def _final_buckets(heads: DataFrame, depth: int = DEPTH) -> tuple[DataFrame, list[DataFrame]]:
+    """(root, head): the members of the buckets of two sets or more that are not split again, by the least member of each; and what it reads."""
     nodes = heads.select("head", F.explode("nodes").alias("node")).select("head", "node.*")
-    found, parents = None, None
+    found, parents, written = None, None, []
     for level in range(1, depth + 1):
         own = nodes.where(F.col("level") == level)
         if parents is not None:
             own = own.join(parents, "parent", "left_semi")
             own = materialise(own.select("path", "head"), f"split-{level}")
+            written.append(own)
         else:
             own = own.select("path", "head")
         sizes = materialise(own.groupBy("path").agg(F.count(F.lit(1)).alias("c"), F.min("head").alias("root")).where("c > 1"), f"buckets-{level}")
+        written.append(sizes)
         ready = sizes if level == depth else sizes.where(F.col("c") <= SMALL)
         part = own.join(ready.select("path", "root"), "path").select("root", "head")
         found = part if found is None else found.unionByName(part)
         parents = sizes.where(F.col("c") > SMALL).select(F.col("path").alias("parent"))
-    return found.distinct()
+    return found.distinct(), written
 
 
 def _members(docs: DataFrame, stars: DataFrame, heads: DataFrame) -> DataFrame:
@@ -327,14 +329,17 @@ def near_duplicates(docs: DataFrame, recall: float = RECALL) -> DataFrame:
     made = materialise(sketches(docs, runs_needed(recall)), "sketches")
     sets = made.where("n > 0")
     heads = materialise(sets.groupBy("a", "b").agg(F.min("id").alias("head"), F.count(F.lit(1)).alias("copies"), F.first("nodes").alias("nodes")), "heads")
-    stars = materialise(_final_buckets(heads), "stars")
+    buckets, written = _final_buckets(heads)
+    stars = materialise(buckets, "stars")
+    release(*written)
     dealt = _members(docs, stars, heads).repartition("root", "i", "j").sortWithinPartitions("root", "i", "j", "id")
     found = materialise(dealt.mapInArrow(_compare, "id long, links long, low long"), "links")
     links = found.groupBy("id").agg(F.sum("links").alias("links"))
     roots = components(found.select(F.col("id").alias("u"), F.col("low").alias("v")))
     reps = heads.select("a", "b", "head", "copies").join(links.withColumnRenamed("id", "head"), "head", "left")
     reps = reps.join(roots.withColumnRenamed("node", "head"), "head", "left")
-    reps = reps.select("a", "b", F.coalesce("root", "head").alias("class"), (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"))
+    reps = materialise(reps.select("a", "b", F.coalesce("root", "head").alias("class"), (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links")), "classes")
+    release(heads, stars, found)
     full = sets.select("id", "a", "b").join(reps, ["a", "b"]).select("id", "class", "n_links")
     every = full.unionByName(made.where("n = 0").select("id", F.col("id").alias("class"), F.lit(0).cast("long").alias("n_links")))
     return every.select(F.nullif("id", F.lit(_NULL)).alias("doc_id"), F.nullif("class", F.lit(_NULL)).alias("class_id"), "n_links")
