@@ -6,7 +6,21 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import byte_bpe, exact_dedup, jaccard_join, license_scan, mixing, quality_model, quality_rules, sharding, suffix_dedup, toxicity
+from . import (
+    byte_bpe,
+    conversation_repair,
+    decontamination,
+    exact_dedup,
+    jaccard_join,
+    license_scan,
+    mixing,
+    quality_model,
+    quality_rules,
+    sharding,
+    source_divergence,
+    suffix_dedup,
+    toxicity,
+)
 from .common import table
 
 
@@ -51,8 +65,21 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return source_divergence.audit(table(spark, sf_dir, "documents"))
+
+
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation_repair.repair(conversation_repair.damage(table(spark, sf_dir, "conversations")))
+
+
+def op13_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = [op1_suffix_dedup, op2_byte_bpe, op3_jaccard_join, op4_quality_classifier, op5_exact_dedup, op6_license_scan, op7_source_mixing, op8_toxicity, op9_sharding, op10_quality_rules]
+    found += [op11_source_divergence, op12_conversation_repair, op13_benchmark_decontamination]
     return {f.__name__: f for f in found}
 
 
@@ -126,6 +153,88 @@ bad AS (SELECT DISTINCT doc_id FROM f JOIN cut ON f.lang IS NOT DISTINCT FROM cu
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND doc_id NOT IN (SELECT doc_id FROM bad) AS kept FROM f"""
 
 
+_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+
+
+def _divergence_sql() -> str:
+    m = source_divergence
+    share = lambda c, n: f"(1 + ({m.SCALE}::HUGEINT * ({c} + {m.PRIOR})) // ({n} + {m.PRIOR}::HUGEINT * v))::BIGINT"
+    return rf"""
+WITH d AS (SELECT row_number() OVER () AS id, coalesce(lang, '') AS lang, coalesce(source, '') AS source, translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}') AS text FROM documents),
+t AS (SELECT id, lang, source, unnest(regexp_extract_all(text, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM d),
+kept AS (SELECT lang, term, count(*) AS total FROM t GROUP BY lang, term HAVING count(DISTINCT id) >= {m.MIN_DOCS}),
+n AS (SELECT lang, source, term, count(*) AS n FROM t SEMI JOIN kept USING (lang, term) GROUP BY lang, source, term),
+g AS (SELECT DISTINCT lang, source FROM d),
+v AS (SELECT lang, count(*) AS v, sum(total) AS lang_n FROM kept GROUP BY lang),
+gn AS (SELECT g.lang, g.source, coalesce(sum(n.n), 0) AS group_n FROM g LEFT JOIN n USING (lang, source) GROUP BY g.lang, g.source),
+p AS (SELECT gn.lang, gn.source, kept.term, coalesce(n.n, 0) AS c, {share("coalesce(n.n, 0)", "group_n")} AS p, {share("kept.total", "lang_n")} AS q
+  FROM gn JOIN kept USING (lang) JOIN v USING (lang) LEFT JOIN n USING (lang, source, term)),
+f AS (SELECT a.lang, a.source, b.source AS item, sum(abs(a.p - b.p)) AS value FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+r AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(f.value, 0)::BIGINT AS value FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source
+  LEFT JOIN f ON f.lang = a.lang AND f.source = a.source AND f.item = b.source
+  UNION ALL SELECT lang, source, 'term', term, p - q FROM p WHERE c > 0 AND p > q),
+k AS (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item)::INTEGER AS rank FROM r)
+SELECT lang, source, part, item, value, rank FROM k WHERE part = 'pair' OR rank <= {m.TOP_TERMS}"""
+
+
+def _repair_sql() -> str:
+    """A recursion over turns that carries cost, audit and repaired text of the four states as they are."""
+    m = conversation_repair
+    names, far = {"u": "user", "a": "assistant"}, 10**12
+    crc = "list_transform(range(256), lambda i: list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, x: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END))"
+    state = lambda cost, audit, text: f"{{'c': {cost}, 'a': {audit}, 'r': {text}}}"
+    column = dict(zip(m.STATES, ("sn", "ss", "su", "sa"), strict=True))
+
+    def least(new: str) -> str:
+        options = [state(f"p.{column[new]}.c + {m.DELETE}", f"p.{column[new]}.a || 'D'", f"p.{column[new]}.r")]
+        for old in m.STATES if new != "-" else "":
+            gap = m.BETWEEN.get(old + new)
+            if gap is None:
+                continue
+            filled = "".join(f"chr(10) || '{names[x]}:' || " for x in gap)
+            for edit, price, when, role in (("K", 0, f"x.ini = '{new}'", "x.role"), ("R", m.REROLE, "true", f"'{names.get(new)}'")):
+                if edit == "R" and new == "s":
+                    continue
+                cost = f"CASE WHEN x.fault IN ('k', 't') AND {when} THEN p.{column[old]}.c + {m.INSERT * len(gap) + price} + CASE x.fault WHEN 't' THEN {m.TRUNCATED} ELSE 0 END ELSE {far} END"
+                options.append(state(cost, f"p.{column[old]}.a || '{'I' * len(gap)}{edit}'", f"p.{column[old]}.r || {filled}chr(10) || {role} || ':' || x.text"))
+        return f"list_sort([{', '.join(options)}])[1]"
+
+    def end(old: str) -> str:
+        filled = "".join(f" || chr(10) || '{names[x]}:'" for x in m.ENDING[old])
+        return state(f"{column[old]}.c + {m.INSERT * len(m.ENDING[old])}", f"{column[old]}.a || '{'I' * len(m.ENDING[old])}'", f"{column[old]}.r{filled}")
+
+    return rf"""
+WITH RECURSIVE c AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ') AS k FROM conversations),
+e AS (SELECT c.*, xor(list_reduce(list_prepend(4294967295, list_transform(range(1, length(k) + 1), lambda i: ascii(k[i])::BIGINT)), lambda h, b: xor(h >> 8, t[(xor(h, b) & 255) + 1])), 4294967295) % 20 AS code FROM c, (SELECT {crc} AS t)),
+r AS (SELECT conv_id, turn, CASE code WHEN 4 THEN 'user' ELSE role END AS role, CASE code WHEN 1 THEN '' WHEN 2 THEN translate(text, '.!?', '') ELSE text END AS text, unnest(range(CASE code WHEN 3 THEN 2 ELSE 1 END)) FROM e WHERE code <> 0),
+o AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS i FROM r),
+s AS (SELECT *, left(role, 1) AS ini, left(lag(role) OVER (PARTITION BY conv_id ORDER BY i), 1) AS before, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 AS again FROM o),
+f AS (SELECT *, CASE WHEN NOT regexp_matches(text, '[^\x20\x09-\x0D]') THEN 'b' WHEN again THEN 'd' WHEN regexp_extract(text, '([^\x20\x09-\x0D])[\x20\x09-\x0D]*$', 1) NOT IN ('.', '!', '?') THEN 't' ELSE 'k' END AS fault FROM s),
+z AS (SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 'b') AS blank, count(*) FILTER (fault = 'd') AS duplicate, count(*) FILTER (fault = 't') AS truncated,
+  count(*) FILTER (i > 1 AND before || ini NOT IN ('su', 'ua', 'au')) AS illegal, count(*) AS n FROM f GROUP BY conv_id),
+p AS (SELECT conv_id, 0::BIGINT AS i, {", ".join(f"{state(f'{0 if x == "-" else far}::BIGINT', "''", "''")} AS {column[x]}" for x in m.STATES)} FROM z
+  UNION ALL SELECT p.conv_id, p.i + 1, {", ".join(f"{least(x)} AS {column[x]}" for x in m.STATES)} FROM p JOIN f x ON x.conv_id IS NOT DISTINCT FROM p.conv_id AND x.i = p.i + 1),
+b AS (SELECT p.conv_id, list_sort([{", ".join(end(x) for x in m.STATES)}])[1] AS best FROM p JOIN z ON p.conv_id IS NOT DISTINCT FROM z.conv_id AND p.i = z.n)
+SELECT c.conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0)::BIGINT AS blank, coalesce(duplicate, 0)::BIGINT AS duplicate, coalesce(truncated, 0)::BIGINT AS truncated, coalesce(illegal, 0)::BIGINT AS illegal,
+  coalesce(best.c, 0)::BIGINT AS cost, coalesce(best.a, '') AS audit, sha256(substr(coalesce(best.r, ''), 2)) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) c LEFT JOIN z ON z.conv_id IS NOT DISTINCT FROM c.conv_id LEFT JOIN b ON b.conv_id IS NOT DISTINCT FROM c.conv_id"""
+
+
+def _decontamination_sql() -> str:
+    n = decontamination.WINDOW
+    words = lambda t: rf"regexp_extract_all(translate(coalesce({t}, ''), '{_UPPER}', '{_LOWER}'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+    return rf"""
+WITH d AS (SELECT row_number() OVER () AS id, doc_id, {words("text")} AS w FROM documents),
+i AS (SELECT coalesce(item_id::VARCHAR, '') AS item, {words("text")} AS w FROM benchmark),
+win AS (SELECT DISTINCT item, least(len(w), {n}) AS k, array_to_string(w[p:p + least(len(w), {n}) - 1], ' ') AS s FROM (SELECT item, w, unnest(range(1, greatest(len(w) - {n - 1}, 1) + 1)) AS p FROM i WHERE len(w) > 0)),
+g AS (SELECT id, k, p, array_to_string(w[p:p + k - 1], ' ') AS s FROM (SELECT id, w, k, unnest(range(1, len(w) - k + 2)) AS p FROM d, (SELECT DISTINCT k FROM win))),
+m AS (SELECT id, item, k, p FROM g JOIN win USING (k, s)),
+h AS (SELECT id, count(DISTINCT word) AS n FROM (SELECT id, unnest(range(p, p + k)) AS word FROM m) GROUP BY id),
+t AS (SELECT id, count(*) AS n, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT id, item FROM m) GROUP BY id)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(h.n, 0)::BIGINT AS n_hit, coalesce(t.n, 0)::BIGINT AS n_items, sha256(coalesce(t.items, '')) AS items_sha256, coalesce(h.n, 0) > 0 AS contaminated
+FROM d LEFT JOIN h USING (id) LEFT JOIN t USING (id)"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {
         "op5_exact_dedup": f"""
@@ -138,4 +247,7 @@ FROM d""",
         "op7_source_mixing": _mixing_sql(),
         "op10_quality_rules": _rules_sql(),
         "op9_sharding": _sharding_sql(),
+        "op11_source_divergence": _divergence_sql(),
+        "op12_conversation_repair": _repair_sql(),
+        "op13_benchmark_decontamination": _decontamination_sql(),
     }

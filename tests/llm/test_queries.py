@@ -22,7 +22,7 @@ def texts(spark, sf):
 @pytest.mark.parametrize("name", sorted(queries.oracle_sql()))
 def test_query_matches_sql(spark, sf, name):
     con = duckdb.connect()
-    for t in ("documents", "labels"):
+    for t in ("documents", "labels", "benchmark", "conversations"):
         con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{sf}/{t}.parquet'")
     got, expected = queries.queries()[name](spark, sf).toPandas(), con.sql(queries.oracle_sql()[name]).df()
     names = sorted(got.columns)
