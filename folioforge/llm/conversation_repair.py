@@ -9,7 +9,7 @@ The retained turns (kept or reroled) are a subsequence, and the role of the last
 yet, s, u or a. So for each of these the least cost less the deletions up to there (a prefix sum, 4 a turn) is kept as a running
 minimum; a turn that is retained next adds the difference of the prefix sums, the inserts that the pair of roles asks for and
 its own price. Of equal costs the least audit stays: the audits of two states never are prefixes of one another, so their
-order is kept as a rank beside the costs and no string is built on the way. Costs and ranks relative to the least one take few
+order is kept as a rank beside the costs and no string is built on the way. Costs relative to the least one, up to HOPELESS, and ranks take few
 values, so a step is looked up in a table that fills itself. Deletions stand before inserts in a gap, as D < I.
 
 Conversations of any length: rows are sorted in ranges over all tasks, and conversations that lie in one range and fit CHUNK turns
@@ -36,6 +36,9 @@ from pyspark.sql import functions as F
 from .common import BLANKS, materialise, release
 
 REROLE, DELETE, INSERT, TRUNCATED = 3, 4, 3, 3
+#: A state that costs so much more than another never ends cheaper: whatever follows it, the other can follow with one turn
+#: deleted and two inserted.
+HOPELESS = 20
 #: Turns of a chunk, and bytes of text after which it ends.
 CHUNK, CHUNK_BYTES = 1000, 1 << 20
 _NONE, _FAR = 0, 1 << 40
@@ -71,7 +74,7 @@ def step(least: tuple[int, ...], rank: tuple[int, ...], role: str, fault: str) -
     ranks = [0] * 4
     for k, y in enumerate(order):
         ranks[y] = k
-    return tuple(min(b[0] - low, _FAR) for b in best), tuple(ranks), low, tuple((b[3], b[2][-1]) for b in best)
+    return tuple(b[0] - low if b[0] - low <= HOPELESS else _FAR for b in best), tuple(ranks), low, tuple((b[3], b[2][-1]) for b in best)
 
 
 def walk(turns: list[tuple[str, str]], state: int) -> tuple[list[int], list[int], list[tuple]]:
@@ -163,7 +166,7 @@ def faults(turns: DataFrame) -> tuple[DataFrame, DataFrame]:
     return met.select("conv_id", "turn", "role", "text", fault.alias("fault"), "at"), rows
 
 
-def _chunks(rows: DataFrame, texts: bool) -> DataFrame:
+def _chunks(rows: DataFrame, texts: bool, most: int) -> DataFrame:
     """Sorted rows -> a row per conversation that ends here, and a row per chunk of the others.
 
     The first and the last conversation of a range may go on in others, so they are chunks.
@@ -203,7 +206,7 @@ def _chunks(rows: DataFrame, texts: bool) -> DataFrame:
                     out.append((chunk if first or seq else whole)(now, held, serial))
                     weight += size + 100
                     held, size, seq, serial, first = [], 0, 0, serial + 1, False
-                elif len(held) >= CHUNK or size >= CHUNK_BYTES:
+                elif len(held) >= most or size >= CHUNK_BYTES:
                     out.append(chunk(now, held, serial))
                     weight += size + 100
                     held, size, seq, serial = [], 0, seq + 1, serial + 1
@@ -306,28 +309,28 @@ def _digests(pieces: DataFrame) -> DataFrame:
     return rows.select("conv_id", "report", "audit", "repaired").mapInArrow(run, f"conv_id {conv}, report struct<{_REPORT}>, audit string, repaired_sha256 string")
 
 
-def _walked(turns: DataFrame, texts: bool) -> tuple[DataFrame, DataFrame]:
+def _walked(turns: DataFrame, texts: bool, chunk: int) -> tuple[DataFrame, DataFrame]:
     """The conversations and chunks of `_chunks`, and the pieces of the chunks."""
     rows, read = faults(turns)
     ordered = rows.repartitionByRange("conv_id", "turn", "role", "text", "at").sortWithinPartitions("conv_id", "turn", "role", "text", "at")
-    made = materialise(_chunks(ordered, texts), "conversations")
+    made = materialise(_chunks(ordered, texts, chunk), "conversations")
     release(read)
     chunks = made.where("not whole")
     return made, _pieces(chunks, materialise(_paths(chunks), "paths"), texts)
 
 
-def repair(turns: DataFrame) -> DataFrame:
+def repair(turns: DataFrame, chunk: int = CHUNK) -> DataFrame:
     """conv_id, gaps, blank, duplicate, truncated, illegal, cost, audit, repaired_sha256 of every conversation.
 
     `turns` has conv_id, turn, role, text and may have `present`: a row where it is false only names its conversation.
     """
-    made, pieces = _walked(turns, False)
+    made, pieces = _walked(turns, False, chunk)
     out = made.where("whole").select("conv_id", "report", "audit", "repaired_sha256").unionByName(_digests(pieces))
     return out.select("conv_id", "report.*", "audit", "repaired_sha256")
 
 
-def repaired_turns(turns: DataFrame) -> DataFrame:
+def repaired_turns(turns: DataFrame, chunk: int = CHUNK) -> DataFrame:
     """(conv_id, part, seq, i, edit, role, text): the turns that stay, in the order of part, seq and i; edit is K, R or I."""
-    made, pieces = _walked(turns, True)
+    made, pieces = _walked(turns, True, chunk)
     both = made.where("whole").select("conv_id", "part", "seq", "turns").unionByName(pieces.select("conv_id", "part", "seq", "turns"))
     return both.select("conv_id", "part", "seq", F.posexplode("turns").alias("i", "t")).where("t.edit != 'D'").select("conv_id", "part", "seq", "i", "t.*")
