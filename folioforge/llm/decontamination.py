@@ -77,13 +77,18 @@ class Class:
         self.shift = np.full(1 << self.bits, min(steps, 255), dtype=np.uint8)
         for end in range(max(self.block, self.m - 254), self.m + 1):  # from far to near, so the least shift stays
             self.shift[self.slots(_read(text, start + end - self.block, self.block))] = self.m - end
-        keys = _mixed(_read(text, start + self.m - self.block, self.block), _read(text, start), _read(text, start + length - np.minimum(length, 8)), length)
+        keys = self.bucket(text, start, length)
         order = np.argsort(keys, kind="stable")
         self.keys, self.which = keys[order], which[order]
 
     def slots(self, block: np.ndarray) -> np.ndarray:
         return ((block * _K) >> _U(64 - self.bits)).astype(np.int64)
 
+    def bucket(self, data: np.ndarray, at: np.ndarray, length: np.ndarray) -> np.ndarray:
+        """A hash of the block, the first and last bytes and the length of the windows at these places."""
+        ends = [_read(data, at, length), _read(data, at + length - np.minimum(length, 8), length)]
+        return _mixed(_read(data, at + self.m - self.block, self.block), *ends, length)
+
     def candidates(self, data: np.ndarray) -> np.ndarray:
         """Places at which a window may begin, found by shifts."""
         n = len(data) - 8
@@ -150,7 +155,7 @@ class Patterns:
             length = gaps[first + c.words] + 1 - at
             fits = length >= c.m
             at, first, length = at[fits], first[fits], length[fits]
-            keys = _mixed(_read(data, at + c.m - c.block, c.block), _read(data, at), _read(data, at + length - np.minimum(length, 8)), length)
+            keys = c.bucket(data, at, length)
             low, high = np.searchsorted(c.keys, keys, "left"), np.searchsorted(c.keys, keys, "right")
             n = high - low
             each = np.repeat(np.arange(len(at)), n)
