@@ -18,7 +18,8 @@ several stars counts in the one with the least root, so links are exact counts w
 report the component of each member, and components are joined over stars by alternating stars of edges.
 
 Nulls: a null text has no words; a null doc_id is a value, less than any other, that comes back as null.
-Repeated rows are copies of one another. Different texts under one doc_id share a class. Very long texts are
+Repeated rows are copies of one another. Sets have numbers of their own and rows are known by doc_id and a hash of the
+text, so different texts under one doc_id, or under none, are compared and classed each for itself. Very long texts are
 hashed in blocks. Empty tables give empty results; extra columns do no harm.
 """
 
@@ -29,7 +30,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import materialise, release
@@ -155,17 +156,21 @@ def _data(text) -> np.ndarray:
     return np.frombuffer(raw, dtype=np.uint8) if raw is not None and raw.size else np.zeros(0, dtype=np.uint8)
 
 
-def _ids(docs: DataFrame) -> DataFrame:
-    """id (a null doc_id as the least long) and the text as bytes."""
-    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_NULL)).alias("id"), F.coalesce("text", F.lit("")).cast("binary").alias("text"))
+def _ids(docs: DataFrame, *more: Column) -> DataFrame:
+    """id (a null doc_id as the least long), h (a hash of the text), and what else is asked for."""
+    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_NULL)).alias("id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("h"), *more)
+
+
+def _texts(docs: DataFrame) -> DataFrame:
+    return _ids(docs, F.coalesce("text", F.lit("")).cast("binary").alias("text"))
 
 
 def sketches(docs: DataFrame, runs: int) -> DataFrame:
-    """(id, a, b, n, nodes): the key and size of each set and its buckets as (level, parent, path)."""
+    """(id, h, a, b, n, nodes): the key and size of each set and its buckets as (level, parent, path)."""
 
     def part(batch: pa.RecordBatch) -> pa.RecordBatch:
         a, b, n, offsets, nodes = [], [], [], [0], []
-        for text in batch.column(1):
+        for text in batch.column(2):
             tokens = shingles(_data(text))
             x, y = set_key(tokens)
             a.append(x)
@@ -175,14 +180,14 @@ def sketches(docs: DataFrame, runs: int) -> DataFrame:
             offsets.append(offsets[-1] + len(nodes[-1][0]))
         columns = [pa.array(np.concatenate([x[k] for x in nodes])) for k in range(3)]
         listed = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.StructArray.from_arrays(columns, names=["level", "parent", "path"]))
-        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(n, pa.int64()), listed], names=["id", "a", "b", "n", "nodes"])
+        return pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(n, pa.int64()), listed], names=["id", "h", "a", "b", "n", "nodes"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 1000):
                 yield part(batch.slice(at, 1000))
 
-    return _ids(docs).mapInArrow(run, "id long, a long, b long, n long, nodes array<struct<level int, parent long, path long>>")
+    return _texts(docs).mapInArrow(run, "id long, h long, a long, b long, n long, nodes array<struct<level int, parent long, path long>>")
 
 
 def _final_buckets(heads: DataFrame, depth: int = DEPTH) -> tuple[DataFrame, list[DataFrame]]:
@@ -207,22 +212,27 @@ def _final_buckets(heads: DataFrame, depth: int = DEPTH) -> tuple[DataFrame, lis
 
 
 def _members(docs: DataFrame, stars: DataFrame, heads: DataFrame) -> DataFrame:
-    """(root, i, j, block, id, copies, roots, tokens): the members of each star with their sets."""
+    """(root, i, j, block, id, copies, roots, tokens): the members of each star with their sets; id is the number of the set."""
     sizes = stars.groupBy("root").agg(F.count(F.lit(1)).alias("members")).select("root", F.ceil(F.col("members") / BLOCK).cast("int").alias("blocks"))
     placed = stars.join(sizes, "root")
     per = placed.groupBy("head").agg(F.collect_set(F.struct("root", "blocks")).alias("stars"))  # buckets of one set: bounded by its runs
-    wanted = per.join(heads.select("head", "copies", "a"), "head")
-    joined = _ids(docs).join(wanted, F.col("id") == F.col("head"))
+    wanted = per.join(heads.select("head", "copies", "a", "b", F.col("id").alias("own_id"), F.col("h").alias("own_h")), "head")
+    joined = _texts(docs).join(wanted, (F.col("id") == F.col("own_id")) & (F.col("h") == F.col("own_h")))
     schema = "root long, i int, j int, block int, id long, copies long, roots array<long>, tokens binary"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        done = set()  # a repeated row is fetched again
         for batch in batches:
             out: list[list] = [[] for _ in range(8)]
-            for id_, text, stars_, copies, a in zip(*batch.columns, strict=True):
+            for head, text, stars_, copies, a, b in zip(*batch.columns, strict=True):
+                head = head.as_py()
+                if head in done:
+                    continue
                 tokens = shingles(_data(text))
-                if set_key(tokens)[0] != a.as_py():  # another text under the same doc_id
+                if set_key(tokens) != (a.as_py(), b.as_py()):  # another text of the same hash
                     continue
-                raw, head = tokens.tobytes(), id_.as_py()
+                done.add(head)
+                raw = tokens.tobytes()
                 own = [(s["root"], s["blocks"]) for s in stars_.as_py()]
                 roots = sorted(r for r, _ in own)
                 for root, blocks in own:
@@ -241,7 +251,7 @@ def _members(docs: DataFrame, stars: DataFrame, heads: DataFrame) -> DataFrame:
             [pa.array(c, t) for c, t in zip(out, types, strict=True)], names=["root", "i", "j", "block", "id", "copies", "roots", "tokens"]
         )
 
-    return joined.select("id", "text", "stars", "copies", "a").mapInArrow(run, schema)
+    return joined.select("head", "text", "stars", "copies", "a", "b").mapInArrow(run, schema)
 
 
 def intersections(sets: list[np.ndarray], columns: int = 4096) -> np.ndarray:
@@ -321,14 +331,11 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield work(held)
 
 
-def near_duplicates(docs: DataFrame, recall: float = RECALL) -> DataFrame:
-    """One row per input row: doc_id, class_id (least doc_id of its component of links), n_links.
-
-    n_links counts the other rows whose similarity to this one is at least SIMILARITY, copies included.
-    """
+def _classes(docs: DataFrame, recall: float) -> tuple[DataFrame, DataFrame]:
+    """(id, h, a, b, n) of every row, and (a, b, least, n_links) of every set: the least (id, h) of its class and its links."""
     made = materialise(sketches(docs, runs_needed(recall)), "sketches")
-    sets = made.where("n > 0")
-    heads = materialise(sets.groupBy("a", "b").agg(F.min("id").alias("head"), F.count(F.lit(1)).alias("copies"), F.first("nodes").alias("nodes")), "heads")
+    firsts = made.where("n > 0").groupBy("a", "b").agg(F.min(F.struct("id", "h")).alias("least"), F.count(F.lit(1)).alias("copies"), F.first("nodes").alias("nodes"))
+    heads = materialise(firsts.select("a", "b", "least.*", "copies", "nodes", F.monotonically_increasing_id().alias("head")), "heads")
     buckets, written = _final_buckets(heads)
     stars = materialise(buckets, "stars")
     release(*written)
@@ -336,17 +343,36 @@ def near_duplicates(docs: DataFrame, recall: float = RECALL) -> DataFrame:
     found = materialise(dealt.mapInArrow(_compare, "id long, links long, low long"), "links")
     links = found.groupBy("id").agg(F.sum("links").alias("links"))
     roots = components(found.select(F.col("id").alias("u"), F.col("low").alias("v")))
-    reps = heads.select("a", "b", "head", "copies").join(links.withColumnRenamed("id", "head"), "head", "left")
-    reps = reps.join(roots.withColumnRenamed("node", "head"), "head", "left")
-    reps = materialise(reps.select("a", "b", F.coalesce("root", "head").alias("class"), (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links")), "classes")
-    release(heads, stars, found)
-    full = sets.select("id", "a", "b").join(reps, ["a", "b"]).select("id", "class", "n_links")
+    sets = heads.select("a", "b", "head", "id", "h", "copies").join(links.withColumnRenamed("id", "head"), "head", "left")
+    sets = sets.join(roots.withColumnRenamed("node", "head"), "head", "left")
+    sets = materialise(sets.select("a", "b", F.coalesce("root", "head").alias("root"), "id", "h", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links")), "sets")
+    least = sets.groupBy("root").agg(F.min(F.struct("id", "h")).alias("least"))
+    reps = materialise(sets.join(least, "root").select("a", "b", "least", "n_links"), "classes")
+    release(heads, stars, found, sets)
+    return made.drop("nodes"), reps
+
+
+def near_duplicates(docs: DataFrame, recall: float = RECALL) -> DataFrame:
+    """One row per input row: doc_id, class_id (least doc_id of its component of links), n_links.
+
+    n_links counts the other rows whose similarity to this one is at least SIMILARITY, copies included.
+    """
+    made, reps = _classes(docs, recall)
+    full = made.where("n > 0").join(reps, ["a", "b"]).select("id", F.col("least.id").alias("class"), "n_links")
     every = full.unionByName(made.where("n = 0").select("id", F.col("id").alias("class"), F.lit(0).cast("long").alias("n_links")))
     return every.select(F.nullif("id", F.lit(_NULL)).alias("doc_id"), F.nullif("class", F.lit(_NULL)).alias("class_id"), "n_links")
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """The documents with one of each class, every column kept: the one with the least doc_id."""
-    classes = near_duplicates(docs)
-    gone = materialise(classes.where(~F.col("doc_id").eqNullSafe(F.col("class_id"))).select(F.col("doc_id").alias("_gone")).distinct(), "near-copies")
-    return docs.join(gone, docs["doc_id"].eqNullSafe(gone["_gone"]), "left_anti")
+    """The documents with one of each class, every column kept: the one with the least doc_id (of several texts of that id, the least hash)."""
+    made, reps = _classes(docs, RECALL)
+    rows = made.where("n > 0").join(reps, ["a", "b"]).groupBy("id", "h").agg(F.first("least").alias("least"), F.count(F.lit(1)).alias("rows"))
+    stays = (F.col("id") == F.col("least.id")) & (F.col("h") == F.col("least.h"))
+    gone = materialise(rows.where(~stays).select("id", "h"), "near-copies")
+    again = materialise(rows.where(stays & (F.col("rows") > 1)).select("id", "h"), "repeated-rows")
+    release(reps)
+    docs = _ids(docs, F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("_doc")).join(gone, ["id", "h"], "left_anti")
+    if again.isEmpty():
+        return docs.select("_doc.*")
+    single = docs.join(again, ["id", "h"], "left_semi").groupBy("id", "h").agg(F.first("_doc").alias("_doc"))
+    return docs.join(again, ["id", "h"], "left_anti").select("_doc.*").unionByName(single.select("_doc.*"))
