@@ -6,16 +6,16 @@ sharing is one aggregate over the table of sources, and weights go by the source
 no task holds all sources.
 
 A source takes complete epochs of all its documents first. For the rest every document draws an exponential
-key -ln(u) / q, where q is its quality weight and u comes from a hash of its id, so reruns agree; in key
-order documents are taken until the sum of their words comes nearest to the rest. Keys are put into BINS bins by a
+key -ln(u) / q, where q is its quality weight and u comes from a hash of its id, its text and its number among rows
+that are equal in both, so reruns agree; in key order documents are taken until the sum of their words comes nearest to the rest. Keys are put into BINS bins by a
 monotone function; per-bin sums (combined before the shuffle) tell in which bin the sum crosses the rest. That
 bin is cut into BINS again while more than FEW rows lie in it, and only the rows of the last bin of each source are
 put in order. No source, however hot, is sorted as a whole. The outcome of a source is one cut (key, id), so the
 final decision is taken row by row.
 
-Nulls: a null text has size 0 and is never taken; null sources form one source, which comes last; a null
-doc_id draws a key like any other. Rows that repeat a doc_id and text are taken or left together. A source
-without words has target 0. An empty table gives an empty result; extra columns do no harm.
+Nulls: a null text has size 0 and is never taken; null sources form one source, which comes last. Rows that share a
+doc_id, or have none, draw keys of their own, and so do rows that repeat a doc_id and text in one source, which are
+interchangeable. A source without words has target 0. An empty table gives an empty result; extra columns do no harm.
 """
 
 from __future__ import annotations
@@ -44,9 +44,13 @@ def quality_weight(text: Column) -> Column:
     return F.greatest(F.lit(0.05), F.lit(1.0) - F.lit(5.0) * symbols / n)
 
 
-def exponential_key(doc_id: Column, weight: Column, seed: int = SEED) -> Column:
-    """-ln(u) / weight, where u in (0, 1) comes from 52 bits of a hash of seed and id."""
-    h = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(doc_id.cast("string"), F.lit(""))).cast("binary"))
+def text_code(text: Column) -> Column:
+    return F.md5(F.coalesce(text, F.lit("")).cast("binary"))
+
+
+def exponential_key(doc_id: Column, code: Column, nth: Column, weight: Column, seed: int = SEED) -> Column:
+    """-ln(u) / weight, where u in (0, 1) comes from 52 bits of a hash of seed, id, text and number among equal rows."""
+    h = F.md5(F.concat_ws(":", F.lit(str(seed)), F.coalesce(doc_id.cast("string"), F.lit("")), code, nth.cast("string")).cast("binary"))
     u = (F.conv(F.substring(h, 1, 13), 16, 10).cast("double") + F.lit(0.5)) / F.lit(float(2**52))
     return -F.log(u) / weight
 
@@ -85,8 +89,49 @@ def _place(key: Column) -> Column:
     return key / (key + 1)
 
 
+_SAME = ["doc_id", "code", "source"]
+
+
+def _same(a: DataFrame, b: DataFrame, how: str) -> DataFrame:
+    """Join on the columns of equal rows, nulls too; those of `b` go."""
+    b = b.select(*[F.col(c).alias(f"_{c}") if c in _SAME else F.col(c) for c in b.columns])
+    on = F.col("code") == F.col("_code")
+    for c in ("doc_id", "source"):
+        on &= F.col(c).eqNullSafe(F.col(f"_{c}"))
+    return a.join(b, on, how).drop(*[f"_{c}" for c in _SAME])
+
+
+def repeated_rows(rows: DataFrame) -> DataFrame:
+    """doc_id, code, source of the rows that occur more than once."""
+    return rows.groupBy(*_SAME).agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select(*_SAME)
+
+
+def numbered_copies(rows: DataFrame) -> DataFrame:
+    """`rows` (with `at`, increasing within a part file) with `nth`, the number among equal rows from 0.
+
+    Equal rows are numbered part by part, and the parts by sums of counts, so no task holds a whole group.
+    """
+    again = materialise(repeated_rows(rows), "mix-repeated")
+    if again.isEmpty():
+        return rows.withColumn("nth", F.lit(0).cast("long"))
+    part = F.shiftright("at", 33)
+    copies = _same(rows, again, "left_semi").withColumn("part", part)
+    counts = copies.groupBy(*_SAME, "part").agg(F.count(F.lit(1)).alias("n"))
+    before = F.sum("n").over(Window.partitionBy(*_SAME).orderBy("part")) - F.col("n")
+    counts = counts.select(*_SAME, F.col("part").alias("_part"), before.alias("_before"))
+    inside = F.row_number().over(Window.partitionBy(*_SAME, "part").orderBy("at")) - 1
+    placed = _same(copies.withColumn("_i", inside), counts, "inner").where("part = _part")
+    return _same(rows, again, "left_anti").withColumn("nth", F.lit(0).cast("long")).unionByName(placed.withColumn("nth", F.col("_before") + F.col("_i")).select(*rows.columns, "nth"))
+
+
 def thin_rows(docs: DataFrame) -> DataFrame:
-    return docs.select("doc_id", "source", size_of(F.col("text")).alias("size"), exponential_key(F.col("doc_id"), quality_weight(F.col("text"))).alias("key"))
+    """(doc_id, source, code, size, key) of every row."""
+    rows = docs.select("doc_id", "source", text_code(F.col("text")).alias("code"), size_of(F.col("text")).alias("size"), quality_weight(F.col("text")).alias("weight"))
+    rows = materialise(rows.withColumn("at", F.monotonically_increasing_id()), "mix-rows")
+    key = exponential_key(F.col("doc_id"), F.col("code"), F.col("nth"), F.col("weight"))
+    thin = materialise(numbered_copies(rows).select("doc_id", "source", "code", "size", key.alias("key"), (F.col("nth") > 0).alias("copy")), "mix-thin")
+    release(rows)
+    return thin
 
 
 def _edges(rows: DataFrame, plan: DataFrame) -> DataFrame:
@@ -136,7 +181,7 @@ def _times(key: Column, doc_id: Column) -> Column:
 
 def mix(docs: DataFrame) -> DataFrame:
     """doc_id, size, source_size, target, taken for every row."""
-    thin = materialise(thin_rows(docs), "mix-thin")
+    thin = thin_rows(docs)
     cuts = materialise(source_cuts(thin, source_targets(thin)), "mix-cuts").withColumnRenamed("source", "m_source")
     joined = thin.join(cuts, thin["source"].eqNullSafe(cuts["m_source"]))
     return joined.select("doc_id", "size", "source_size", "target", (F.col("size") * _times(F.col("key"), F.col("doc_id"))).alias("taken"))
@@ -145,9 +190,27 @@ def mix(docs: DataFrame) -> DataFrame:
 def mixed_documents(docs: DataFrame) -> DataFrame:
     """The documents of the mix: each row as often as it is taken, with the columns it had."""
     names = docs.columns
-    thin = materialise(thin_rows(docs), "mix-thin")
+    thin = thin_rows(docs)
     cuts = materialise(source_cuts(thin, source_targets(thin)), "mix-cuts").withColumnRenamed("source", "m_source")
-    rows = docs.select(F.struct(*[docs[f"`{c}`"] for c in names]).alias("_doc"), size_of(F.col("text")).alias("_size"), exponential_key(F.col("doc_id"), quality_weight(F.col("text"))).alias("_key"))
-    joined = rows.join(cuts, F.col("_doc.source").eqNullSafe(F.col("m_source"))).where("_size > 0")
-    times = _times(F.col("_key"), F.col("_doc.doc_id")).cast("int")
-    return joined.withColumn("_times", times).where("_times > 0").select("_doc", F.explode(F.sequence(F.lit(1), F.col("_times"))).alias("_copy")).select("_doc.*")
+    again = materialise(_repeats_taken(thin, cuts), "mix-again")
+    whole = F.struct(*[docs[f"`{c}`"] for c in names]).alias("_doc")
+    rows = docs.select(whole, F.col("doc_id").alias("doc_id"), "source", text_code(F.col("text")).alias("code"), size_of(F.col("text")).alias("_size"), quality_weight(F.col("text")).alias("_weight"))
+    rows = rows.where("_size > 0")
+    copies = None
+    if not again.isEmpty():
+        # Of rows that are equal in id, text and source one stands for all.
+        met = _same(rows, again, "inner").groupBy(*_SAME).agg(F.first("_doc").alias("_doc"), F.first("_taken").alias("_times"))
+        copies, rows = met.select("_doc", F.col("_times").cast("int").alias("_times")), _same(rows, again, "left_anti")
+    joined = rows.join(cuts, F.col("_doc.source").eqNullSafe(F.col("m_source")))
+    key = exponential_key(F.col("_doc.doc_id"), F.col("code"), F.lit(0), F.col("_weight"))
+    taken = joined.select("_doc", _times(key, F.col("_doc.doc_id")).cast("int").alias("_times"))
+    taken = taken if copies is None else taken.unionByName(copies)
+    return taken.where("_times > 0").select("_doc", F.explode(F.sequence(F.lit(1), F.col("_times"))).alias("_copy")).select("_doc.*")
+
+
+def _repeats_taken(thin: DataFrame, cuts: DataFrame) -> DataFrame:
+    """(doc_id, code, source, _taken): how often the rows that repeat others are taken, all together."""
+    again = thin.where("copy").select(*_SAME).distinct()
+    rows = _same(thin.where("size > 0"), again, "left_semi")
+    rows = rows.join(cuts, F.col("source").eqNullSafe(F.col("m_source")))
+    return rows.groupBy(*_SAME).agg(F.sum(_times(F.col("key"), F.col("doc_id"))).alias("_taken"))

@@ -116,7 +116,7 @@ def _mixing_sql() -> str:
     return rf"""
 WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size,
   greatest(0.05, 1.0 - 5.0 * (length(coalesce(text, '')) - length(translate(coalesce(text, ''), '#*$%&|<>', ''))) / greatest(length(coalesce(text, '')), 1)) AS q,
-  (('0x' || substr(md5('{mixing.SEED}:' || coalesce(doc_id::VARCHAR, '')), 1, 13))::BIGINT + 0.5) / 4503599627370496.0 AS u FROM documents),
+  (('0x' || substr(md5('{mixing.SEED}:' || coalesce(doc_id::VARCHAR, '') || ':' || md5(coalesce(text, '')) || ':' || (row_number() OVER (PARTITION BY doc_id, coalesce(text, ''), source) - 1)), 1, 13))::BIGINT + 0.5) / 4503599627370496.0 AS u FROM documents),
 src AS (SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY source),
 r AS (SELECT *, ([{", ".join(map(str, w))}])[1 + (row_number() OVER (ORDER BY source NULLS LAST) - 1) % {len(w)}]::DOUBLE AS w, {mixing.CAP} * source_size AS cap, {mixing.BUDGET} * sum(source_size) OVER () AS total FROM src),
 -- the level at which what is under its cap takes what those at their caps leave
