@@ -61,7 +61,7 @@ def learn(
     """`fit` over the features of the sampled rows (doc_id, text, label), in one task of its own.
 
     features() gives a function from a text to two arrays (the second may be None). They are made where the texts
-    are, so only features meet in the task; it takes rows by the hashes of their ids until they hold `most` bytes.
+    are, so only features meet in the task; it takes rows by the hashes of their ids, each that fits beside those before within `most` bytes.
     """
     kind = sample.schema["doc_id"].dataType.simpleString()
 
@@ -76,9 +76,10 @@ def learn(
         rows, held = [], 0
         for batch in batches:
             for row in zip(*[c.to_pylist() for c in batch.columns], strict=True):
-                held += len(row[2]) + len(row[3] or b"")
-                if held <= most or not rows:
+                size = len(row[2]) + len(row[3] or b"")
+                if held + size <= most:  # a row that does not fit leaves its place to later ones
                     rows.append(row)
+                    held += size
         rows.sort(key=lambda r: r[0])
         learnt = fit([(x, y, label) for _, label, x, y in rows])
         if learnt is not None:
