@@ -1,7 +1,14 @@
-"""Nearest vectors by blocks: matrices of two blocks are multiplied in one task, which keeps each row's best.
+"""Nearest vectors over inverted lists: coarse centroids, lists of vectors by centroid, probes, exact scores.
 
-A block holds at most BLOCK vectors, so a task needs the room of two blocks and their product, whatever the
-table. Every pair of blocks meets once; what is shuffled afterwards are k rows per query and block.
+Vectors that are equal form one unit, which knows the ids that can be among its best: at most k a group and 2 k in all. Units are
+dealt to lists. A set of units (those of equal keys and size) that fills at most NARROW lists of LIST units is one list, and its
+search is exact; a larger one is dealt by spherical centroids, fitted to a sample of at most SAMPLE of its vectors, and every query
+goes to the lists whose centroids are nearest. How many these are is measured: of ASKED queries the exact neighbours are found by a
+scan, and the least number of probes that meets a share RECALL of them is taken, so vectors without structure cost more but lose no
+recall. Every vector is indexed and scores are always exact.
+
+Lists are cut into blocks of at most BLOCK units and queries of a list too, so a task needs the room of two blocks and
+their product. A block of queries is sent to each block of its lists, keeps its best there, and only these are ranked over all.
 """
 
 from __future__ import annotations
@@ -13,63 +20,218 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-BLOCK = 2048
-
-
-def _blocked(rows: DataFrame, keys: list[str], prefix: str) -> DataFrame:
-    """One row per block: its ids, groups and vectors end to end, in float64; blocks are drawn by a hash of the id."""
-    sizes = rows.groupBy(*keys).agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("_blocks"))
-    placed = rows.join(sizes, keys) if keys else rows.crossJoin(sizes)  # one number where there are no keys
-    block = F.pmod(F.xxhash64("id"), F.col("_blocks")).alias(f"{prefix}_block")
-    item = F.struct("id", "grp", F.transform("vector", lambda x: x.cast("double")).alias("vector"))
-    return placed.groupBy(*keys, block).agg(F.collect_list(item).alias(prefix))
+from folioforge.session import stored
 
+BLOCK = 2048
+#: Units of a list; lists up to which a set is searched whole; most lists; most sampled vectors, so many a list.
+LIST, NARROW, MOST_LISTS, SAMPLE, PER_LIST = 1024, 16, 4096, 65_536, 32
+#: Share of the exact neighbours that the probes must meet, and the queries on which that is measured.
+RECALL, ASKED = 0.95, 256
+#: Scores closer than this are ties; what single precision may be wrong by.
+_TIE, _SINGLE = 1e-9, 1e-5
+_DIM = "_size"
+
+
+def _units(vectors: DataFrame, keys: list[str], k: int, other_group: bool) -> DataFrame:
+    """(keys, unit, vector, items): different vectors with the (id, grp) that may be among the k best of a query, by id."""
+    codes = [F.xxhash64("vector").alias("_a"), F.xxhash64(F.lit(7), "vector").alias("_b")]
+    same = [*keys, "_a", "_b"]
+    rows = vectors.select(*keys, "id", "grp", *codes)
+    if other_group:  # of one group k are enough, and of 2 k with at most k a group k are of other groups than any
+        rows = rows.withColumn("_r", F.row_number().over(Window.partitionBy(*same, "grp").orderBy("id"))).where(F.col("_r") <= k)
+    most = 2 * k if other_group else k
+    rows = rows.withColumn("_r", F.row_number().over(Window.partitionBy(*same).orderBy("id"))).where(F.col("_r") <= most)
+    items = rows.groupBy(*same).agg(F.sort_array(F.collect_list(F.struct("id", "grp"))).alias("items"))
+    firsts = vectors.select(*keys, *codes, "vector").groupBy(*same).agg(F.first("vector").alias("vector"))
+    return firsts.join(items, same).select(*keys, F.monotonically_increasing_id().alias("unit"), "vector", "items")
+
+
+def centroids(sample: DataFrame, lists: int, most: int, rounds: int = 8) -> dict[int, np.ndarray]:
+    """Of each size of vectors in `sample` (size, vector) the `lists` centroids by spherical k-means, from the first `most` by hash; one task a size."""
+
+    def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, list] = {}
+        for batch in batches:
+            for size, vector in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                rows = held.setdefault(size, [])
+                if len(rows) < most:
+                    rows.append(vector.values.to_numpy(zero_copy_only=False).astype(np.float32))
+        for size, rows in held.items():
+            x = np.stack(rows)
+            x /= np.linalg.norm(x, axis=1, keepdims=True)
+            c = x[:lists].copy()
+            for _ in range(rounds):
+                own = np.concatenate([np.argmax(x[at : at + 4096] @ c.T, axis=1) for at in range(0, len(x), 4096)])
+                sums = np.zeros_like(c)
+                np.add.at(sums, own, x)
+                length = np.linalg.norm(sums, axis=1, keepdims=True)
+                c = np.where(length > 0, sums / np.maximum(length, 1e-30), c).astype(np.float32)
+            yield pa.RecordBatch.from_arrays([pa.array([size] * len(c), pa.int32()), pa.array(list(c), pa.list_(pa.float32()))], names=["size", "centroid"])
+
+    found: dict[int, list] = {}
+    for row in sample.repartition("size").sortWithinPartitions("size", F.xxhash64("vector")).mapInArrow(fit, "size int, centroid array<float>").collect():  # at most MOST_LISTS a size
+        found.setdefault(row.size, []).append(row.centroid)
+    return {size: np.array(rows, dtype=np.float32) for size, rows in found.items()}
+
+
+def _routed(rows: DataFrame, found: dict[int, np.ndarray], probes: int) -> DataFrame:
+    """`rows` (wide, vector, ...) with `lists`: the nearest lists, or list 0 where the search is not wide."""
+    if not found:
+        return rows.withColumn("lists", F.array(F.lit(0)))
+    held = rows.sparkSession.sparkContext.broadcast(found)  # at most MOST_LISTS centroids a size
+    at, wide = rows.columns.index("vector"), rows.columns.index("wide")
 
-def _matrix(items: pa.StructScalar) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for begin in range(0, whole.num_rows, 2048):
+                batch = whole.slice(begin, 2048)
+                lists = [[0]] * batch.num_rows
+                sizes = batch.column(at).value_lengths().to_numpy(zero_copy_only=False)
+                chosen = batch.column(wide).to_numpy(zero_copy_only=False).astype(bool)
+                for size in np.unique(sizes[chosen]):
+                    mine = np.flatnonzero(chosen & (sizes == size))
+                    x = batch.column(at).take(pa.array(mine)).flatten().to_numpy(zero_copy_only=False).astype(np.float32).reshape(len(mine), -1)
+                    c = held.value[int(size)]
+                    near = x @ c.T
+                    n = min(probes, len(c))
+                    best = np.argpartition(-near, n - 1, axis=1)[:, :n] if n < len(c) else np.tile(np.arange(len(c)), (len(mine), 1))
+                    for i, b in zip(mine, best, strict=True):
+                        lists[i] = b.tolist()
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(lists, pa.list_(pa.int32()))], names=[*batch.schema.names, "lists"])
+
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields), "lists array<int>"])
+    return rows.mapInArrow(run, schema)
+
+
+def probes_needed(asked: DataFrame, held: DataFrame, found: dict[int, np.ndarray], k: int, keys: list[str]) -> int:
+    """The least number of probes that meets RECALL of the k nearest units of sampled queries, of the largest set that is not narrow."""
+    largest = held.where("wide").groupBy(*keys).count().orderBy(F.desc("count"), *keys).first()
+    inside = F.lit(True)
+    for c in keys:
+        inside = inside & F.col(c).eqNullSafe(F.lit(largest[c]))
+    sample = [np.array(r.vector, dtype=np.float32) for r in asked.where(inside).orderBy(F.xxhash64("id", "vector")).select("vector").limit(ASKED).collect()]
+    if not sample:
+        return 1
+    x = np.stack(sample)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    sent = held.sparkSession.sparkContext.broadcast(x)
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        q = sent.value
+        best, lists = np.full((len(q), k), -2.0, dtype=np.float32), np.full((len(q), k), -1, dtype=np.int64)
+        for batch in batches:
+            for at in range(0, batch.num_rows, 4096):
+                some = batch.slice(at, 4096)
+                y = some.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float32).reshape(some.num_rows, -1)
+                s = np.concatenate([best, q @ (y / np.linalg.norm(y, axis=1, keepdims=True)).T], axis=1)
+                of = np.concatenate([lists, np.broadcast_to(some.column(0).to_numpy(), (len(q), some.num_rows))], axis=1)
+                top = np.argpartition(-s, k - 1, axis=1)[:, :k]
+                best, lists = np.take_along_axis(s, top, 1), np.take_along_axis(of, top, 1)
+        row = np.repeat(np.arange(len(q)), k)
+        good = lists.ravel() >= 0
+        yield pa.RecordBatch.from_arrays([pa.array(row[good]), pa.array(lists.ravel()[good]), pa.array(best.ravel()[good])], names=["q", "list", "score"])
+
+    near = held.where(inside).select("list", "vector").mapInArrow(scan, "q long, list long, score float")
+    near = near.withColumn("_r", F.row_number().over(Window.partitionBy("q").orderBy(F.desc("score"), "list"))).where(F.col("_r") <= k).collect()  # k rows a query
+    c = found[x.shape[1]]
+    place = np.argsort(np.argsort(-(x @ c.T), axis=1), axis=1)
+    places = np.sort([place[r.q, r.list] for r in near])
+    return min(len(c), int(places[max(0, int(np.ceil(RECALL * len(places))) - 1)]) + 1)
+
+
+def _matrix(items: pa.StructScalar) -> np.ndarray:
     vectors = items.field("vector")
-    m = vectors.flatten().to_numpy(zero_copy_only=False).reshape(len(vectors), -1)
-    length = np.linalg.norm(m, axis=1, keepdims=True)
-    with np.errstate(invalid="ignore", divide="ignore"):
-        return items.field("id").to_numpy(), items.field("grp").to_numpy(), np.where(length > 0, m / length, np.nan)
-
-
-def nearest(queries: DataFrame, vectors: DataFrame, k: int, least: float = -1.0, keys: list[str] | None = None, other_group: bool = False) -> DataFrame:
+    m = vectors.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(vectors), -1)
+    return m / np.linalg.norm(m, axis=1, keepdims=True)
+
+
+def best_of_blocks(x: np.ndarray, grp: np.ndarray, y: np.ndarray, count: np.ndarray, ids: np.ndarray, groups: np.ndarray, k: int, least: float, other_group: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query, item, score): the k best items of each query, by exact score and id; units have `count` items each, end to end."""
+    s = x.astype(np.float32) @ y.astype(np.float32).T
+    first = np.cumsum(count) - count
+    if other_group:  # a unit all of whose items are of the query's own group
+        low, high = np.minimum.reduceat(groups, first), np.maximum.reduceat(groups, first)
+        s[(grp[:, None] == low[None, :]) & (low == high)[None, :]] = -2.0
+    floor = np.full(len(x), least, dtype=np.float32)
+    if k < s.shape[1]:
+        floor = np.maximum(floor, -np.partition(-s, k - 1, axis=1)[:, k - 1])
+    row, unit = np.nonzero(s >= (floor - _SINGLE)[:, None])
+    row, unit = row[s[row, unit] > -1.5], unit[s[row, unit] > -1.5]
+    score = np.concatenate([np.zeros(0), *(np.einsum("ij,ij->i", x[row[a : a + 65_536]], y[unit[a : a + 65_536]]) for a in range(0, len(row), 65_536))])
+    good = score >= least
+    row, unit, score = row[good], unit[good], score[good]
+    n = count[unit]
+    each = np.repeat(np.arange(len(unit)), n)
+    item = np.repeat(first[unit], n) + np.arange(len(each)) - np.repeat(np.cumsum(n) - n, n)
+    row, score = row[each], score[each]
+    if other_group:
+        good = groups[item] != grp[row]
+        row, item, score = row[good], item[good], score[good]
+    order = np.lexsort((ids[item], -np.round(score, 9), row))
+    row, item, score = row[order], item[order], score[order]
+    place = np.arange(len(row)) - np.searchsorted(row, row, "left")
+    return row[place < k], item[place < k], score[place < k]
+
+
+def nearest(
+    queries: DataFrame, vectors: DataFrame, k: int, least: float = -1.0, keys: list[str] | None = None, other_group: bool = False,
+    *, list_size: int | None = None, probes: int | None = None,
+) -> DataFrame:
     """(keys, query_id, query_grp, id, grp, score, rank): the k rows of highest cosine for each query, the smaller id first of equals.
 
     queries and vectors have the columns of `keys`, id (long), grp (long) and vector; only rows of equal keys
-    meet. `other_group` leaves out rows of the query's own group. Vectors without length are near to nothing.
-    Scores that differ by less than 1e-9 are ties.
+    and vectors of one size meet. `other_group` leaves out rows of the query's own group. Vectors without length are near
+    to nothing. Scores that differ by less than 1e-9 are ties.
     """
-    keys = keys or []
-    pick = [*keys, F.col("id").cast("long").alias("id"), F.col("grp").cast("long").alias("grp"), "vector"]
-    q, v = _blocked(queries.select(*pick), keys, "q"), _blocked(vectors.select(*pick), keys, "v")
-    pairs = (q.join(v, keys) if keys else q.crossJoin(v)).repartition("q_block", "v_block")  # of blocks, not of rows
-    fields = [queries.schema[c] for c in keys]
+    list_size = list_size or LIST
+    own = keys or []
+    keys = [*own, _DIM]
+    length = F.aggregate("vector", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double"))
+    pick = lambda rows: rows.select(*own, F.size("vector").alias(_DIM), F.col("id").cast("long").alias("id"), F.col("grp").cast("long").alias("grp"), "vector").where(length > 0)
+    units = stored(_units(pick(vectors), keys, k, other_group), "units")
+    sets = units.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).select(*keys, (F.col("_n") > NARROW * list_size).alias("wide"), "_n")
+    most = sets.where("wide").agg(F.max("_n").alias("n")).first().n
+    units, asked = units.join(sets.drop("_n"), keys), pick(queries).join(sets.drop("_n"), keys)
+    found: dict[int, np.ndarray] = {}
+    if most:
+        lists = min(MOST_LISTS, -(-most // list_size))
+        taken = min(SAMPLE, PER_LIST * lists)
+        share = int(min(1.0, 1.5 * taken / most) * 1_000_000)
+        sample = units.where(F.col("wide") & (F.pmod(F.xxhash64(F.lit(3), "vector"), F.lit(1_000_000)) < share))
+        found = centroids(sample.select(F.col(_DIM).alias("size"), "vector"), lists, taken)
+    at = [*keys, "list"]
+    held = stored(_routed(units, found, 1).withColumn("list", F.col("lists")[0]).drop("lists"), "lists")
+    if found:
+        probes = probes or probes_needed(asked, held, found, k, keys)
+    held = held.drop("wide")
+    sizes = held.groupBy(*at).agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("_blocks"))
+    unit = F.struct("unit", "vector", "items")
+    blocks = held.join(sizes, at).withColumn("_v", F.pmod(F.xxhash64("unit"), F.col("_blocks")).cast("int"))
+    blocks = blocks.groupBy(*at, "_v").agg(F.collect_list(unit).alias("v"))
+    sent = _routed(asked, found, probes or 1).withColumn("list", F.explode("lists")).drop("lists", "wide")
+    counts = sent.groupBy(*at).agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("_parts")).join(sizes, at)
+    sent = sent.join(counts, at).withColumn("_q", F.pmod(F.xxhash64("id"), F.col("_parts")).cast("int"))
+    sent = sent.groupBy(*at, "_q").agg(F.collect_list(F.struct("id", "grp", "vector")).alias("q"), F.first("_blocks").alias("_blocks"))
+    pairs = sent.withColumn("_v", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1))).join(blocks, [*at, "_v"])
+    fields = [queries.schema[c] for c in own]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = [*keys, "query_id", "query_grp", "id", "grp", "score"]
+        names = [*own, "query_id", "query_grp", "id", "grp", "score"]
         for batch in batches:
             for n in range(batch.num_rows):
-                a, ag, x = _matrix(batch.column(len(keys))[n].values)
-                b, bg, y = _matrix(batch.column(len(keys) + 1)[n].values)
-                order = np.argsort(b, kind="stable")
-                b, bg, y = b[order], bg[order], y[order]
-                s = x @ y.T
-                s[~(s >= least)] = -np.inf
-                if other_group:
-                    s[ag[:, None] == bg[None, :]] = -np.inf
-                best = np.argsort(-np.round(s, 9), axis=1, kind="stable")[:, :k]
-                row = np.repeat(np.arange(len(a)), best.shape[1])
-                col = best.ravel()
-                score = s[row, col]
-                good = np.isfinite(score)
-                row, col, score = row[good], col[good], score[good]
-                own = [pa.repeat(batch.column(i)[n], len(row)) for i in range(len(keys))]
-                yield pa.RecordBatch.from_arrays([*own, pa.array(a[row]), pa.array(ag[row]), pa.array(b[col]), pa.array(bg[col]), pa.array(score)], names=names)
+                q, v = batch.column(len(own))[n].values, batch.column(len(own) + 1)[n].values
+                items = v.field("items")
+                count = items.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+                flat = items.flatten()
+                ids, groups = flat.field("id").to_numpy(zero_copy_only=False), flat.field("grp").to_numpy(zero_copy_only=False)
+                asked_id, asked_grp = q.field("id").to_numpy(zero_copy_only=False), q.field("grp").to_numpy(zero_copy_only=False)
+                row, item, score = best_of_blocks(_matrix(q), asked_grp, _matrix(v), count, ids, groups, k, least, other_group)
+                key = [pa.repeat(batch.column(i)[n], len(row)) for i in range(len(own))]
+                yield pa.RecordBatch.from_arrays([*key, pa.array(asked_id[row]), pa.array(asked_grp[row]), pa.array(ids[item]), pa.array(groups[item]), pa.array(score)], names=names)
 
     schema = ", ".join([*(f"{f.name} {f.dataType.simpleString()}" for f in fields), "query_id long, query_grp long, id long, grp long, score double"])
-    near = pairs.select(*keys, "q", "v").mapInArrow(run, schema)
-    order = Window.partitionBy(*keys, "query_id").orderBy(F.round("score", 9).desc(), "id")
+    near = pairs.select(*own, "q", "v").mapInArrow(run, schema)
+    order = Window.partitionBy(*own, "query_id").orderBy(F.round("score", 9).desc(), "id")
     return near.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
