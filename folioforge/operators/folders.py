@@ -109,8 +109,8 @@ def delete_trees(folders: DataFrame, selected: DataFrame) -> DataFrame:
 
 
 def move(rows: DataFrame, moves: DataFrame, column: str) -> DataFrame:
-    """rows(id, column, ...) with the column set to `target` of moves(id, target) where there is one."""
-    to = moves.select("id", F.struct("target").alias("_to"))
+    """rows(id, column, ...) with the column set to `target` of moves(id, target) where there is one; of several the least, null first."""
+    to = moves.groupBy("id").agg(F.min(F.struct("target")).alias("_to"))
     return rows.join(to, "id", "left").withColumn(column, F.when(F.col("_to").isNotNull(), F.col("_to.target")).otherwise(F.col(column))).drop("_to")
 
 

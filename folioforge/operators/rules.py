@@ -9,10 +9,10 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from folioforge.config import DEFAULTS
 from folioforge.functions.scores import calibrated, raw_threshold
+from folioforge.functions.text import trimmed
 from folioforge.operators.retrieval import dense_topk_join
 
 
@@ -32,21 +32,25 @@ def find_span(text: str | None, phrase: str | None) -> tuple[str, int, int] | No
     return None
 
 
+#: What Python and ECMAScript do not both strip; phrases with these at an end are left to Python.
+_ODD_ENDS = "(?s)^[\\x1c-\\x1f\\x85\\ufeff]|[\\x1c-\\x1f\\x85\\ufeff]$"
+
+
 def exact_spans(rows: DataFrame, text: str = "text", phrase: str = "phrase") -> DataFrame:
-    """rows with found, start_offset, end_offset (null: not found), in Arrow batches for the Unicode forms."""
-    names = rows.columns
-    schema = T.StructType([*rows.schema.fields]).add("found", T.StringType()).add("start_offset", T.IntegerType()).add("end_offset", T.IntegerType())
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            spans = [find_span(t, p) or (None, None, None) for t, p in zip(frame[text], frame[phrase], strict=True)]
-            out = frame[names].copy()
-            out["found"] = [s[0] for s in spans]
-            out["start_offset"] = pd.array([s[1] for s in spans], dtype="Int32")
-            out["end_offset"] = pd.array([s[2] for s in spans], dtype="Int32")
-            yield out
-
-    return rows.mapInPandas(run, schema)
+    """rows with found, start_offset, end_offset (null: not found). Only phrases that are not there as they are go through Python."""
+    span = "found string, start_offset int, end_offset int"
+
+    @F.pandas_udf(f"struct<{span.replace(' ', ':')}>".replace(",:", ","))
+    def other_forms(texts: pd.Series, phrases: pd.Series) -> pd.DataFrame:
+        spans = [find_span(t, p) or (None, None, None) for t, p in zip(texts, phrases, strict=True)]
+        return pd.DataFrame({"found": [s[0] for s in spans], "start_offset": pd.array([s[1] for s in spans], dtype="Int32"), "end_offset": pd.array([s[2] for s in spans], dtype="Int32")})
+
+    words = trimmed(F.col(phrase))
+    at = F.when((words != "") & ~F.col(phrase).rlike(_ODD_ENDS), F.instr(F.col(text), words)).otherwise(0)
+    there = F.coalesce(at, F.lit(0)) > 0
+    as_is = F.struct(words.alias("found"), (at - 1).cast("int").alias("start_offset"), (at - 1 + F.length(words)).cast("int").alias("end_offset"))
+    left = lambda c: F.when(~there, F.col(c))
+    return rows.withColumn("_span", F.when(there, as_is).otherwise(other_forms(left(text), left(phrase)))).select(*rows.columns, "_span.*")
 
 
 def normal_form(text):

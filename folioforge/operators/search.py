@@ -261,8 +261,9 @@ def answer_evidence(seeds: DataFrame, rules: DataFrame, expanded: DataFrame) ->
     """(section, position, chunk_id, score): all evidence in one ordered list, seeds, then rules, then what paths led to. Nothing is merged."""
     parts = []
     for n, (name, rows) in enumerate((("seed", seeds), ("rule", rules), ("expanded", expanded))):
-        # Each part is a top-k of its own.
-        place = F.row_number().over(Window.orderBy(F.col("score").desc(), F.col("chunk_id"))) - 1
+        # Each part is a top-k of its own, in the order in which it was found.
+        tie = "rule_id" if name == "rule" and "rule_id" in rows.columns else "chunk_id"
+        place = F.row_number().over(Window.orderBy(F.col("score").desc(), F.col(tie))) - 1
         parts.append(rows.select(F.lit(n).alias("section"), F.lit(name).alias("role"), place.alias("position"), F.col("chunk_id").cast("string").alias("chunk_id"), F.col("score").cast("double").alias("score")))
     return parts[0].unionByName(parts[1]).unionByName(parts[2]).orderBy("section", "position")
 

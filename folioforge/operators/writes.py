@@ -13,6 +13,7 @@ from folioforge.functions.ids import stable_uuid
 from folioforge.functions.text import SPACE, html_escape, trimmed
 from folioforge.operators import models, repository, rules
 from folioforge.sources import detect
+from folioforge.sources.commits import Repository, Transaction, Version
 
 _UUID = r"(?i)^[0-9a-f]{8}-[0-9a-f]{4}-[1-8][0-9a-f]{3}-[89ab][0-9a-f]{3}-[0-9a-f]{12}$"
 #: Items that may be selected for one bulk deletion.
@@ -44,14 +45,22 @@ def create_folders(folders: DataFrame, requests: DataFrame) -> DataFrame:
 
 
 def rename_folders(folders: DataFrame, renames: DataFrame) -> DataFrame:
-    """renames(id, name) with `reason`: 'missing', 'name', 'duplicate' (another folder of the same parent has the name), null."""
+    """renames(id, name) with `reason`: 'missing', 'name', 'duplicate' (another folder of the same parent has the name, or gets it), null.
+
+    Of the renames of a batch to one place the least id gets it, and of several names for one folder the least stands.
+    """
     own = folders.select("id", "parent_id", F.lit(True).alias("_there"))
     taken = folders.select(_slot(F.col("parent_id"), F.col("name")).alias("_s"), F.col("id").alias("_other"))
     rows = renames.join(own, "id", "left").withColumn("_slot", _slot(F.col("parent_id"), F.col("name")))
     met = rows.join(taken, rows["_slot"].eqNullSafe(taken["_s"]) & (F.col("id") != F.col("_other"))).select("id", "name").distinct().withColumn("_taken", F.lit(True))
     rows = rows.join(met, ["id", "name"], "left")
     reason = F.when(F.col("_there").isNull(), "missing").when(detect.folder_name_reason(F.col("name")).isNotNull(), "name").when(F.col("_taken"), "duplicate")
-    return rows.select("id", "name", reason.alias("reason"))
+    rows = rows.select("id", "name", "_slot", reason.alias("reason"))
+    good = F.col("reason").isNull()
+    rows = rows.withColumn("_own", F.row_number().over(Window.partitionBy("id", good).orderBy("name")))
+    rows = rows.withColumn("reason", F.when(good & (F.col("_own") > 1), "duplicate").otherwise(F.col("reason")))
+    first = F.row_number().over(Window.partitionBy("_slot", F.col("reason").isNull()).orderBy("id"))
+    return rows.select("id", "name", F.when(F.col("reason").isNull() & (first > 1), "duplicate").otherwise(F.col("reason")).alias("reason"))
 
 
 def delete_folders(folders: DataFrame, documents: DataFrame, ids: DataFrame) -> DataFrame:
@@ -75,8 +84,11 @@ def check_documents(requests: DataFrame) -> DataFrame:
 
 
 def set_enabled(rows: DataFrame, toggles: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
-    """(rows with `enabled` as toggles(key, enabled) say, toggles of rows that do not exist). A null toggle is refused too."""
-    good = toggles.where("enabled IS NOT NULL").select(key, F.col("enabled").alias("_enabled"))
+    """(rows with `enabled` as toggles(key, enabled) say, toggles of rows that do not exist). A null toggle is refused too.
+
+    Where toggles of one key differ it is switched off.
+    """
+    good = toggles.where("enabled IS NOT NULL").groupBy(key).agg(F.min("enabled").alias("_enabled"))
     out = rows.join(good, key, "left").withColumn("enabled", F.coalesce("_enabled", "enabled")).drop("_enabled")
     return out, toggles.join(rows.select(key), key, "left_anti").unionByName(toggles.where("enabled IS NULL").join(rows.select(key), key, "left_semi"))
 
@@ -136,16 +148,22 @@ def complete_cleanups(jobs: DataFrame, documents: DataFrame, deletions: DataFram
 
 
 def fail_cleanups(jobs: DataFrame, failures: DataFrame, column: str = "cleanup_error") -> DataFrame:
-    """jobs with the message of failures(job_id, message), cut to 500 characters, where a cleanup of a failed job has begun."""
+    """jobs with the message of failures(job_id, message), cut to 500 characters, where a cleanup of a failed job has begun.
+
+    Of several failures of a job the one whose message is least in order counts.
+    """
     said = F.substring(F.coalesce(F.nullif(F.trim("message"), F.lit("")), F.lit("the cleanup failed")), 1, 500)
-    rows = jobs.join(failures.select("job_id", said.alias("_said")), "job_id", "left")
+    rows = jobs.join(failures.groupBy("job_id").agg(F.min(said).alias("_said")), "job_id", "left")
     begun = (F.col("status") == "failed") & F.col("cleanup_started_at").isNotNull() & F.col("_said").isNotNull()
     return rows.withColumn(column, F.when(begun, F.col("_said")).otherwise(F.col(column))).drop("_said")
 
 
 def settle_deletions(jobs: DataFrame, outcomes: DataFrame) -> DataFrame:
-    """Deletion jobs after a try, outcomes(document_id, error): a null error ends the job, any other keeps it for the next try."""
-    tried = outcomes.select("document_id", F.struct("error").alias("_o"))
+    """Deletion jobs after a try, outcomes(document_id, error): a null error ends the job, any other keeps it for the next try.
+
+    Of several outcomes of a document an error counts, the greatest in order.
+    """
+    tried = outcomes.groupBy("document_id").agg(F.struct(F.max("error").alias("error")).alias("_o"))
     rows = jobs.join(tried, "document_id", "left").where("_o IS NULL OR _o.error IS NOT NULL")
     failed = F.col("_o").isNotNull()
     rows = rows.withColumn("status", F.when(failed, "failed").otherwise(F.col("status"))).withColumn("attempts", F.col("attempts") + failed.cast("int"))
@@ -170,6 +188,36 @@ def bulk_delete(folders: DataFrame, documents: DataFrame, selected_folders: Data
     return outcomes, closure.limit(0) if kept else closure, kept
 
 
+# --- failed ingestions --------------------------------------------------------------------------------------------
+
+
+def fail_versions(versions: DataFrame, chunks: DataFrame, failures: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(versions, chunks) after failures(owner_id, version_id, message, final): no half of a failed version can be found.
+
+    The chunks of a failed version go, whether or not it is tried again. Its status is 'failed' after a final failure, else
+    'parsing', and `error_message` the message, cut to 500 characters. Of several failures of a version a final one counts.
+    """
+    last = failures.groupBy("owner_id", "version_id").agg(F.max(F.struct("final", "message")).alias("_f"))
+    rows = versions.join(last, ["owner_id", "version_id"], "left")
+    failed = F.col("_f").isNotNull()
+    rows = rows.withColumn("status", F.when(failed, F.when(F.col("_f.final"), "failed").otherwise("parsing")).otherwise(F.col("status")))
+    rows = rows.withColumn("error_message", F.when(failed, F.substring("_f.message", 1, 500)).otherwise(F.col("error_message")))
+    return rows.select(*versions.columns), chunks.join(last, ["owner_id", "version_id"], "left_anti")
+
+
+def commit_failures(home: Repository, failures: DataFrame) -> Version:
+    """`fail_versions` on the tables document_versions and document_chunks of a repository, in one commit that writes only what changes."""
+
+    def work(change: Transaction) -> None:
+        named = failures.select("owner_id", "version_id").distinct()
+        versions = change.parent.read("document_versions").join(named, ["owner_id", "version_id"], "left_semi")
+        chunks = change.parent.read("document_chunks")
+        change.upsert("document_versions", fail_versions(versions, chunks, failures)[0])
+        change.delete("document_chunks", chunks.join(named, ["owner_id", "version_id"], "left_semi"))
+
+    return home.change(work)
+
+
 # --- rules --------------------------------------------------------------------------------------------------------
 
 
@@ -298,3 +346,23 @@ def process_rule_documents(
     report = documents.join(made, "document_id", "left").join(refused, "document_id", "left")
     report = report.select("document_id", F.when(F.col("rules").isNull(), "no-rules").alias("problem"), F.coalesce("rules", F.lit(0)).alias("rules"), F.coalesce("refused", F.lit(0)).alias("refused"))
     return Processed(every, all_bindings, all_links, report)
+
+
+def commit_rule_documents(home: Repository, chunks: DataFrame, targets: DataFrame, **options) -> DataFrame:
+    """`process_rule_documents` on the tables rules, bindings and links of a repository; the report.
+
+    The three change in one commit, in which only rows that differ are written. Another writer's commit makes it start again
+    from what that one left.
+    """
+    reports: list[DataFrame] = []
+
+    def work(change: Transaction) -> None:
+        now = {name: change.parent.read(name) for name in ("rules", "bindings", "links")}
+        got = process_rule_documents(chunks, now["rules"], now["bindings"], now["links"], targets, **options)
+        for name, rows in (("rules", got.rules), ("bindings", got.bindings), ("links", got.links)):
+            names = now[name].columns
+            change.become(name, rows.select(*[F.col(c) if c in rows.columns else F.lit(None).alias(c) for c in names]))
+        reports[:] = [got.report]
+
+    home.change(work)
+    return reports[0]

@@ -75,7 +75,7 @@ def advance(s: dict, kind: str, token: str | None, error: str | None, retryable:
     if kind == "ready" and busy:
         return s | {"status": "ready", "stage": "ready", "last_error": None}
     if kind == "failure" and busy:
-        return s | {"last_error": (error or "")[:500]} | ({} if retryable else {"status": "failed", "stage": "failed"})
+        return s | {"last_error": None if error is None else error[:500]} | ({} if retryable else {"status": "failed", "stage": "failed"})
     if kind == "upload-failed" and s["status"] == "uploading":
         return s | {"status": "failed", "stage": "failed", "original_available": False}
     if kind == "reupload" and s["status"] == "failed" and not s["original_available"]:
