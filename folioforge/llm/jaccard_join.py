@@ -41,6 +41,8 @@ SHINGLE = 5
 SIMILARITY = (4, 5)
 SMALL, DEPTH, RECALL = 256, 3, 0.995
 BLOCK = 4096
+#: Rows of a matrix of a block that are worked on at once.
+_ROWS = 256
 _NULL = -(2**63)
 _PIECE = 1 << 20
 _U = np.uint64
@@ -254,8 +256,11 @@ def _members(docs: DataFrame, stars: DataFrame, heads: DataFrame) -> DataFrame:
     return joined.select("head", "text", "stars", "copies", "a", "b").mapInArrow(run, schema)
 
 
-def intersections(sets: list[np.ndarray], columns: int = 4096) -> np.ndarray:
-    """Matrix of the sizes of all intersections, by products of 0/1 blocks; tokens of a single set are left out."""
+def intersections(sets: list[np.ndarray], columns: int = 1024) -> np.ndarray:
+    """Matrix of the sizes of all intersections, by products of 0/1 blocks; tokens of a single set are left out.
+
+    Beside the matrix only some columns of the sets and some rows of a product are held at once.
+    """
     n = len(sets)
     member = np.repeat(np.arange(n), [len(s) for s in sets])
     _, token, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
@@ -272,7 +277,8 @@ def intersections(sets: list[np.ndarray], columns: int = 4096) -> np.ndarray:
         here, local = np.unique(member[lo:hi], return_inverse=True)
         block = np.zeros((len(here), min(columns, width - at)), dtype=np.float32)
         block[local, token[lo:hi] - at] = 1.0
-        out[np.ix_(here, here)] += block @ block.T
+        for a in range(0, len(here), _ROWS):
+            out[np.ix_(here[a : a + _ROWS], here)] += block[a : a + _ROWS] @ block.T
     return out
 
 
@@ -280,8 +286,12 @@ def links_of(ids: np.ndarray, blocks: np.ndarray, copies: np.ndarray, roots: lis
     """(links that count here, least id of the component) of each member of one star or pair of its blocks."""
     num, den = SIMILARITY
     sizes = np.array([len(s) for s in sets], dtype=np.int64)
-    same = intersections(sets).astype(np.int64)
-    linked = same * (num + den) >= num * (sizes[:, None] + sizes[None, :])
+    same = intersections(sets)
+    linked = np.empty(same.shape, dtype=bool)
+    parts = [slice(a, a + _ROWS) for a in range(0, len(ids), _ROWS)]  # some rows at a time: a matrix of longs would be the largest thing here
+    for part in parts:
+        linked[part] = same[part].astype(np.int64) * (num + den) >= num * (sizes[part, None] + sizes[None, :])
+    del same
     np.fill_diagonal(linked, False)
     if blocks.min() != blocks.max():
         linked &= blocks[:, None] != blocks[None, :]
@@ -295,10 +305,11 @@ def links_of(ids: np.ndarray, blocks: np.ndarray, copies: np.ndarray, roots: lis
             for r in own:
                 if r < root:
                     has[k, number[r]] = 1.0
-        mine &= (has @ has.T) == 0
+        for part in parts:
+            mine[part] &= (has[part] @ has.T) == 0
     label = ids.copy()
     while True:
-        near = np.where(linked, label[None, :], np.iinfo(np.int64).max).min(axis=1)
+        near = np.concatenate([np.where(linked[part], label[None, :], np.iinfo(np.int64).max).min(axis=1) for part in parts])
         after = np.minimum(label, near)
         if (after == label).all():
             return mine @ copies, label
