@@ -23,6 +23,8 @@ from itertools import islice
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from .common import small_batches
+
 #: Entries of each of a worker's two tables of encoded pre-tokens, and the longest pre-token kept in it.
 CACHE, CACHED_LEN = 240_000, 64
 #: Characters from which on a text is worked through in parts.
@@ -197,6 +199,7 @@ def encode_documents(docs: DataFrame, vocabulary: str = VOCABULARY, ids: bool =
 
     The vocabulary is found by name in the installed package of every worker, so no path travels.
     """
+    small_batches(docs.sparkSession)
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + (", ids array<int>" if ids else "")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -15,8 +15,20 @@ BLANKS = " \t\n\x0b\f\r"
 WORD = r"[^\x20\x09-\x0D]+"
 
 
+#: Rows that Spark hands to a Python worker at once, where the session has Spark's own number of 10,000.
+BATCH = 1000
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Batches of texts are some megabytes, not tens of them, in the JVM and in its workers. A number that the user has set stays."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(name) == "10000":
+        spark.conf.set(name, str(BATCH))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A test table; a file or a folder of part files."""
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -34,6 +46,7 @@ def shared_dir(spark: SparkSession) -> str:
 def materialise(df: DataFrame, name: str) -> DataFrame:
     """Write `df` to the shared folder and read it back: later jobs neither recompute it nor lose it with an executor."""
     spark = df.sparkSession
+    small_batches(spark)
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
