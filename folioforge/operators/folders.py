@@ -1,4 +1,9 @@
-"""Folder trees: closures, paths, order, scopes, moves, deletion and uploads. Trees are walked by joins of doubling reach."""
+"""Folder trees: closures, paths, order, scopes, moves, deletion and uploads.
+
+What asks for some trees walks down from their roots, level by level, and touches their folders alone; below WALK levels pointers
+that double their reach take over, which are one row a folder. What needs all folders above all folders joins reaches that
+double. A stored closure is patched: only the rows of folders that changed, or lie below those that did, are made anew.
+"""
 
 from __future__ import annotations
 
@@ -8,6 +13,11 @@ from pyspark.sql import functions as F
 from folioforge.functions.ids import stable_uuid
 from folioforge.functions.text import composed, natural_key
 from folioforge.session import numbered, stored
+from folioforge.sources.commits import Repository, Transaction, Version
+
+
+#: Levels that a walk from given folders goes down, or up, one by one.
+WALK = 24
 
 
 def ancestors(folders: DataFrame) -> DataFrame:
@@ -31,7 +41,65 @@ def ancestors(folders: DataFrame) -> DataFrame:
 
 def descendants(folders: DataFrame, roots: DataFrame) -> DataFrame:
     """(id) of all folders in the trees of roots(id), the roots themselves included."""
-    return ancestors(folders).join(roots.select(F.col("id").alias("ancestor")), "ancestor", "left_semi").select("id").distinct()
+    links = folders.select("id", "parent_id")
+    level = stored(folders.select("id").join(roots.select("id"), "id", "left_semi").distinct(), "folder-level")
+    seen = level
+    for _ in range(WALK):
+        below = links.join(level.withColumnRenamed("id", "parent_id"), "parent_id").select("id").distinct()
+        level = stored(below.join(seen, "id", "left_anti"), "folder-level")
+        if level.isEmpty():
+            return seen
+        seen = seen.unionByName(level)
+    return _below(folders, seen)
+
+
+def _below(folders: DataFrame, roots: DataFrame) -> DataFrame:
+    """`descendants` by pointers: each folder knows one above it, twice as far each round, and whether a root was passed on the way."""
+    own = folders.select("id", "parent_id").join(roots.select("id", F.lit(True).alias("hit")), "id", "left")
+    rows = stored(own.select("id", F.nullif("parent_id", "id").alias("up"), F.coalesce("hit", F.lit(False)).alias("hit")), "folder-pointers")
+    most = rows.count()
+    reach = 1
+    while reach < 2 * most and not rows.where("up IS NOT NULL AND NOT hit").isEmpty():
+        above = rows.select(F.col("id").alias("up"), F.col("up").alias("_up"), F.col("hit").alias("_hit"))
+        rows = stored(rows.join(above, "up", "left").select("id", F.nullif("_up", "id").alias("up"), (F.col("hit") | F.coalesce("_hit", F.lit(False))).alias("hit")), "folder-pointers")
+        reach *= 2
+    return rows.where("hit").select("id")
+
+
+def patch(closure: DataFrame, folders: DataFrame, changed: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(gone, fresh): the rows of closure(id, ancestor, distance) that no longer hold, and those that now do, as `folders` are now.
+
+    changed(id) names folders that were created, moved or deleted since. Made anew are these and what lay below them; all
+    else keeps its rows. Any batch will do, moves within moved trees too.
+    """
+    changed = changed.select("id").distinct()
+    below = closure.join(changed.withColumnRenamed("id", "ancestor"), "ancestor", "left_semi").select("id")
+    touched = stored(changed.unionByName(below).distinct(), "closure-touched")
+    inside = stored(folders.select("id", "parent_id").join(touched, "id", "left_semi"), "closure-inside")
+    own = ancestors(inside)
+    tops = inside.join(touched.withColumnRenamed("id", "parent_id"), "parent_id", "left_anti").where("parent_id IS NOT NULL")
+    over = closure.join(tops.select(F.col("parent_id").alias("id")).distinct(), "id", "left_semi").select(F.col("id").alias("parent_id"), F.col("ancestor").alias("_over"), F.col("distance").alias("_more"))
+    outside = own.join(tops.select(F.col("id").alias("ancestor"), "parent_id"), "ancestor").join(over, "parent_id")
+    outside = outside.select("id", F.col("_over").alias("ancestor"), (F.col("distance") + F.col("_more") + 1).alias("distance"))
+    return closure.join(touched, "id", "left_semi"), own.select("id", "ancestor", "distance").unionByName(outside)
+
+
+def patched(closure: DataFrame, folders: DataFrame, changed: DataFrame) -> DataFrame:
+    """The closure of `folders`, from the one before the folders changed(id) changed."""
+    gone, fresh = patch(closure, folders, changed)
+    return closure.join(gone.select("id").distinct(), "id", "left_anti").unionByName(fresh)
+
+
+def commit_closure(home: Repository, folders: DataFrame, changed: DataFrame, table: str = "folder_closure") -> Version:
+    """`patch` on a closure in a repository, keyed by id and ancestor; what is written is in proportion to what changed."""
+
+    def work(change: Transaction) -> None:
+        gone, fresh = patch(change.parent.read(table), folders, changed)
+        fresh = stored(fresh, "closure-fresh")
+        change.delete(table, gone.join(fresh, ["id", "ancestor"], "left_anti"))
+        change.upsert(table, fresh)
+
+    return home.change(work)
 
 
 def folder_paths(folders: DataFrame) -> DataFrame:
@@ -76,8 +144,21 @@ def documents_in_scope(documents: DataFrame, folders: DataFrame, folder_id=None,
 
 def can_move(folders: DataFrame, moves: DataFrame) -> DataFrame:
     """moves(id, target) with `allowed`: a folder must not move into its own tree; a null target is the top."""
-    inside = ancestors(folders).select(F.col("id").alias("target"), F.col("ancestor").alias("id"), F.lit(True).alias("_in"))
-    return moves.join(inside, ["id", "target"], "left").select("id", "target", F.col("_in").isNull().alias("allowed"))
+    links = folders.select(F.col("id").alias("at"), F.col("parent_id").alias("_up"))
+    way = stored(moves.where("target IS NOT NULL").select("id", "target", F.col("target").alias("at")).distinct(), "move-way")
+    refused = None
+    for level in range(WALK + 1):  # from the targets up, until nothing is above
+        met = way.where("at = id").join(folders.select("id"), "id", "left_semi").select("id", "target")
+        refused = met if refused is None else refused.unionByName(met)
+        if level == WALK:
+            whole = ancestors(folders).select(F.col("id").alias("at"), F.col("ancestor").alias("id"))
+            refused = refused.unionByName(way.join(whole, ["at", "id"], "left_semi").select("id", "target"))
+            break
+        way = stored(way.where("at <> id").join(links, "at").where("_up IS NOT NULL").select("id", "target", F.col("_up").alias("at")), "move-way")
+        if way.isEmpty():
+            break
+    refused = refused.distinct().withColumn("_in", F.lit(True))
+    return moves.join(refused, ["id", "target"], "left").select("id", "target", F.col("_in").isNull().alias("allowed"))
 
 
 def search_scope(documents: DataFrame, folders: DataFrame, folder_id=None, requested: DataFrame | None = None) -> DataFrame:
@@ -98,7 +179,7 @@ def deletion_targets(folders: DataFrame, documents: DataFrame, selected: DataFra
     if not missing.isEmpty():
         raise ValueError("a selected folder does not exist")
     closure = descendants(folders, selected)
-    above = ancestors(folders).where("distance > 0").join(selected.select(F.col("id").alias("ancestor")), "ancestor", "left_semi").select("id").distinct()
+    above = folders.join(closure.withColumnRenamed("id", "parent_id"), "parent_id", "left_semi").select("id")  # what lies in a tree without being its root
     inside = documents.join(closure.withColumnRenamed("id", "folder_id"), "folder_id", "left_semi")
     return closure, inside, selected.select("id").distinct().join(above, "id", "left_anti")
 

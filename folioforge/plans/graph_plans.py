@@ -131,19 +131,24 @@ def graph_view(spark: SparkSession, sf_dir: str) -> DataFrame:
     return semantic.graph_view(nodes, links, docs)[0].select("node_id", "node_kind", "relation_count")
 
 
-#: Links with SQL of their own: nations that share a region, scored by key.
-_N = "link AS (SELECT a.n_nationkey * 100 + b.n_nationkey AS link_id, a.n_nationkey AS l, b.n_nationkey AS r, 0.35 + (a.n_nationkey * 7 + b.n_nationkey * 3) % 60 / 100.0 AS s FROM nation a JOIN nation b ON a.n_regionkey = b.n_regionkey AND a.n_nationkey < b.n_nationkey)"
+#: Links with SQL of their own: suppliers, numbered like nations and five to a region, are linked within it and scored by key.
+_N = "nation AS (SELECT s_suppkey AS n_nationkey, s_suppkey // 5 AS n_regionkey, s_name AS n_name FROM supplier), link AS (SELECT a.n_nationkey * 10000000 + b.n_nationkey AS link_id, a.n_nationkey AS l, b.n_nationkey AS r, 0.35 + (a.n_nationkey * 7 + b.n_nationkey * 3) % 60 / 100.0 AS s FROM nation a JOIN nation b ON a.n_regionkey = b.n_regionkey AND a.n_nationkey < b.n_nationkey)"
+
+
+def _small_world(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = table(spark, sf_dir, "supplier")
+    return s.select(F.col("s_suppkey").cast("long").alias("node_id"), F.floor(F.col("s_suppkey") / 5).alias("n_regionkey"), F.col("s_name").alias("n_name"))
 
 
 def _nation_links(spark: SparkSession, sf_dir: str) -> DataFrame:
-    n = table(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("long").alias("k"), "n_regionkey")
+    n = _small_world(spark, sf_dir).select(F.col("node_id").alias("k"), "n_regionkey")
     a, b = n.alias("a"), n.alias("b")
     met = a.join(b, (F.col("a.n_regionkey") == F.col("b.n_regionkey")) & (F.col("a.k") < F.col("b.k")))
-    return met.select((F.col("a.k") * 100 + F.col("b.k")).alias("link_id"), F.col("a.k").alias("left_node_id"), F.col("b.k").alias("right_node_id"), (F.lit(0.35) + (F.col("a.k") * 7 + F.col("b.k") * 3) % 60 / 100.0).alias("semantic_score"))
+    return met.select((F.col("a.k") * 10_000_000 + F.col("b.k")).alias("link_id"), F.col("a.k").alias("left_node_id"), F.col("b.k").alias("right_node_id"), (F.lit(0.35) + (F.col("a.k") * 7 + F.col("b.k") * 3) % 60 / 100.0).alias("semantic_score"))
 
 
 def _nation_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    n = table(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("long").alias("node_id"))
+    n = _small_world(spark, sf_dir).select("node_id")
     return n.withColumn("node_kind", F.when(F.col("node_id") % 3 == 0, "rule").otherwise("document")).withColumn("document_id", F.col("node_id")).withColumn("rule_id", F.col("node_id"))
 
 

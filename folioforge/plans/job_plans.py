@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from folioforge.functions import ids, sheets
 from folioforge.operators import answers, repository, rules, semantic, spans
 from folioforge.plans.common import query
-from folioforge.plans.graph_plans import _N, _nation_links, _nation_nodes
+from folioforge.plans.graph_plans import _N, _nation_links, _nation_nodes, _small_world
 from folioforge.session import table
 from folioforge.streaming import jobs
 
@@ -121,7 +121,7 @@ def rule_relations(spark: SparkSession, sf_dir: str) -> DataFrame:
     nodes, links = _nation_nodes(spark, sf_dir), _nation_links(spark, sf_dir)
     evidence = links.select("link_id", F.lit(0).alias("ordinal"), F.col("left_node_id").alias("left_chunk_id"), F.col("right_node_id").alias("right_chunk_id"))
     chunks = nodes.select(F.col("node_id").alias("chunk_id"), F.concat(F.lit("text "), F.col("node_id").cast("string")).alias("text"))
-    titles = table(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("long").alias("document_id"), F.col("n_name").alias("title"))
+    titles = _small_world(spark, sf_dir).select(F.col("node_id").alias("document_id"), F.col("n_name").alias("title"))
     got = repository.relations_of_rules(nodes, links, evidence, chunks, titles)
     return got.select("node_id", "other_node", "other_kind", "title", "text", F.round("semantic_score", 6).alias("semantic_score"))
 

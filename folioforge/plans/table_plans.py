@@ -171,16 +171,20 @@ def title_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return both.select("p_partkey", F.col("title").alias("p_name"))
 
 
-# --- folders: regions above nations; customers and suppliers are the documents -------------------------------------
+# --- folders: regions above nations above suppliers, ten of them below each; customers and suppliers are the documents ---
 
 _FOLDERS = """
-folders AS (SELECT 'R' || r_regionkey AS id, NULL::VARCHAR AS parent_id, r_name AS name FROM region UNION ALL SELECT 'N' || n_nationkey, 'R' || n_regionkey, n_name FROM nation)"""
+folders AS (SELECT 'R' || r_regionkey AS id, NULL::VARCHAR AS parent_id, r_name AS name FROM region UNION ALL SELECT 'N' || n_nationkey, 'R' || n_regionkey, n_name FROM nation
+UNION ALL SELECT 'F' || s_suppkey, CASE WHEN s_suppkey < 10 THEN 'N' || s_nationkey ELSE 'F' || s_suppkey // 10 END, s_name FROM supplier)"""
 
 
 def _folders(spark: SparkSession, sf_dir: str) -> DataFrame:
     r, n = table(spark, sf_dir, "region"), table(spark, sf_dir, "nation")
     top = r.select(F.concat(F.lit("R"), "r_regionkey").alias("id"), F.lit(None).cast("string").alias("parent_id"), F.col("r_name").alias("name"), F.lit(0).alias("sort_order"))
-    return top.unionByName(n.select(F.concat(F.lit("N"), "n_nationkey").alias("id"), F.concat(F.lit("R"), "n_regionkey").alias("parent_id"), F.col("n_name").alias("name"), F.lit(0).alias("sort_order")))
+    under = n.select(F.concat(F.lit("N"), "n_nationkey").alias("id"), F.concat(F.lit("R"), "n_regionkey").alias("parent_id"), F.col("n_name").alias("name"), F.lit(0).alias("sort_order"))
+    parent = F.when(F.col("s_suppkey") < 10, F.concat(F.lit("N"), "s_nationkey")).otherwise(F.concat(F.lit("F"), F.floor(F.col("s_suppkey") / 10)))
+    own = table(spark, sf_dir, "supplier").select(F.concat(F.lit("F"), "s_suppkey").alias("id"), parent.alias("parent_id"), F.col("s_name").alias("name"), F.lit(0).alias("sort_order"))
+    return top.unionByName(under).unionByName(own)
 
 
 def _filed(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -222,11 +226,19 @@ def scope_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return folders.search_scope(_filed(spark, sf_dir), _folders(spark, sf_dir), "R2")
 
 
-@query(f"{_TREE} SELECT a.id, b.id AS target, NOT EXISTS (SELECT 1 FROM up WHERE up.id = b.id AND up.ancestor = a.id) AS allowed FROM folders a, folders b")
+#: Each supplier's folder to and from that of its number without the last two digits, its nation and its region.
+_MOVES = """
+other AS (SELECT 'F' || s_suppkey AS f, unnest(['F' || s_suppkey // 100, 'N' || s_nationkey, 'R' || n_regionkey, 'F' || s_suppkey]) AS o FROM supplier JOIN nation ON n_nationkey = s_nationkey),
+moves AS (SELECT f AS id, o AS target FROM other UNION SELECT o, f FROM other)"""
+
+
+@query(f"{_TREE}, {_MOVES.strip()} SELECT m.id, m.target, NOT EXISTS (SELECT 1 FROM up WHERE up.id = m.target AND up.ancestor = m.id) AS allowed FROM moves m")
 def move_guard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    f = _folders(spark, sf_dir)
-    moves = f.select("id").withColumn("k", F.lit(1)).join(f.select(F.col("id").alias("target"), F.lit(1).alias("k")), "k").drop("k")
-    return folders.can_move(f, moves)
+    s = table(spark, sf_dir, "supplier").join(table(spark, sf_dir, "nation"), F.col("n_nationkey") == F.col("s_nationkey"))
+    to = F.array(F.concat(F.lit("F"), F.floor(F.col("s_suppkey") / 100)), F.concat(F.lit("N"), "s_nationkey"), F.concat(F.lit("R"), "n_regionkey"), F.concat(F.lit("F"), "s_suppkey"))
+    other = s.select(F.concat(F.lit("F"), "s_suppkey").alias("id"), F.explode(to).alias("target"))
+    moves = other.unionByName(other.select(F.col("target").alias("id"), F.col("id").alias("target"))).distinct()
+    return folders.can_move(_folders(spark, sf_dir), moves)
 
 
 @query(f"""{_TREE}, sel AS (SELECT * FROM (VALUES ('R1'), ('N3'), ('N1'), ('N8')) v(id)), clo AS (SELECT DISTINCT up.id FROM up JOIN sel ON sel.id = ancestor)

@@ -63,9 +63,13 @@ def documents_moved(spark: SparkSession, sf_dir: str) -> DataFrame:
     return folders.move(rows, moves, "folder_id").select(F.col("id").alias("document_id"), "folder_id")
 
 
-@query("SELECT 'europe' AS path, 'europe' AS name, 1 AS depth, false AS created UNION ALL SELECT 'europe/' || n_name, n_name, 2, n_regionkey <> (SELECT r_regionkey FROM region WHERE r_name = 'EUROPE') FROM nation")
+@query("""
+WITH s AS (SELECT n_name, s_name, n_regionkey <> (SELECT r_regionkey FROM region WHERE r_name = 'EUROPE') AS abroad, s_suppkey FROM supplier JOIN nation ON n_nationkey = s_nationkey)
+SELECT 'europe' AS path, 'europe' AS name, 1 AS depth, false AS created UNION ALL SELECT DISTINCT 'europe/' || n_name, n_name, 2, abroad FROM s
+UNION ALL SELECT 'europe/' || n_name || '/' || s_name, s_name, 3, abroad OR s_suppkey >= 10 FROM s""")
 def folder_tree_ensured(spark: SparkSession, sf_dir: str) -> DataFrame:
-    files = table(spark, sf_dir, "nation").select(F.concat(F.lit("europe/"), "n_name", F.lit("/f.txt")).alias("relative_path"))
+    s = table(spark, sf_dir, "supplier").join(table(spark, sf_dir, "nation"), F.col("n_nationkey") == F.col("s_nationkey"))
+    files = s.select(F.concat(F.lit("europe/"), "n_name", F.lit("/"), "s_name", F.lit("/f.txt")).alias("relative_path"))
     return folders.ensure_tree(_folders(spark, sf_dir), folders.upload_plan(files), "o").select("path", "name", "depth", "created")
 
 
@@ -421,7 +425,7 @@ def rule_paths_legacy(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.rule_paths(roots, links, bound, 1000).select("path_id", F.round("score", 6).alias("score"), F.size("document_ids").alias("documents"))
 
 
-@query("SELECT n_nationkey AS node_id, ((row_number() OVER (ORDER BY n_nationkey) - 1) % 5) * 260.0::DOUBLE AS x, ((row_number() OVER (ORDER BY n_nationkey) - 1) // 5) * 120.0::DOUBLE AS y FROM nation")
+@query(f"WITH {_N}, c AS (SELECT greatest(1, ceil(sqrt(count(*))))::BIGINT AS c FROM nation) SELECT n_nationkey AS node_id, (n_nationkey % c) * 260.0::DOUBLE AS x, (n_nationkey // c) * 120.0::DOUBLE AS y FROM nation, c")
 def grid_of_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return semantic.grid_layout(_nation_nodes(spark, sf_dir)).select("node_id", F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y"))
 

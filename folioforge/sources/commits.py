@@ -91,21 +91,24 @@ class Transaction:
         if kind is None:
             self.commit()
 
-    def create(self, table: str, schema: StructType, keys: Sequence[str], owner: str | None = None) -> None:
+    def create(self, table: str, schema: StructType, keys: Sequence[str], owner: str | None = None, split: str | None = None, order: str | None = None) -> None:
+        """`split` is a key by whose values the files are told apart in folders, `order` a key by which they are sorted."""
         if table in self.tables:
             raise ValueError(f"there is a table {table}")
         if owner is not None and owner not in keys:
             raise ValueError("the owner must be one of the keys")
-        self.tables[table] = {"schema": schema.jsonValue(), "keys": list(keys), "owner": owner, "layers": []}
+        self.tables[table] = {"schema": schema.jsonValue(), "keys": list(keys), "owner": owner, "split": split, "order": order or owner, "layers": []}
 
     def _write(self, table: str, rows: DataFrame, kind: str, **more) -> None:
         known, path = self.tables[table], f"data/{table}/{uuid.uuid4().hex}"
         names = known["keys"] if kind == "delete" else [f["name"] for f in known["schema"]["fields"]]
         types = {f.name: f.dataType for f in StructType.fromJson(known["schema"])}
         rows = rows.select(*[F.col(c).cast(types[c]).alias(c) for c in names])
-        if known["owner"]:
-            rows = rows.sortWithinPartitions(known["owner"])  # so that the files' ranges tell owners apart
-        rows.write.parquet(f"{self.home.path}/{path}")
+        by = [c for c in (known["split"], known["order"]) if c]
+        if by:
+            rows = rows.sortWithinPartitions(*by)  # so that the files' ranges tell owners apart
+        out = rows.write.partitionBy(known["split"]) if known["split"] else rows.write
+        out.parquet(f"{self.home.path}/{path}")
         known["layers"].append({"kind": kind, "path": path, **more})
 
     def upsert(self, table: str, rows: DataFrame) -> None:
