@@ -107,9 +107,24 @@ def check_vectors(vectors: DataFrame, size: int, column: str = "embedding") -> D
 # --- BM25 -------------------------------------------------------------------------------------------------------
 
 
+#: Scripts that are written without blanks.
+_WIDE = r"\p{IsHan}\p{IsHiragana}\p{IsKatakana}ー"
+#: Korean particles that follow a noun, longer ones first.
+_PARTICLES = "에서는|에게서|으로는|에서|에게|으로|까지|부터|보다|처럼|에는|은|는|이|가|을|를|의|에|로|와|과|도|만"
+
+
 def tokens(text: Column) -> Column:
-    """Lower-case runs of letters and digits."""
-    return F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda x: x != "")
+    """Lower-case runs of letters and digits. Han and Kana become overlapping pairs; a Korean word comes with its stem beside it, where a particle follows."""
+    low = F.lower(text)
+    plain = F.filter(F.split(low, r"[^\p{L}\p{N}]+"), lambda x: x != "")
+    return F.when(low.rlike(rf"[{_WIDE}\p{{IsHangul}}]"), F.flatten(F.transform(plain, _segments))).otherwise(plain)
+
+
+def _segments(word: Column) -> Column:
+    runs = F.regexp_extract_all(word, F.lit(f"[{_WIDE}]+|[^{_WIDE}]+"), 0)
+    pairs = lambda r: F.when(F.length(r) > 1, F.transform(F.sequence(F.lit(1), F.greatest(F.length(r) - 1, F.lit(1))), lambda i: F.substr(r, i, F.lit(2)))).otherwise(F.array(r))
+    stem = lambda r: F.regexp_replace(r, rf"^(\p{{IsHangul}}{{2,}}?)(?:{_PARTICLES})$", "$1")
+    return F.flatten(F.transform(runs, lambda r: F.when(r.rlike(f"^[{_WIDE}]"), pairs(r)).otherwise(F.array_distinct(F.array(r, stem(r))))))
 
 
 def postings(chunks: DataFrame, key: str = "chunk_id", text: str = "text", query: str | None = None) -> DataFrame:

@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from folioforge.functions import text as T
 from folioforge.operators import folders, repository, rules, search
 from folioforge.plans.common import query
-from folioforge.session import table
+from folioforge.session import shared_dir, table
 from folioforge.sources import store
+from folioforge.sources.commits import Repository
 from folioforge.streaming import jobs, progress
 
 
@@ -203,6 +207,19 @@ def folder_descendants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return folders.ancestors(_folders(spark, sf_dir)).select(F.col("ancestor").alias("root"), "id")
 
 
+@query(f"""WITH RECURSIVE {_FOLDERS.strip()}, moved AS (SELECT id, CASE WHEN id = 'F3' THEN 'R4' ELSE parent_id END AS parent_id FROM folders),
+up AS (SELECT id, id AS ancestor, 0 AS d FROM moved UNION ALL SELECT up.id, f.parent_id, d + 1 FROM up JOIN moved f ON f.id = up.ancestor WHERE f.parent_id IS NOT NULL) SELECT id, ancestor, d::BIGINT AS distance FROM up""")
+def folder_closure_patched(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The closure of all folders, stored, after one tree moved: only the rows of that tree are made anew."""
+    home, now = Repository(spark, f"{shared_dir(spark)}/closure-{uuid.uuid4().hex}"), _folders(spark, sf_dir)
+    with home.begin() as change:
+        change.create("folder_closure", StructType.fromDDL("id string, ancestor string, distance int"), ["id", "ancestor"])
+        change.rewrite("folder_closure", folders.ancestors(now))
+    moved = folders.move(now, spark.range(1).select(F.lit("F3").alias("id"), F.lit("R4").alias("target")), "parent_id")
+    version = folders.commit_closure(home, moved, moved.where("id = 'F3'"))
+    return version.read("folder_closure").select("id", "ancestor", F.col("distance").cast("long").alias("distance"))
+
+
 @query(f"{_TREE} SELECT up.id, max(d)::BIGINT AS depth, string_agg(f.name, '/' ORDER BY d DESC) AS path FROM up JOIN folders f ON f.id = up.ancestor GROUP BY up.id")
 def folder_path(spark: SparkSession, sf_dir: str) -> DataFrame:
     return folders.folder_paths(_folders(spark, sf_dir)).select("id", F.col("depth").cast("long").alias("depth"), F.array_join("names", "/").alias("path"))

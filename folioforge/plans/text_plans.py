@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from folioforge.functions import text as T
-from folioforge.operators import answers, chunking, retrieval, rules, semantic, spans
+from folioforge.operators import answers, chunking, postings, retrieval, rules, semantic, spans
 from folioforge.plans.common import COLLAPSED, END_SQL, LINES_SQL, SPACE_SQL, bounds_sql, document_blocks, documents_as_chunks, line_blocks, query
-from folioforge.session import table
+from folioforge.session import shared_dir, table
 from folioforge.sources import detect, html, markdown
+from folioforge.sources.commits import Repository
 
 QUERY = "license version the and under"
 
@@ -135,6 +138,15 @@ def bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return retrieval.bm25_search(retrieval.postings(chunks, query=QUERY), chunks, QUERY, 20).select("chunk_id", F.round("score", 6).alias("score"))
 
 
+@query(f"{_BM25} SELECT doc_id::VARCHAR AS chunk_id, round(score, 6) AS score FROM bm25 ORDER BY round(bm25.score, 9) DESC, chunk_id LIMIT 20")
+def bm25_stored_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An index over half of the documents, updated with the other half; the search reads the blocks of its terms."""
+    chunks = documents_as_chunks(spark, sf_dir).select("chunk_id", F.coalesce("text", F.lit("")).alias("text"), F.pmod(F.xxhash64("chunk_id"), F.lit(2)).alias("half"))
+    index = postings.build(Repository(spark, f"{shared_dir(spark)}/index-{uuid.uuid4().hex}"), chunks.where("half = 0"))
+    index = index.update(chunks.where("half = 1"))
+    return index.search(QUERY, 20).select(F.col("key").alias("chunk_id"), F.round("score", 6).alias("score"))
+
+
 @query(f"""
 {_BM25}, v AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings),
 a AS (SELECT v.vec_id::VARCHAR AS chunk_id, round(list_cosine_similarity(v.e, q.e), 9) AS score FROM v, (SELECT e FROM v WHERE vec_id = 7) q ORDER BY score DESC, chunk_id LIMIT 30),

@@ -74,7 +74,7 @@ class Version:
                 every = every.unionByName(part)
             last = every.groupBy(*keys).agg(F.max_by("_row", "_place").alias("_row"))
             out = _without(out, last, keys).unionByName(last.where("_row IS NOT NULL").select("_row.*"))
-        return out
+        return out.select(*schema.names)
 
 
 class Transaction:
