@@ -157,7 +157,7 @@ def build(home: Repository, chunks: DataFrame, key: str = "chunk_id", text: str
         for part, schema, keys, split, order in (("blocks", _BLOCKS, ["bucket", "term", "span"], "bucket", "span"), ("texts", _TEXTS, ["span", "key"], None, "span"), ("facts", _FACTS, ["name"], None, None)):
             if index._table(part) not in change.tables:
                 change.create(index._table(part), StructType.fromDDL(schema), keys, split=split, order=order)
-        change.rewrite(index._table("blocks"), _blocked(_postings(texts), settings).repartition("bucket"))
+        change.rewrite(index._table("blocks"), _blocked(_postings(texts), settings))
         change.rewrite(index._table("texts"), texts)
         change.rewrite(index._table("facts"), index._facts(n, spans))
 

@@ -4,11 +4,15 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from weakref import WeakKeyDictionary
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
+_STORED: WeakKeyDictionary[SparkSession, list[str]] = WeakKeyDictionary()
+
+
 def local_session(cores: str = "*", shuffle_partitions: int = 8, memory: str = "8g") -> SparkSession:
     """A session for tests and benches; on a cluster the caller brings its own."""
     spark = (
@@ -47,9 +51,19 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _STORED.setdefault(spark, []).append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def drop_stored(spark: SparkSession) -> int:
+    """Delete what `stored` has written in this session, once no result that reads it is needed any more; the number of tables."""
+    paths = _STORED.pop(spark, [])
+    for name in paths:
+        path = spark._jvm.org.apache.hadoop.fs.Path(name)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    return len(paths)
+
+
 def numbered(rows: DataFrame, order: list[Column | str], out: str) -> DataFrame:
     """`rows` with their places in the order, from 0. Sorted ranges are counted and numbered, so no task holds all rows."""
     at = F.monotonically_increasing_id()

@@ -104,6 +104,8 @@ class Transaction:
         names = known["keys"] if kind == "delete" else [f["name"] for f in known["schema"]["fields"]]
         types = {f.name: f.dataType for f in StructType.fromJson(known["schema"])}
         rows = rows.select(*[F.col(c).cast(types[c]).alias(c) for c in names])
+        if known["split"]:
+            rows = rows.hint("rebalance", known["split"])  # few files a folder, and a large folder's rows in several
         by = [c for c in (known["split"], known["order"]) if c]
         if by:
             rows = rows.sortWithinPartitions(*by)  # so that the files' ranges tell owners apart

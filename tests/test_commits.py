@@ -122,3 +122,13 @@ def test_tables_have_keys_and_owners(repo):
         repo.begin().create("more", StructType.fromDDL(SCHEMA), ["doc"], "owner_id")
     with pytest.raises(ValueError, match="needs"):
         repo.begin().delete_where("rules", "o1")
+
+
+def test_stored_tables_can_be_dropped(spark):
+    from folioforge import session
+
+    session.drop_stored(spark)
+    a = session.stored(spark.range(3), "a")
+    assert a.count() == 3 and session.drop_stored(spark) == 1 and session.drop_stored(spark) == 0
+    with pytest.raises(Exception, match="not exist|not found|FILE"):
+        spark.read.parquet(a.inputFiles()[0]).count()
