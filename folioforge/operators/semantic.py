@@ -9,7 +9,7 @@ from folioforge.config import DEFAULTS
 from folioforge.functions.ids import link_id
 from folioforge.functions.scores import calibrated, clamp, pair_floor
 from folioforge.operators.nearest import nearest
-from folioforge.session import numbered
+from folioforge.session import numbered, stored
 
 
 def representatives(chunks: DataFrame, key: str = "document_id", most: int = DEFAULTS.max_segments) -> DataFrame:
@@ -52,6 +52,38 @@ def similar_segments(segments: DataFrame, least: float, most: int = DEFAULTS.seg
     return near.select(*keys, F.col("query_id").alias("segment"), F.col("query_grp").alias("node"), F.col("id").alias("other"), F.col("grp").alias("other_node"), F.col("score").alias("raw"))
 
 
+def refreshed_segments(matches: DataFrame, before: DataFrame, after: DataFrame, least: float, most: int = DEFAULTS.segment_hits) -> DataFrame:
+    """`similar_segments` of `after`, from the matches of `before`: only what changed is searched for again.
+
+    Segments are known by owner, model and id, and change with their node or the content of their vector. Searched anew are the new
+    and changed ones, and those that lose a place of a full list; of all others the lists only take in what is new. A list that was
+    not full held all above `least`, so it may lose places without a search.
+    """
+    keys = ["owner_id", "embedding_model"]
+    known = [*keys, "node_id", "segment_id"]
+    coded = lambda rows: rows.select(*known, "embedding", F.xxhash64("embedding").alias("_a"), F.xxhash64(F.lit(7), "embedding").alias("_b"))
+    old, new = coded(before), coded(after)
+    same = [*known, "_a", "_b"]
+    gone = stored(old.join(new, same, "left_anti").select(*keys, "segment_id"), "segments-gone")
+    fresh = stored(new.join(old, same, "left_anti").drop("_a", "_b"), "segments-fresh")
+    kept = new.join(old.select(*same), same, "left_semi").drop("_a", "_b")
+    own = matches.join(gone.withColumnRenamed("segment_id", "segment"), [*keys, "segment"], "left_anti")
+    left = own.join(gone.withColumnRenamed("segment_id", "other"), [*keys, "other"], "left_anti")
+    full = own.groupBy(*keys, "segment").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") >= most)
+    now = left.groupBy(*keys, "segment").agg(F.count(F.lit(1)).alias("_left"))
+    short = full.join(now, [*keys, "segment"], "left").where(F.coalesce("_left", F.lit(0)) < F.col("_n")).select(*keys, F.col("segment").alias("segment_id"))
+    short = stored(short, "segments-short")
+    pick = lambda rows: rows.select(*keys, F.col("segment_id").alias("id"), F.col("node_id").alias("grp"), F.col("embedding").alias("vector"))
+    again = fresh.unionByName(kept.join(short, [*keys, "segment_id"], "left_semi"))
+    named = [*keys, F.col("query_id").alias("segment"), F.col("query_grp").alias("node"), F.col("id").alias("other"), F.col("grp").alias("other_node"), F.col("score").alias("raw")]
+    searched = nearest(pick(again), pick(new), most, least, keys, other_group=True).select(named)
+    entering = nearest(pick(kept.join(short, [*keys, "segment_id"], "left_anti")), pick(fresh), most, least, keys, other_group=True).select(named)
+    stays = left.join(short.withColumnRenamed("segment_id", "segment"), [*keys, "segment"], "left_anti").select(*entering.columns)
+    order = Window.partitionBy(*keys, "segment").orderBy(F.round("raw", 9).desc(), "other")
+    merged = stays.unionByName(entering).withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= most).drop("_r")
+    return searched.unionByName(merged)
+
+
 def greedy_pairs(matches: Column, most: int = DEFAULTS.max_pairs_per_link) -> Column:
     """Of structs (score, a, b) in order the first `most` that share neither a nor b."""
     start = F.filter(matches, lambda _: F.lit(False))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 
 import pandas as pd
@@ -103,6 +104,62 @@ def stream_jobs(events: DataFrame) -> DataFrame:
     return events.groupBy("job_id").applyInPandasWithState(run, f"job_id string, {_FIELDS}", _FIELDS, "update", "NoTimeout")
 
 
+#: Seconds after which a failure that may be retried is due again.
+RETRY = 60
+
+
+def folded(s: dict, due: list, events: list[dict], mark: int, lease: int, retry: int) -> tuple[dict, list, list[tuple]]:
+    """(state, [when, what] that is due, rows (at, wake, state)) after events in order of their time, up to `mark` (milliseconds).
+
+    A claim or a new stage holds the job for `lease` seconds, a failure that may be retried is due after `retry`; what
+    passes its time without another event wakes the job: 'lease' or 'retry'. Everything else that is accepted ends the waiting.
+    """
+    rows, at = [], None
+    for e in [*sorted(events, key=lambda e: (e["at"], e["seq"])), None]:
+        if due and due[0] <= (mark if e is None else e["at"]):
+            rows.append((due[0], due[1], s))
+            due = []
+        if e is None:
+            break
+        after = advance(s, e["kind"], e["token"], e["error"], e["retryable"])
+        if after["refused"] == s["refused"]:
+            due = [e["at"] + 1000 * lease, "lease"] if e["kind"] in ("claim", "stage") else [e["at"] + 1000 * retry, "retry"] if e["kind"] == "failure" and e["retryable"] else []
+        s, at = after, e["at"]
+    return s, due, rows if at is None else [*rows, (at, None, s)]
+
+
+def waking_jobs(events: DataFrame, late: str = "10 minutes", lease: int = LEASE, retry: int = RETRY) -> DataFrame:
+    """A stream of events(job_id string, at timestamp, seq, kind, token, error, retryable) -> (job_id, at, wake, state) to append.
+
+    Events wait until no earlier one can come (the watermark, `late` behind the newest), then they are folded in order of time and
+    seq, whatever batch brought them; what comes later still is left out. A row without `wake` is the state after the events so far. A
+    row with it says that a lease has lapsed or a retry is due, and comes from a timer, without any event. Waiting events, states and
+    timers are kept in the stream's checkpoint.
+    """
+    names = list(FIRST)
+    none = lambda x: None if x is None or x != x else x
+
+    def run(key, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
+        s, due, waiting = dict(FIRST), [], []
+        if state.exists:
+            *values, held = state.get
+            s = dict(zip(names, values, strict=True))
+            due, waiting = json.loads(held)
+        for frame in frames:
+            for e in frame.itertuples():
+                waiting.append({"at": int(e.at.value // 1_000_000), "seq": int(e.seq), "kind": e.kind, "token": none(e.token), "error": none(e.error), "retryable": bool(none(e.retryable))})
+        mark = state.getCurrentWatermarkMs()
+        s, due, rows = folded(s, due, [e for e in waiting if e["at"] <= mark], mark, lease, retry)
+        waiting = [e for e in waiting if e["at"] > mark]
+        state.update((*(s[n] for n in names), json.dumps([due, waiting])))
+        wake = min([*due[:1], *(e["at"] for e in waiting)], default=None)
+        if wake is not None:
+            state.setTimeoutTimestamp(max(wake, mark + 1))
+        yield pd.DataFrame([{"job_id": key[0], "at": pd.Timestamp(at, unit="ms"), "wake": what} | of for at, what, of in rows], columns=["job_id", "at", "wake", *names])
+
+    return events.withWatermark("at", late).groupBy("job_id").applyInPandasWithState(run, f"job_id string, at timestamp, wake string, {_FIELDS}", f"{_FIELDS}, held string", "append", "EventTimeTimeout")
+
+
 # --- cleanup leases, deletions, backfill -----------------------------------------------------------------------
 
 
