@@ -188,27 +188,30 @@ def nearest(
     keys = [*own, _DIM]
     length = F.aggregate("vector", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double"))
     pick = lambda rows: rows.select(*own, F.size("vector").alias(_DIM), F.col("id").cast("long").alias("id"), F.col("grp").cast("long").alias("grp"), "vector").where(length > 0)
-    units = stored(_units(pick(vectors), keys, k, other_group), "units")
-    sets = units.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).select(*keys, (F.col("_n") > NARROW * list_size).alias("wide"), "_n")
+    rows = pick(vectors)
+    sets = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).select(*keys, (F.col("_n") > NARROW * list_size).alias("wide"), "_n")
     most = sets.where("wide").agg(F.max("_n").alias("n")).first().n
-    units, asked = units.join(sets.drop("_n"), keys), pick(queries).join(sets.drop("_n"), keys)
+    units, asked = _units(rows, keys, k, other_group), pick(queries)
+    at = [*keys, "list"]
     found: dict[int, np.ndarray] = {}
     if most:
+        units, asked = stored(units.join(sets.drop("_n"), keys), "units"), asked.join(sets.drop("_n"), keys)
         lists = min(MOST_LISTS, -(-most // list_size))
         taken = min(SAMPLE, PER_LIST * lists)
         share = int(min(1.0, 1.5 * taken / most) * 1_000_000)
         sample = units.where(F.col("wide") & (F.pmod(F.xxhash64(F.lit(3), "vector"), F.lit(1_000_000)) < share))
         found = centroids(sample.select(F.col(_DIM).alias("size"), "vector"), lists, taken)
-    at = [*keys, "list"]
-    held = stored(_routed(units, found, 1).withColumn("list", F.col("lists")[0]).drop("lists"), "lists")
-    if found:
+        held = stored(_routed(units, found, 1).withColumn("list", F.col("lists")[0]).drop("lists"), "lists")
         probes = probes or probes_needed(asked, held, found, k, keys)
-    held = held.drop("wide")
-    sizes = held.groupBy(*at).agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("_blocks"))
+        sizes = held.groupBy(*at).agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("_blocks"))
+        sent = _routed(asked, found, probes).withColumn("list", F.explode("lists")).drop("lists", "wide")
+        held = held.drop("wide")
+    else:  # every set is one list
+        held, sent = units.withColumn("list", F.lit(0)), asked.withColumn("list", F.lit(0))
+        sizes = sets.select(*keys, F.lit(0).alias("list"), F.ceil(F.col("_n") / BLOCK).cast("int").alias("_blocks"))
     unit = F.struct("unit", "vector", "items")
     blocks = held.join(sizes, at).withColumn("_v", F.pmod(F.xxhash64("unit"), F.col("_blocks")).cast("int"))
     blocks = blocks.groupBy(*at, "_v").agg(F.collect_list(unit).alias("v"))
-    sent = _routed(asked, found, probes or 1).withColumn("list", F.explode("lists")).drop("lists", "wide")
     counts = sent.groupBy(*at).agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("_parts")).join(sizes, at)
     sent = sent.join(counts, at).withColumn("_q", F.pmod(F.xxhash64("id"), F.col("_parts")).cast("int"))
     sent = sent.groupBy(*at, "_q").agg(F.collect_list(F.struct("id", "grp", "vector")).alias("q"), F.first("_blocks").alias("_blocks"))
