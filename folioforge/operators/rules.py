@@ -68,14 +68,15 @@ def validate_candidates(candidates: DataFrame, chunks: DataFrame, settings=DEFAU
 
     reason is null for the accepted ones, which get their `ordinal`: the chunk must exist, confidence reach 0.6,
     lengths stay within bounds, the quote stand in the chunk, the statement be the first of its kind, and not
-    more than 100 come from one document.
+    more than 100 come from one document. Limits of None are none.
     """
     found = chunks.select(F.col("chunk_id").alias("source_chunk_id"), F.col("text").alias("_text"), F.lit(True).alias("_there"))
     rows = candidates.join(found, "source_chunk_id", "left")
     rows = exact_spans(rows, "_text", "evidence_quote")
+    beyond = lambda size, most: F.lit(False) if most is None else size > most
     reason = (
         F.when(F.coalesce(F.trim("statement"), F.lit("")) == "", "statement")
-        .when(F.length("statement") > settings.max_statement, "statement")
+        .when(beyond(F.length("statement"), settings.max_statement), "statement")
         .when(F.coalesce(F.trim("evidence_quote"), F.lit("")) == "", "quote")
         .when(F.length("evidence_quote") > settings.max_quote, "quote")
         .when(F.col("confidence").isNull() | F.isnan("confidence") | (F.col("confidence") < settings.min_confidence) | (F.col("confidence") > 1), "confidence")
@@ -87,7 +88,7 @@ def validate_candidates(candidates: DataFrame, chunks: DataFrame, settings=DEFAU
     rows = rows.withColumn("reason", F.when(F.col("reason").isNull() & (F.row_number().over(same) > 1), "duplicate").otherwise(F.col("reason")))
     order = Window.partitionBy("document_id", F.col("reason").isNull()).orderBy("position")
     rows = rows.withColumn("ordinal", F.when(F.col("reason").isNull(), F.row_number().over(order) - 1))
-    rows = rows.withColumn("reason", F.when(F.col("ordinal") >= settings.max_rules, "limit").otherwise(F.col("reason")))
+    rows = rows.withColumn("reason", F.when(beyond(F.col("ordinal") + 1, settings.max_rules), "limit").otherwise(F.col("reason")))
     return rows.withColumn("ordinal", F.when(F.col("reason").isNull(), F.col("ordinal"))).drop("_text", "_there", "_form")
 
 
