@@ -1,13 +1,19 @@
-"""Word-bounded overlapping chunks with exact source spans, as a fold over arrays inside one row per segment."""
+"""Word-bounded overlapping chunks with exact source spans: Spark makes one row per segment, a small helper cuts its words."""
 
 from __future__ import annotations
 
+import re
+from bisect import bisect_left, bisect_right
+from itertools import accumulate
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from folioforge.config import DEFAULTS
 from folioforge.functions.ids import chunk_id
-from folioforge.functions.text import SENTENCE_END, SPACE, words
+from folioforge.functions.text import SENTENCE_END, SPACE
 
 _LOCATION = ("page", "sheet", "cell_range", "image_index", "preview_block", "start_offset", "end_offset")
 _TYPES = {"page": "int", "sheet": "string", "cell_range": "string", "image_index": "int", "preview_block": "int", "start_offset": "int", "end_offset": "int"}
@@ -49,42 +55,69 @@ def segment_islands(blocks: DataFrame, key: str = "document_id") -> DataFrame:
     return rows.withColumn("segment", F.sum(new.cast("int")).over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow))).drop("_key")
 
 
-def _chars(words: str) -> str:
-    """SQL of the characters of one word or more with a blank after each."""
-    return f"cast(length(array_join({words}, ' ')) + 1 AS long)"
-
-
-def _bounds(target: int, most: int, overlap: int) -> str:
-    """SQL of the array of windows (s, e, cs, ce) over the columns n, ws and bp: words and characters before start and end.
-
-    bp holds at place i the number i + 1 where a chunk may end after word i, else null. Each step looks at the words
-    of one window only, so the work grows with the words.
-    """
-    least = max(1, target * 3 // 4)
-    step = max(1, least - overlap)
-    end = (
-        f"CASE WHEN a.s + {most} >= n THEN n ELSE coalesce(array_min(slice(bp, a.s + {target}, {most - target})), "
-        f"array_max(slice(bp, a.s + {least}, {target - least + 1})), a.s + {most}) END"
-    )
-    ends = f"transform(array({end}), e -> struct(e AS e, a.cs + {_chars('slice(ws, a.s + 1, e - a.s)')} AS ce))"
-    back = f"x.ce - {_chars(f'slice(ws, x.e - {overlap} + 1, {overlap})')}" if overlap else "x.ce"
-    again = f"x.e < n AND x.e - {overlap} > a.s"
-    grown = (
-        f"transform({ends}, x -> struct(CASE WHEN {again} THEN x.e - {overlap} ELSE x.e END AS s, CASE WHEN {again} THEN {back} ELSE x.ce END AS cs, "
-        f"array_append(a.out, struct(a.s AS s, x.e AS e, a.cs AS cs, x.ce AS ce)) AS out))[0]"
-    )
-    start = "struct(0 AS s, 0L AS cs, cast(array() AS array<struct<s:int,e:int,cs:bigint,ce:bigint>>) AS out)"
-    return f"aggregate(sequence(1, cast(ceil(n / {step}) AS int) + 1), {start}, (a, i) -> CASE WHEN a.s >= n THEN a ELSE {grown} END, a -> a.out)"
+#: Words and ends of sentences as `functions.text` has them.
+_WORD = re.compile("[^" + re.sub(r"\\x\{(\w+)\}", lambda m: f"\\u{int(m[1], 16):04x}", SPACE) + "]+")
+_END = re.compile(SENTENCE_END[:-1] + r"\Z")
+_SPAN = ("i", "start_offset", "end_offset", "start_word", "end_word")
+_CUT = f"array<struct<text:string,word_count:int,spans:array<struct<{','.join(f'{c}:int' for c in _SPAN)}>>>>"
+
+
+def windows(n: int, ends: list[int], target: int, most: int, overlap: int) -> list[tuple[int, int]]:
+    """(start, end) of the chunks of n words; ends are the numbers of words after which one may end, in order."""
+    least, s, out = max(1, target * 3 // 4), 0, []
+    while s < n:
+        e = n
+        if s + most < n:
+            at = bisect_left(ends, s + target)
+            before = bisect_right(ends, s + target) - 1
+            if at < len(ends) and ends[at] < s + most:
+                e = ends[at]
+            elif before >= 0 and ends[before] >= s + least:
+                e = ends[before]
+            else:
+                e = s + most
+        out.append((s, e))
+        s = e - overlap if e < n and e - overlap > s else e
+    return out
+
+
+def _cutter(target: int, most: int, overlap: int):
+    """UDF from the texts of a segment's blocks to its chunks, each with what it covers of each block."""
+
+    def cut(segments: pa.Array) -> pa.Array:
+        texts, counts, per_segment, per_chunk = [], [], [0], [0]
+        spans: list[tuple[int, ...]] = []
+        for blocks in segments.to_pylist():
+            ws: list[str] = []
+            ends, upto = [], []  # where a chunk may end; words before the end of each block
+            for text in blocks or []:
+                own = _WORD.findall(text)
+                ends += [len(ws) + j for j, w in enumerate(own, 1) if j == len(own) or _END.search(w)]
+                ws += own
+                upto.append(len(ws))
+            chars = [0, *accumulate(len(w) + 1 for w in ws)]
+            for s, e in windows(len(ws), ends, target, most, overlap):
+                for i in range(bisect_right(upto, s), bisect_left(upto, e) + 1):
+                    w0 = upto[i - 1] if i else 0
+                    a, z = max(s, w0), min(e, upto[i])
+                    spans.append((i, chars[a] - chars[w0], chars[z] - chars[w0] - 1, a - w0, z - w0))
+                texts.append(" ".join(ws[s:e]))
+                counts.append(e - s)
+                per_chunk.append(len(spans))
+            per_segment.append(len(texts))
+        flat = np.array(spans, dtype=np.int32).reshape(-1, len(_SPAN))
+        covered = pa.StructArray.from_arrays([pa.array(np.ascontiguousarray(c)) for c in flat.T], list(_SPAN))
+        cuts = [pa.array(texts, pa.string()), pa.array(counts, pa.int32()), pa.ListArray.from_arrays(pa.array(per_chunk, pa.int32()), covered)]
+        return pa.ListArray.from_arrays(pa.array(per_segment, pa.int32()), pa.StructArray.from_arrays(cuts, ["text", "word_count", "spans"]))
+
+    cut.__annotations__ = {"segments": pa.Array, "return": pa.Array}
+    return F.arrow_udf(cut, _CUT)
 
 
 def segments(blocks: DataFrame, key: str = "document_id") -> DataFrame:
-    """One row per segment that has words: blocks `bs` with their words, the words w0 and characters c0 before each, and its own `size` and `chars`."""
-    # Not a filter on the words: that would be pushed down and split every text twice.
-    rows = segment_islands(blocks, key).where(F.col("text").rlike(f"[^{SPACE}]")).withColumn("ws", words(F.col("text")))
-    rows = rows.withColumn("size", F.size("ws")).withColumn("chars", F.expr(_chars("ws")))
-    before = Window.partitionBy(key, "segment").orderBy("block_index").rowsBetween(Window.unboundedPreceding, -1)
-    rows = rows.withColumn("w0", F.coalesce(F.sum("size").over(before), F.lit(0)).cast("int")).withColumn("c0", F.coalesce(F.sum("chars").over(before), F.lit(0)))
-    block = F.struct("block_index", "block_id", "heading_path", *_LOCATION, "w0", "c0", "size", "chars", "ws")
+    """One row per segment that has words: its blocks `bs` in order."""
+    rows = segment_islands(blocks, key).where(F.col("text").rlike(f"[^{SPACE}]"))
+    block = F.struct("block_index", "block_id", "heading_path", *_LOCATION, "text")
     return rows.groupBy(key, "segment").agg(F.array_sort(F.collect_list(block)).alias("bs"))
 
 
@@ -97,12 +130,7 @@ def chunks(blocks: DataFrame, key: str = "document_id", target: int = DEFAULTS.t
     block's text. A segment is one row; its chunks are cut out of its words before they become rows of their own.
     """
     check_options(target, most, overlap)
-    rows = segments(blocks, key)
-    ends = lambda b: F.transform(b["ws"], lambda w, j: F.when((j == b["size"] - 1) | w.rlike(SENTENCE_END), b["w0"] + j + 1))
-    rows = rows.withColumn("bp", F.flatten(F.transform("bs", ends)))
-    rows = rows.withColumn("ws", F.flatten(F.transform("bs", lambda b: b["ws"]))).withColumn("n", F.size("ws"))
-    rows = rows.withColumn("wb", F.flatten(F.transform("bs", lambda b, i: F.array_repeat(i, b["size"]))))  # the block of each word
-    rows = rows.withColumn("bs", F.transform("bs", lambda b: b.dropFields("ws"))).withColumn("cuts", F.expr(_bounds(target, most, overlap)))
+    rows = segments(blocks, key).withColumn("cuts", _cutter(target, most, overlap)(F.col("bs.text")))
     rows = rows.select(key, "segment", F.posexplode(F.transform("cuts", _chunk)).alias("k", "c"))
     ordinal = F.row_number().over(Window.partitionBy(key).orderBy("segment", "k")) - 1
     rows = rows.select(key, ordinal.alias("ordinal"), "c.*")
@@ -124,27 +152,18 @@ def chunks(blocks: DataFrame, key: str = "document_id", target: int = DEFAULTS.t
 
 
 def _chunk(cut: Column) -> Column:
-    """A chunk from its window: text, first and last block, and for each block that it touches the words and characters it covers.
-
-    Words of a block's text are one blank apart, so offsets are differences of sums of lengths.
-    """
-    s, e = cut["s"], cut["e"]
-    b0, b1 = F.get("wb", s), F.get("wb", e - 1)
+    """A chunk from its cut: text, first and last block, and the words and characters that it covers of each block that it touches."""
 
     def span(x: Column) -> Column:
-        a, z = F.greatest(s - x["w0"], F.lit(0)), F.least(e - x["w0"], x["size"])
-        start = F.when(s > x["w0"], cut["cs"] - x["c0"]).otherwise(0).cast("int")
-        end = (F.when(e < x["w0"] + x["size"], cut["ce"] - x["c0"]).otherwise(x["chars"]) - 1).cast("int")
+        block = F.get("bs", x["i"])
         return F.struct(
-            x["block_id"].alias("block_id"), x["block_index"].alias("block_index"), start.alias("start_offset"), end.alias("end_offset"),
-            a.alias("start_word"), z.alias("end_word"), x["page"].alias("page"), x["sheet"].alias("sheet"), x["cell_range"].alias("cell_range"), x["image_index"].alias("image_index"),
+            block["block_id"].alias("block_id"), block["block_index"].alias("block_index"), *[x[c].alias(c) for c in _SPAN[1:]],
+            *[block[c].alias(c) for c in ("page", "sheet", "cell_range", "image_index")],
         )
 
     own = lambda i: F.struct(*[F.get("bs", i)[c].alias(c) for c in ("heading_path", *_LOCATION)])
-    return F.struct(
-        F.array_join(F.slice("ws", s + 1, e - s), " ").alias("text"), (e - s).alias("word_count"), own(b0).alias("one"), own(b1).alias("two"),
-        F.transform(F.slice("bs", b0 + 1, b1 - b0 + 1), span).alias("source_spans"),
-    )
+    first, last = F.element_at(cut["spans"], 1)["i"], F.element_at(cut["spans"], -1)["i"]
+    return F.struct(cut["text"].alias("text"), cut["word_count"].alias("word_count"), own(first).alias("one"), own(last).alias("two"), F.transform(cut["spans"], span).alias("source_spans"))
 
 
 def batches(rows: DataFrame, key: str, order: str, text: str = "text", most: int = DEFAULTS.batch_chunks, chars: int = DEFAULTS.batch_chars) -> DataFrame:

@@ -69,7 +69,7 @@ def markdown_blocks(sources: DataFrame, key: str = "document_id", text: str = "s
 
 def number_blocks(rows: DataFrame, key: str, order: str) -> DataFrame:
     """Collapse white space, drop empty blocks, number the rest from 0 in the order given."""
-    rows = rows.withColumn("text", collapse(F.col("text"))).where("text <> ''")
+    rows = rows.where(F.col("text").rlike(f"[^{SPACE}]")).withColumn("text", collapse(F.col("text")))  # not a test of the result: that would collapse twice
     rows = rows.withColumn("block_index", F.row_number().over(Window.partitionBy(key).orderBy(order)) - 1)
     rest = [c for c in rows.columns if c not in (key, order, "block_index", "kind", "text")]
     return rows.select(key, "block_index", block_id(F.col("block_index")).alias("block_id"), "kind", "text", *rest)
