@@ -78,7 +78,7 @@ def owned_path(path: Column, owner: Column, document: Column, version: Column) -
 
 def manual_rule(content: Column) -> Column:
     """struct(content, title, filename, reason) of a rule typed by hand."""
-    text = trimmed(F.regexp_replace(content, r"\r\n?", "\n"))
+    text = trimmed(F.replace(F.replace(content, F.lit("\r\n"), F.lit("\n")), F.lit("\r"), F.lit("\n")))
     title = F.substring(trimmed(F.split_part(text, F.lit("\n"), F.lit(1))), 1, 60)
     stem = F.substring(collapse(F.regexp_replace(title, r'[/\\:*?"<>|\x00-\x1F]+', " ")), 1, 48)
     safe = F.when(trimmed(stem) == "", "rule").otherwise(trimmed(stem))
