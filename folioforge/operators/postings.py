@@ -42,10 +42,12 @@ def _counted(chunks: DataFrame, spans: int, key: str, text: str) -> DataFrame:
     """(span, key, len, terms) of each chunk; of chunks that share a key the greatest text stays."""
     rows = chunks.groupBy(F.col(key).cast("string").alias("key")).agg(F.max(F.coalesce(text, F.lit(""))).alias("_text"))
     rows = rows.select("key", tokens(F.col("_text")).alias("_t")).withColumn("len", F.size("_t"))
-    each = rows.select("key", "len", F.explode_outer("_t").alias("term")).groupBy("key", "len", "term").agg(F.count(F.lit(1)).alias("tf"))
-    item = F.when(F.col("term").isNotNull(), F.struct("term", "tf"))
-    span = F.pmod(F.xxhash64(F.lit(1), "key"), F.lit(spans)).cast("int")
-    return each.groupBy("key", "len").agg(F.sort_array(F.collect_list(item)).alias("terms")).select(span.alias("span"), "key", "len", "terms")
+    # Runs of the sorted tokens are counted inside the row, without a shuffle.
+    rows = rows.withColumn("_t", F.array_sort("_t"))
+    starts = F.filter(F.transform("_t", lambda t, i: F.when((i == 0) | (t != F.get("_t", i - 1)), i)), lambda i: i.isNotNull())
+    rows = rows.withColumn("_s", starts)
+    terms = F.transform("_s", lambda at, i: F.struct(F.get("_t", at).alias("term"), (F.coalesce(F.get("_s", i + 1), F.col("len")) - at).cast("long").alias("tf")))
+    return rows.select(F.pmod(F.xxhash64(F.lit(1), "key"), F.lit(spans)).cast("int").alias("span"), "key", "len", terms.alias("terms"))
 
 
 def _blocked(postings: DataFrame, settings: Settings) -> DataFrame:
