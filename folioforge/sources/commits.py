@@ -99,12 +99,12 @@ class Transaction:
             raise ValueError("the owner must be one of the keys")
         self.tables[table] = {"schema": schema.jsonValue(), "keys": list(keys), "owner": owner, "split": split, "order": order or owner, "layers": []}
 
-    def _write(self, table: str, rows: DataFrame, kind: str, **more) -> None:
+    def _write(self, table: str, rows: DataFrame, kind: str, placed: bool = False, **more) -> None:
         known, path = self.tables[table], f"data/{table}/{uuid.uuid4().hex}"
         names = known["keys"] if kind == "delete" else [f["name"] for f in known["schema"]["fields"]]
         types = {f.name: f.dataType for f in StructType.fromJson(known["schema"])}
         rows = rows.select(*[F.col(c).cast(types[c]).alias(c) for c in names])
-        if known["split"]:
+        if known["split"] and not placed:
             rows = rows.hint("rebalance", known["split"])  # few files a folder, and a large folder's rows in several
         by = [c for c in (known["split"], known["order"]) if c]
         if by:
@@ -113,10 +113,13 @@ class Transaction:
         out.parquet(f"{self.home.path}/{path}")
         known["layers"].append({"kind": kind, "path": path, **more})
 
-    def upsert(self, table: str, rows: DataFrame) -> None:
-        """Rows replace those of equal keys; of several rows of one key the greatest in column order stays."""
+    def upsert(self, table: str, rows: DataFrame, placed: bool = False) -> None:
+        """Rows replace those of equal keys; of several rows of one key the greatest in column order stays.
+
+        `placed` says that there is one row a key and that the partitions are those of the files, so nothing is shuffled.
+        """
         keys = self.tables[table]["keys"]
-        self._write(table, upsert(rows.limit(0), rows, keys), "upsert")
+        self._write(table, rows if placed else upsert(rows.limit(0), rows, keys), "upsert", placed)
 
     def delete(self, table: str, keys: DataFrame) -> None:
         """The rows of these keys go; keys that are not there do no harm."""
@@ -150,12 +153,16 @@ class Transaction:
         self.delete(table, met.where("_new IS NULL").select("_now.*"))
         self.upsert(table, met.where("_new IS NOT NULL AND NOT (_now <=> _new)").select("_new.*"))
 
-    def rewrite(self, table: str, rows: DataFrame, owners: Sequence | None = None) -> None:
-        """`rows` are the table from now on, or that of some owners; older layers no longer count."""
-        self._write(table, rows, "rows", owners=None if owners is None else list(owners))
+    def rewrite(self, table: str, rows: DataFrame, owners: Sequence | None = None, placed: bool = False) -> None:
+        """`rows` are the table from now on, or that of some owners; older layers no longer count. `placed` as in `upsert`."""
+        self._write(table, rows, "rows", placed, owners=None if owners is None else list(owners))
         if owners is None:
             self.tables[table]["layers"] = self.tables[table]["layers"][-1:]
 
+    def written(self, table: str) -> DataFrame:
+        """The rows that this transaction wrote last for a table."""
+        return Version(self.home, {"number": self.parent.number, "tables": self.tables})._files(table, self.tables[table]["layers"][-1])
+
     def commit(self) -> Version:
         return self.home._publish(self.parent.number + 1, self.tables)
 
